@@ -5,11 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ctxloom.llm.leaks import leaked
 from ctxloom.llm.repetition import fertility, repetition
 from ctxloom.llm.tokens import Tokenizer
 from ctxloom.tables import load
 
 
+def leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leaked(load(spark, d, "documents"), load(spark, d, "eval_items"))
+
+
+def leaks_by_item(spark: SparkSession, d: str) -> DataFrame:
+    """Per item how many documents give it away."""
+    return leaks(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"))
+
+
 def repetitive(spark: SparkSession, d: str) -> DataFrame:
     return repetition(load(spark, d, "documents")).where(F.col("repeated_share") >= 0.3).select("doc_id")
 
@@ -25,6 +35,8 @@ def fertilities(spark: SparkSession, d: str) -> DataFrame:
 
 
 def register(reg) -> None:
+    reg.query("p8_found")(leaks)
+    reg.query("p8_by_item")(leaks_by_item)
     reg.query("p10_found")(repetitive)
     reg.query("p10_shares")(shares)
     reg.query("p10_fertility")(fertilities)

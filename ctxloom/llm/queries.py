@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules that register queries, one for every problem.
-MODULES = ("q_budget", "q_documents")
+MODULES = ("q_budget", "q_documents", "q_code")
 
 
 def register(reg) -> None:
