@@ -1,4 +1,4 @@
-"""Documentation pairs (p4) and credentials (p7)."""
+"""Foreign source files (p2), documentation pairs (p4) and credentials (p7)."""
 
 from __future__ import annotations
 
@@ -6,10 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ctxloom.llm.docs import documented_functions
+from ctxloom.llm.provenance import foreign_files
 from ctxloom.llm.secrets import credential_lines, redacted
 from ctxloom.tables import load
 
 
+def foreign(spark: SparkSession, d: str) -> DataFrame:
+    """Current source files that are not hand-written code of the project, with the reasons."""
+    return foreign_files(load(spark, d, "blobs"), load(spark, d, "files"), load(spark, d, "index_manifest"))
+
+
+def foreign_paths(spark: SparkSession, d: str) -> DataFrame:
+    return foreign(spark, d).select("project_id", "path")
+
+
 def documented(spark: SparkSession, d: str) -> DataFrame:
     return documented_functions(load(spark, d, "chunks")).select("project_id", "chunk_id").distinct()
 
@@ -34,6 +44,8 @@ def masked(spark: SparkSession, d: str) -> DataFrame:
 
 
 def register(reg) -> None:
+    reg.query("p2_found")(foreign_paths)
+    reg.query("p2_reasons")(foreign)
     reg.query("p4_found")(documented)
     reg.query("p4_pairs")(pairs)
     reg.query("p7_found")(credentials)
