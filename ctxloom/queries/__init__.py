@@ -31,7 +31,7 @@ class Registry:
 
 
 #: The modules of this folder that hold queries.
-MODULES = ("integrity",)
+MODULES = ("integrity", "search")
 
 
 def core() -> Registry:
