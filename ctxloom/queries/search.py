@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ctxloom.operators import graph, lexical, resolve, vector
 from ctxloom.operators.fusion import fuse
+from ctxloom.operators.pack import merged_spans, uncovered_spans
+from ctxloom.plans.search import Index, search, search_pool
 from ctxloom.queries import Registry
-from ctxloom.tables import load
+from ctxloom.tables import current_files, load
 
 CH = "(SELECT DISTINCT ON (project_id, id) * FROM chunks)"
 SY = "(SELECT DISTINCT ON (project_id, id) * FROM symbols)"
@@ -227,7 +229,66 @@ p AS (SELECT query_id, chunk_id, round(sum(1.0 / (60 + rank)), 12) AS rrf_score,
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, channels DESC, best_rank, chunk_id)::INT AS pool_rank FROM p) WHERE pool_rank <= 120"""
 
 
+def index_of(spark: SparkSession, d: str) -> Index:
+    return Index(_chunks(spark, d), _symbols(spark, d), _edges(spark, d), current_files(load(spark, d, "files"), "generated"))
+
+
+def ranked_pool(spark: SparkSession, d: str) -> DataFrame:
+    """The reranked pools of the probe queries."""
+    _, pool = search_pool(index_of(spark, d), probe(spark, d).select("query_id", "project_id", "text"))
+    return pool.select("query_id", "chunk_id", "kind", "tier", "score", "rank", "graph_depth")
+
+
+def packs(spark: SparkSession, d: str) -> DataFrame:
+    """The evidence packs of the probe queries."""
+    return search(index_of(spark, d), probe(spark, d).select("query_id", "project_id", "text"))
+
+
+def vector_pool(spark: SparkSession, d: str) -> DataFrame:
+    """The pools with the vector channel, chunks embedded once per distinct content."""
+    index = index_of(spark, d)
+    provider = vector.HashedTrigrams()
+    vectors = vector.embed_distinct(index.chunks, "content", "content_hash", provider)
+    index.chunk_vectors = index.chunks.select("project_id", F.col("id").alias("chunk_id"), "content_hash").join(vectors, "content_hash").drop("content_hash")
+    _, pool = search_pool(index, probe(spark, d).select("query_id", "project_id", "text"), provider)
+    return pool.select("query_id", "chunk_id", "tier", "score", "rank", F.col("channel_ranks")["vector"].alias("vector_rank"))
+
+
+def call_chains(spark: SparkSession, d: str) -> DataFrame:
+    heads = probe(spark, d).select("query_id", "project_id", F.col("symbol").alias("fqn"), F.lit(1).alias("pos"))
+    return graph.flows(heads, _symbols(spark, d), _edges(spark, d)).select("query_id", F.array_join("fqns", " > ").alias("chain"), "truncated")
+
+
+def joined_spans(spark: SparkSession, d: str) -> DataFrame:
+    return merged_spans(_chunks(spark, d).select("project_id", "file_path", "start_line", "end_line"), ["project_id", "file_path"])
+
+
+SPAN_SQL = f"""SELECT project_id, file_path, min(start_line) AS start_line, max(end_line) AS end_line, count(*) AS spans FROM (
+SELECT *, sum(fresh) OVER (PARTITION BY project_id, file_path ORDER BY start_line, end_line ROWS UNBOUNDED PRECEDING) AS g FROM (
+SELECT *, CASE WHEN far IS NULL OR start_line - far - 1 > {{gap}} THEN 1 ELSE 0 END AS fresh FROM (
+SELECT project_id, file_path, start_line, end_line, max(end_line) OVER (PARTITION BY project_id, file_path ORDER BY start_line, end_line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM {CH}))) GROUP BY project_id, file_path, g"""
+
+
+def open_spans(spark: SparkSession, d: str) -> DataFrame:
+    spans = _chunks(spark, d).where("symbol_kind <> 'fallback_block'").select("project_id", "file_path", "start_line", "end_line")
+    totals = _chunks(spark, d).groupBy("project_id", "file_path").agg(F.max("end_line").alias("total"))
+    return uncovered_spans(spans, totals, ["project_id", "file_path"])
+
+
+OPEN_SQL = f"""WITH c AS (SELECT * FROM {CH}), t AS (SELECT project_id, file_path, max(end_line) AS total FROM c GROUP BY ALL),
+l AS (SELECT t.project_id, t.file_path, unnest(range(1, total + 1)) AS n FROM t),
+o AS (SELECT l.* FROM l WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.project_id = l.project_id AND c.file_path = l.file_path AND c.symbol_kind <> 'fallback_block' AND l.n BETWEEN c.start_line AND c.end_line)),
+g AS (SELECT *, n - row_number() OVER (PARTITION BY project_id, file_path ORDER BY n) AS k FROM o)
+SELECT project_id, file_path, min(n)::INT AS first, max(n)::INT AS last FROM g GROUP BY project_id, file_path, k"""
+
+
 def register(reg: Registry) -> None:
+    reg.query("search_pool")(ranked_pool)
+    reg.query("search_packs")(packs)
+    reg.query("search_vector_pool")(vector_pool)
+    reg.query("call_flows")(call_chains)
+    reg.query("merged_spans", SPAN_SQL.format(gap=10))(joined_spans)
+    reg.query("uncovered_spans", OPEN_SQL)(open_spans)
     reg.query("bm25_topk", _bm25_sql())(bm25_topk)
     reg.query("literal_search", LITERAL_SQL)(literals)
     reg.query("symbol_literal_search", ROOT_SQL)(symbol_roots)
