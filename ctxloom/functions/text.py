@@ -147,9 +147,9 @@ def dot(a: Column, b: Column) -> Column:
 
 def cut_bytes(text: Column, limit: int) -> Column:
     """The longest prefix with at most ``limit`` UTF-8 bytes that ends between characters."""
-    raw = F.substring(F.encode(text, "UTF-8"), 1, limit)
-    whole = F.regexp_replace(F.decode(raw, "UTF-8"), "�+$", "")
-    return F.when(F.octet_length(text) <= limit, text).otherwise(F.when(text.contains("�"), F.decode(raw, "UTF-8")).otherwise(whole))
+    whole = F.make_valid_utf8(F.substring(F.encode(text, "UTF-8"), 1, limit).cast("string"))
+    cut = F.when(F.startswith(text, whole), whole).otherwise(F.regexp_replace(whole, "\ufffd+$", ""))
+    return F.when(F.octet_length(text) <= limit, text).otherwise(cut)
 
 
 def redact(text: Column) -> Column:
