@@ -27,9 +27,10 @@ def orphan_references(refs: DataFrame, parents: DataFrame, *, scope: str = "proj
     * late - the parent became valid only after the reference was made.
 
     References with a null key point at nothing and are no orphans. A null ``ref_time`` leaves only ``missing``. A null
-    scope is a scope of its own. Empty ``refs`` give no rows, empty ``parents`` make every reference an orphan.
+    scope is a scope of its own. Empty ``refs`` give no rows, empty ``parents`` make every reference an orphan. Columns of
+    ``refs`` that are named like a result column (valid_from, valid_to, status) give way to it.
     """
-    asked = refs.where(F.col(key).isNotNull())
+    asked = refs.where(F.col(key).isNotNull()).drop("valid_from", "valid_to", "status", "_parent")
     found = salted_join(asked, parents.withColumn("_parent", F.lit(True)), [scope, key], "left", salt_from=[ref_id], hot_rows=hot_rows)
     at = F.col(ref_time) if ref_time else F.lit(None).cast("timestamp_ntz")
     status = (
