@@ -17,7 +17,8 @@ _PYTHON = re.compile(r"(?P<line>#[^\n]*)|(?P<string>[rRbBuUfF]{0,2}(?:\"\"\".*?(
 _NOT_A_FUNCTION = re.compile(r"(?:^|[\s;}])(?:if|for|while|switch|catch|do|else|try|return|struct|union|enum|class|interface|namespace|extern)\b[^()]*(?:\(|$)")
 _SCOPE = re.compile(r"\b(?:namespace|class|struct|union|interface)\b|extern\s*$")
 _HEAD_NAME = re.compile(r"([~\w$]+(?:::~?\w+)*|operator\s*\S{1,3})\s*(?:<[^<>()]*>)?\s*\(")
-_DECORATOR = re.compile(r"[ \t]*@[^\n]*\n")
+#: Directives and access labels, which belong to no declaration.
+_ASIDE = re.compile(r"(?m)^[ \t]*#(?:.*\\\n)*.*$|\b(?:public|private|protected)\s*:(?!:)")
 
 
 @dataclass(frozen=True)
@@ -41,8 +42,11 @@ def _braced(text: str) -> list[Function]:
         kind = m.lastgroup
         if kind in ("block", "line"):
             if current is None:
-                if text[head : m.start()].strip():
-                    continue  # inside a declaration
+                between = text[head : m.start()]
+                if between.strip():
+                    if _ASIDE.sub("", between).strip():
+                        continue  # inside a declaration
+                    notes = []
                 if notes and text.count("\n", notes[-1][1], m.start()) > 1:
                     notes = []
                 notes.append(m.span())
@@ -200,7 +204,7 @@ def description(raw: str | None, name: str | None) -> str:
         keep.append(line)
     own = {_stem(w) for w in _SPLIT.findall(re.split(r"[.:]", name or "")[-1])}
     said = []
-    for sentence in re.split(r"(?<=[.!?。！？；])\s*|\n\s*\n", "\n".join(keep)):
+    for sentence in re.split(r"(?<=[.!?])(?=\s|$)|(?<=[。！？；])|\n\s*\n", "\n".join(keep)):
         sentence = re.sub(r"\s+", " ", sentence).strip()
         if not sentence or _MARK.match(sentence) or _FILLER.match(sentence):
             continue
