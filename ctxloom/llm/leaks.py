@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import defaultdict
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ctxloom.llm.simhash import HammingIndex, UnitHashes, window_prints
+
 DENSE = re.compile("[぀-ヿ㐀-䶿一-鿿豈-﫿가-힯]")
 _MARKUP = re.compile(r"</?[a-zA-Z][^<>]{0,200}>|\]\([^)\s]{0,300}\)|&(?:[a-zA-Z]{2,8}|#\d{1,6});|[­​-‏﻿]")
 _WORD = re.compile(r"[^\W_]+")
@@ -167,19 +169,81 @@ class PassageIndex:
         return out
 
 
-def leaked(documents: DataFrame, items: DataFrame, *, words: int = 24, letters: int = 36, per_edit: int = 8) -> DataFrame:
-    """(item_id, doc_id) for every document that holds a stretch of an item's passage.
+class FingerprintIndex:
+    """The passages as SimHash fingerprints of their item-sized windows, each hit checked exactly on the texts.
 
-    A stretch is at least ``words`` words (scripts without spaces: ``letters`` letters and digits) in order, with at most
-    one unit in ``per_edit`` replaced, dropped or inserted; case, punctuation, spacing, line breaks and markup do not
-    count. ``items`` (item_id, passage) is the held-out set: it is stated, of fixed size, and goes to every executor; every
-    document is read once, whole, in Arrow batches, and nothing is shuffled. Copies of a document count each. Null
-    passages and texts match nothing; items that repeat an id count as one item.
+    All document windows within ``radius`` bits of a passage window are found; a hit counts if the window's unedited runs
+    extend to a stretch that qualifies. Windows whose edits move more than ``radius`` bits are not found by themselves; a
+    longer stretch is found by any of its windows.
     """
+
+    def __init__(self, items: Sequence[tuple[int, str | None]], *, dense: bool, least: int, per_edit: int = 8, radius: int = 4):
+        self.exact = PassageIndex(items, dense=dense, least=least, per_edit=per_edit)
+        self.size, self.dense = least, dense
+        self._hashes: UnitHashes | None = None
+        names = [""] + list(self.exact.vocabulary)
+        hashes = UnitHashes()
+        prints, self.places = [], []
+        for k, (_, ids) in enumerate(self.exact.passages):
+            own = window_prints(hashes.of([names[i] for i in ids]), least)
+            prints.append(own)
+            self.places += [(k, p) for p in range(len(own))]
+        self.index = HammingIndex(np.concatenate(prints) if prints else np.zeros(0, dtype=np.uint64), radius)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_hashes": None}
+
+    def search(self, texts: Sequence[Sequence[str]]) -> list[set[int]]:
+        """Per text (a sequence of units) the items it gives away."""
+        found: list[set[int]] = [set() for _ in texts]
+        if not self.places:
+            return found
+        if self._hashes is None:
+            self._hashes = UnitHashes()
+        starts, flat = [0], []
+        for t in texts:
+            flat.extend(t)
+            starts.append(len(flat))
+        prints = window_prints(self._hashes.of(flat), self.size)
+        if not len(prints):
+            return found
+        bounds = np.array(starts)
+        at, window = self.index.near(prints)
+        owner = np.searchsorted(bounds, at, side="right") - 1
+        whole = at + self.size <= bounds[owner + 1]
+        get = self.exact.vocabulary.get
+        seed = self.exact.seed
+        ids: dict[int, list[int]] = {}
+        tried: dict[tuple[int, int, int], int] = {}
+        for t, i, doc in zip(at[whole].tolist(), window[whole].tolist(), owner[whole].tolist()):
+            k, p = self.places[i]
+            item, want = self.exact.passages[k]
+            if item in found[doc]:
+                continue
+            text = ids.get(doc)
+            if text is None:
+                text = ids[doc] = [get(u, 0) for u in texts[doc]]
+            here = t - starts[doc]
+            key = (doc, k, here - p)
+            a = max(0, tried.get(key, 0) - here)
+            while a <= self.size - seed:
+                if want[p + a : p + a + seed] == text[here + a : here + a + seed]:
+                    b = seed
+                    while p + a + b < len(want) and here + a + b < len(text) and want[p + a + b] == text[here + a + b]:
+                        b += 1
+                    if self.exact._covers(want, p + a, p + a + b, text, here + a, here + a + b, 0, len(text)):
+                        found[doc].add(item)
+                        break
+                    a += b
+                    tried[key] = here + a
+                else:
+                    a += 1
+        return found
+
+
+def _scan(documents: DataFrame, items: DataFrame, make: Callable[[list, bool], object]) -> DataFrame:
     rows = [(r.item_id, r.passage) for r in items.select("item_id", "passage").collect()]
-    plain = PassageIndex(rows, dense=False, least=words, per_edit=per_edit)
-    dense = PassageIndex(rows, dense=True, least=letters, per_edit=per_edit)
-    held = documents.sparkSession.sparkContext.broadcast((plain, dense))
+    held = documents.sparkSession.sparkContext.broadcast((make(rows, False), make(rows, True)))
     schema = T.StructType([T.StructField("item_id", items.schema["item_id"].dataType), T.StructField("doc_id", documents.schema["doc_id"].dataType)])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,3 +261,21 @@ def leaked(documents: DataFrame, items: DataFrame, *, words: int = 24, letters:
                 yield pa.RecordBatch.from_pydict({"item_id": pa.array(columns[0], pa.int64()), "doc_id": pa.array(columns[1], pa.int64())})
 
     return documents.select(F.col("doc_id"), F.col("text")).mapInArrow(scan, schema)
+
+
+def leaked(documents: DataFrame, items: DataFrame, *, words: int = 24, letters: int = 36, per_edit: int = 8, radius: int = 4) -> DataFrame:
+    """(item_id, doc_id) for every document that holds a stretch of an item's passage.
+
+    A stretch is at least ``words`` words (scripts without spaces: ``letters`` letters and digits) in order, with at most
+    one unit in ``per_edit`` replaced, dropped or inserted; case, punctuation, spacing, line breaks and markup do not
+    count. Candidates come from SimHash windows of that size within ``radius`` bits, found through the Hamming
+    multi-index; an exact check on the texts decides. ``items`` (item_id, passage) is the held-out set: it is stated, of
+    fixed size, and goes to every executor; every document is read once, whole, in Arrow batches, and nothing is shuffled.
+    Copies of a document count each. Null passages and texts match nothing; items that repeat an id count as one item.
+    """
+    return _scan(documents, items, lambda rows, dense: FingerprintIndex(rows, dense=dense, least=letters if dense else words, per_edit=per_edit, radius=radius))
+
+
+def leaked_by_runs(documents: DataFrame, items: DataFrame, *, words: int = 24, letters: int = 36, per_edit: int = 8) -> DataFrame:
+    """The same rows by unedited runs, which every stretch is certain to hold: complete by proof, the measure of ``leaked``."""
+    return _scan(documents, items, lambda rows, dense: PassageIndex(rows, dense=dense, least=letters if dense else words, per_edit=per_edit))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ctxloom.llm.leaks import leaked
+from ctxloom.llm.leaks import leaked, leaked_by_runs
 from ctxloom.llm.repetition import fertility, repetition
 from ctxloom.llm.tokens import Tokenizer
 from ctxloom.tables import load
@@ -20,6 +20,11 @@ def leaks_by_item(spark: SparkSession, d: str) -> DataFrame:
     return leaks(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"))
 
 
+def complete_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Leaks by unedited runs, complete by proof, to hold the fingerprints' result against."""
+    return leaked_by_runs(load(spark, d, "documents"), load(spark, d, "eval_items"))
+
+
 def repetitive(spark: SparkSession, d: str) -> DataFrame:
     return repetition(load(spark, d, "documents")).where(F.col("repeated_share") >= 0.3).select("doc_id")
 
@@ -37,6 +42,7 @@ def fertilities(spark: SparkSession, d: str) -> DataFrame:
 def register(reg) -> None:
     reg.query("p8_found")(leaks)
     reg.query("p8_by_item")(leaks_by_item)
+    reg.query("p8_complete")(complete_leaks)
     reg.query("p10_found")(repetitive)
     reg.query("p10_shares")(shares)
     reg.query("p10_fertility")(fertilities)

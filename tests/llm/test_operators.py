@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from ctxloom.llm import docs, leaks, mixing, provenance, repetition, secrets, tokens
+from ctxloom.llm import docs, leaks, mixing, provenance, repetition, secrets, simhash, tokens
 from ctxloom.tables import scratch
 
 # ------------------------------------------------------------------------------------------------ documentation
@@ -170,6 +170,36 @@ def test_leaks_equal_brute_force():
     assert agree[True, False] == agree[False, True] == 0 and agree[True, True] > 10 and agree[False, False] > 10
 
 
+def test_fingerprints_and_hamming_index_equal_brute_force():
+    rng = np.random.default_rng(0)
+    h = rng.integers(0, 2**63, size=120, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, size=120, dtype=np.uint64)
+    for size in (1, 2, 5, 24, 36, 120, 121):
+        want = [sum(1 << b for b in range(64) if sum(int(x) >> b & 1 for x in h[i : i + size]) * 2 > size) for i in range(max(0, 121 - size))]
+        assert simhash.window_prints(h, size).tolist() == want
+    near = np.concatenate((h, h ^ np.uint64(0b1011), h ^ np.uint64(1 << 63), h ^ np.uint64(0b11111)))
+    for radius in (0, 1, 3, 4):
+        a, b = simhash.HammingIndex(h, radius).near(near, step=50)
+        want = {(i, j) for i, x in enumerate(near.tolist()) for j, y in enumerate(h.tolist()) if bin(x ^ y).count("1") <= radius}
+        assert set(zip(a.tolist(), b.tolist())) == want and len(a) == len(want)
+
+
+def test_fingerprint_search_is_exact_and_finds_long_stretches():
+    rnd = random.Random(11)
+    words = [f"w{i}" for i in range(60)]
+    passages = [(k, " ".join(rnd.choices(words, k=70))) for k in range(5)]
+    texts, sure = [], []
+    for k, p in passages * 4:
+        part = p.split()[10:60]
+        for _ in range(2):
+            part[rnd.randrange(len(part))] = "zz"
+        texts.append(rnd.choices(words, k=20) + part + rnd.choices(words, k=20))
+        sure.append(k)
+    texts.append(passages[0][1].split()[:15])
+    some = leaks.FingerprintIndex(passages, dense=False, least=24).search(texts)
+    all_ = leaks.PassageIndex(passages, dense=False, least=24).search(texts)
+    assert all(a <= b for a, b in zip(some, all_)) and all(k in f for k, f in zip(sure, some)) and some[-1] == set()
+
+
 def test_leaked_documents(spark):
     p = "Every shared page that spans two trains is bounded by the deferred list because reads at sequence one hundred still need it and nobody has acknowledged the second attempt yet"
     z = "对账作业无人确认的情况下受限于第五层的墓碑直到法定人数投票完毕压实过程在午夜排程时可以追溯到被遗弃的写句柄"
@@ -178,6 +208,7 @@ def test_leaked_documents(spark):
     docs_ = [(1, p), (2, shout), (3, "x " + " ".join(p.split()[:20])), (4, z[:20] + "，\n" + z[20:]), (5, None), (6, ""), (7, p), (8, "**" + " ".join(w for k, w in enumerate(p.split()) if k not in (3, 12)) + "**"), (9, z[:30])]
     df = spark.createDataFrame([(a, b, 9) for a, b in docs_], "doc_id long, text string, item_id int")
     assert sorted((r.item_id, r.doc_id) for r in leaks.leaked(df, items).collect()) == [(1, 1), (1, 2), (1, 7), (1, 8), (2, 4)]
+    assert sorted((r.item_id, r.doc_id) for r in leaks.leaked_by_runs(df, items).collect()) == [(1, 1), (1, 2), (1, 7), (1, 8), (2, 4)]
     assert leaks.leaked(df, items.limit(0)).count() == 0 and leaks.leaked(df.limit(0), items).count() == 0
 
 
