@@ -170,22 +170,23 @@ class PassageIndex:
 
 
 class FingerprintIndex:
-    """The passages as SimHash fingerprints of their item-sized windows, each hit checked exactly on the texts.
+    """The passages as SimHash fingerprints of their windows, each hit checked exactly on the texts.
 
-    All document windows within ``radius`` bits of a passage window are found; a hit counts if the window's unedited runs
-    extend to a stretch that qualifies. Windows whose edits move more than ``radius`` bits are not found by themselves; a
-    longer stretch is found by any of its windows.
+    A window is half as long as the shortest stretch that counts, so every such stretch holds whole windows wherever it
+    starts. All document windows within ``radius`` bits of a passage window are found; a hit counts if the window's
+    unedited runs extend to a stretch that qualifies. A window whose edits move more than ``radius`` bits is not found by
+    itself; the stretch is found by any of its other windows.
     """
 
-    def __init__(self, items: Sequence[tuple[int, str | None]], *, dense: bool, least: int, per_edit: int = 8, radius: int = 4):
+    def __init__(self, items: Sequence[tuple[int, str | None]], *, dense: bool, least: int, per_edit: int = 8, radius: int = 3, size: int | None = None):
         self.exact = PassageIndex(items, dense=dense, least=least, per_edit=per_edit)
-        self.size, self.dense = least, dense
+        self.size, self.dense = size or max(least // 2, 1), dense
         self._hashes: UnitHashes | None = None
         names = [""] + list(self.exact.vocabulary)
         hashes = UnitHashes()
         prints, self.places = [], []
         for k, (_, ids) in enumerate(self.exact.passages):
-            own = window_prints(hashes.of([names[i] for i in ids]), least)
+            own = window_prints(hashes.of([names[i] for i in ids]), self.size)
             prints.append(own)
             self.places += [(k, p) for p in range(len(own))]
         self.index = HammingIndex(np.concatenate(prints) if prints else np.zeros(0, dtype=np.uint64), radius)
@@ -263,13 +264,13 @@ def _scan(documents: DataFrame, items: DataFrame, make: Callable[[list, bool], o
     return documents.select(F.col("doc_id"), F.col("text")).mapInArrow(scan, schema)
 
 
-def leaked(documents: DataFrame, items: DataFrame, *, words: int = 24, letters: int = 36, per_edit: int = 8, radius: int = 4) -> DataFrame:
+def leaked(documents: DataFrame, items: DataFrame, *, words: int = 24, letters: int = 36, per_edit: int = 8, radius: int = 3) -> DataFrame:
     """(item_id, doc_id) for every document that holds a stretch of an item's passage.
 
     A stretch is at least ``words`` words (scripts without spaces: ``letters`` letters and digits) in order, with at most
     one unit in ``per_edit`` replaced, dropped or inserted; case, punctuation, spacing, line breaks and markup do not
-    count. Candidates come from SimHash windows of that size within ``radius`` bits, found through the Hamming
-    multi-index; an exact check on the texts decides. ``items`` (item_id, passage) is the held-out set: it is stated, of
+    count. Candidates come from SimHash windows of half that size within ``radius`` bits, found through the
+    Hamming multi-index; an exact check on the texts decides. ``items`` (item_id, passage) is the held-out set: it is stated, of
     fixed size, and goes to every executor; every document is read once, whole, in Arrow batches, and nothing is shuffled.
     Copies of a document count each. Null passages and texts match nothing; items that repeat an id count as one item.
     """
