@@ -158,12 +158,15 @@ class ContextEngine:
         held = [p for p in projects if self._pointer(p).current()]
         if not held:
             raise LookupError("none of the projects has an index")
+        old = [p for p in held if self.config(p).get("schema") != SCHEMA_VERSION]
+        if old:
+            raise LookupError(f"indexes of another version: {', '.join(old)}")
 
         def whole(table: str) -> DataFrame:
             paths = [f"{self.root}/projects/{p}/{self._pointer(p).current()}/{table}" for p in held]
             return self.spark.read.parquet(*paths)
 
-        return Index(whole("chunks"), whole("symbols"), whole("edges"), whole("files"), whole("spec_refs"), store.check_vectors(whole("vectors"), self.provider.dim))
+        return Index(whole("chunks"), whole("symbols"), whole("edges"), whole("files"), whole("spec_refs"), store.check_vectors(whole("vectors"), self.provider.dim), whole("unresolved"))
 
     def search(self, queries: DataFrame, *, max_tokens: int = 10_000, mode: str = "fast") -> DataFrame:
         """One evidence pack per query (query_id, project_id, text); queries on projects without an index get an empty pack."""

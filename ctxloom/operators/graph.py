@@ -176,3 +176,15 @@ def flows(heads: DataFrame, symbols: DataFrame, edges: DataFrame, nodes: int = F
     last = walk.where(F.size("fqns") >= nodes).withColumn("source_fqn", F.element_at("fqns", -1)).join(calls, ["project_id", "source_fqn"]).where(~F.array_contains("fqns", F.col("target_name")))
     more = last.select("query_id", "pos", F.lit(True).alias("_more")).distinct()
     return walk.where(F.size("fqns") >= 2).join(more, ["query_id", "pos"], "left").select("query_id", "project_id", "pos", "fqns", (F.col("truncated") | F.coalesce("_more", F.lit(False))).alias("truncated"))
+
+
+def visible_symbols(symbols: DataFrame, from_path: Column) -> DataFrame:
+    """Symbols that code in ``from_path`` can name: exported ones, and those of the same file."""
+    return symbols.where(F.coalesce("is_exported", F.lit(False)) | (F.col("file_path") == from_path))
+
+
+def drop_inside(facts: DataFrame, spans: DataFrame) -> DataFrame:
+    """Facts (project_id, file_path, start_line, end_line) that touch no span of a syntax error in their file."""
+    s = spans.select(F.col("project_id").alias("_sp"), F.col("file_path").alias("_sf"), F.col("start_line").alias("_a"), F.col("end_line").alias("_b"))
+    touch = (F.col("project_id") == F.col("_sp")) & (F.col("file_path") == F.col("_sf")) & (F.col("start_line") <= F.col("_b")) & (F.col("end_line") >= F.col("_a"))
+    return facts.join(s, touch, "left_anti")

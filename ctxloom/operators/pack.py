@@ -163,8 +163,8 @@ class Packer:
     """Packs one query's pool. ``pool``: dicts with chunk_id, path, kind, tier, score, rrf_score, channel_ranks, reasons,
     symbol_fqn, start_line, end_line, signature, content."""
 
-    def __init__(self, pool: Sequence[dict], budget: Budget, *, flows: Sequence[dict] = (), backfill: Sequence[tuple[dict, str]] = (), reserve: bool = False):
-        self.budget, self.flows, self.backfill = budget, list(flows), list(backfill)
+    def __init__(self, pool: Sequence[dict], budget: Budget, *, flows: Sequence[dict] = (), backfill: Sequence[tuple[dict, str]] = (), reserve: bool = False, failed: Sequence[str] = ()):
+        self.budget, self.flows, self.backfill, self.failed = budget, list(flows), list(backfill), list(failed)
         self.items: list[Item] = []
         self.placed: set[str] = set()
         self.by_symbol: dict[str, Item] = {}
@@ -336,6 +336,12 @@ class Packer:
             )
         answerable, confidence = assess(self.pool, any(e["type"] == "spec" for e in evidence) and all(e["type"] == "spec" for e in evidence))
         missing = []
+        if self.failed:
+            named = [n for n in self.failed if re.fullmatch(r"[A-Za-z_][\w.:]*", n)]
+            missing.append({"code": "unresolved_reference", "message": f"{len(self.failed)} names could not be resolved: {', '.join(named[:3]) or 'expressions'}", "symbol": named[0] if named else None})
+        for i in self.items:
+            if i.spec and i.chunk.get("stale"):
+                missing.append({"code": "stale_doc_reference", "message": f"{i.chunk['path']} names symbols that are gone"})
         if self.cut or self.docs_capped or self.below:
             missing.append({"code": "retrieval_truncated", "message": f"{self.omitted} candidates left out"})
         if not evidence:
@@ -378,9 +384,10 @@ def assess(pool: Sequence[dict], only_docs: bool) -> tuple[bool, str]:
 # ------------------------------------------------------------------------------------------------ gaps
 
 
-def plan_backfill(pool: Sequence[dict], packed: Sequence[dict], asked: Sequence[str], callees: dict[str, Sequence[str]], *, containers: int = 2, per_container: int = 24, per_callee: int = 6, total: int = 24) -> list[tuple[dict, str]]:
+def plan_backfill(pool: Sequence[dict], packed: Sequence[dict], asked: Sequence[str], callees: dict[str, Sequence[str]], refs: dict[str, Sequence[str]] | None = None, *, containers: int = 2, per_container: int = 24, per_callee: int = 6, specs: int = 2, per_spec: int = 6, total: int = 24) -> list[tuple[dict, str]]:
     """Pool chunks that close gaps of a pack, each with its reason, taken in turn from: package files that export a seed,
-    members of named containers that are in the pack, functions that packed members call. Only pool chunks count."""
+    members of named containers that are in the pack, functions that packed members call, code that packed documents refer
+    to (``refs``: document chunk to code chunks). Only pool chunks count."""
     have = {e["chunkId"] for e in packed}
     inside = {(e["symbol"] or "").replace("::", ".") for e in packed if e["symbol"]}
     spans: dict[str, list[tuple[int, int]]] = {}
@@ -401,6 +408,13 @@ def plan_backfill(pool: Sequence[dict], packed: Sequence[dict], asked: Sequence[
         held = [c for c in open_pool if (c.get("symbol_fqn") or "").replace("::", ".") in called][:per_callee]
         if held:
             groups.append((f"gap: called by {a}", held))
+    anchored = 0
+    for e in packed:
+        named = (refs or {}).get(e["chunkId"]) if e["type"] == "spec" and anchored < specs else None
+        held = [c for c in open_pool if c["chunk_id"] in named][:per_spec] if named else []
+        if held:
+            anchored += 1
+            groups.append((f"gap: named by {e['path']}", held))
     out: list[tuple[dict, str]] = []
     seen: set[str] = set()
     for k in range(max((len(g) for _, g in groups), default=0)):
@@ -417,7 +431,7 @@ PACK = T.StructType(
 )
 
 
-def pack(pool: DataFrame, chunks: DataFrame, queries: DataFrame, budget: Budget, flows: DataFrame | None = None, calls: DataFrame | None = None) -> DataFrame:
+def pack(pool: DataFrame, chunks: DataFrame, queries: DataFrame, budget: Budget, flows: DataFrame | None = None, calls: DataFrame | None = None, spec_refs: DataFrame | None = None, failed: DataFrame | None = None) -> DataFrame:
     """One evidence pack per query. ``pool`` as reranked (with columns of the features), ``queries`` with query_id, project_id,
     text, symbols. Texts are joined for candidates of the pool only; a query's pool is bounded by the channel and graph
     quotas, so a group fits one task. Queries without candidates get an empty pack."""
@@ -429,8 +443,19 @@ def pack(pool: DataFrame, chunks: DataFrame, queries: DataFrame, budget: Budget,
         rows = rows.join(out, ["project_id", "symbol_fqn"], "left")
     else:
         rows = rows.withColumn("callees", F.lit(None).cast("array<string>"))
-    per = rows.groupBy("query_id").agg(F.collect_list(F.struct(*cols, "callees")).alias("rows"))
+    if spec_refs is not None:
+        named = spec_refs.groupBy("project_id", F.col("spec_block_id").alias("chunk_id")).agg(F.slice(F.array_sort(F.collect_set("symbol_id")), 1, 500).alias("refs"), F.max("stale").alias("_stale"))
+        rows = rows.join(named, ["project_id", "chunk_id"], "left").withColumn("stale", F.coalesce("_stale", F.lit(False)))
+    else:
+        rows = rows.withColumn("refs", F.lit(None).cast("array<string>")).withColumn("stale", F.lit(False))
+    per = rows.groupBy("query_id").agg(F.collect_list(F.struct(*cols, "callees", "refs", "stale")).alias("rows"))
     wide = queries.select("query_id", "project_id", "symbols").join(per, "query_id", "left")
+    if failed is not None:
+        # names of the failed references that come from packed files, per query and bounded by a slice
+        mine = rows.select("query_id", "project_id", F.col("path").alias("file_path")).distinct().join(failed.select("project_id", "file_path", "name"), ["project_id", "file_path"])
+        wide = wide.join(mine.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_set("name")), 1, 50).alias("failed")), "query_id", "left")
+    else:
+        wide = wide.withColumn("failed", F.lit(None).cast("array<string>"))
     if flows is not None:
         chains = flows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("pos", "fqns", "truncated"))).alias("flows"))
         wide = wide.join(chains, "query_id", "left")
@@ -448,11 +473,13 @@ def pack(pool: DataFrame, chunks: DataFrame, queries: DataFrame, budget: Budget,
                     r["channel_ranks"] = json.loads(r["channel_ranks"]) if r["channel_ranks"] else {}
                     held.append(r)
                 chains = [{"fqns": list(x["fqns"]), "truncated": bool(x["truncated"])} for x in (q["flows"] if q["flows"] is not None else ())]
-                first = Packer(held, budget, flows=chains).run()
+                lost = list(q["failed"]) if q["failed"] is not None else []
+                first = Packer(held, budget, flows=chains, failed=lost).run()
                 asked = list(q["symbols"]) if q["symbols"] is not None else []
                 calls_of = {(r["symbol_fqn"] or "").replace("::", "."): list(r["callees"]) for r in held if r.get("callees") is not None}
-                gaps = plan_backfill(sorted(held, key=lambda c: (-c["score"], c["chunk_id"])), first["evidence"], asked, calls_of)
-                done = Packer(held, budget, flows=chains, backfill=gaps, reserve=True).run() if gaps else first
+                refs_of = {r["chunk_id"]: list(r["refs"]) for r in held if r.get("refs") is not None}
+                gaps = plan_backfill(sorted(held, key=lambda c: (-c["score"], c["chunk_id"])), first["evidence"], asked, calls_of, refs_of)
+                done = Packer(held, budget, flows=chains, backfill=gaps, reserve=True, failed=lost).run() if gaps else first
                 docs = sum(e["type"] == "spec" for e in done["evidence"])
                 out.append((q["query_id"], q["project_id"], done["answerable"], done["confidence"], len(done["evidence"]) - docs, docs, done["budget"]["usedTokens"], done["budget"]["truncated"], done["budget"]["omittedCount"], json.dumps(done, ensure_ascii=False)))
             yield pd.DataFrame(out, columns=PACK.fieldNames())
@@ -557,6 +584,13 @@ def prompt(question: str, done: dict) -> str:
     return f"Question: {question}\nconfidence: {done['confidence']}\n\n" + "\n\n".join(rows)
 
 
+def query_coverage(query: str, done: dict) -> float:
+    """The share of the query's words (three letters or more, ideographs one by one) that the evidence holds; 1.0 for none."""
+    said = "\n".join(f"{e['path']} {e['symbol'] or ''} {e['content']}" for e in done["evidence"]).lower()
+    words = {w.lower() for w in re.findall(r"[A-Za-z0-9_]{3,}|[\u4e00-\u9fff]", query)}
+    return sum(w in said for w in words) / len(words) if words else 1.0
+
+
 # ------------------------------------------------------------------------------------------------ order-free variants
 
 

@@ -181,6 +181,12 @@ def c_facts(path: str, text: str, cpp: bool) -> dict:
                 return j
         return len(marks) - 1
 
+    pointers: dict[str, set[str]] = {}
+    for m in re.finditer(r"(?:\(\s*\*\s*([A-Za-z_]\w*)\s*(?:\[[^\]]*\])?\s*\)\s*\([^()]*\)|\.?\b([A-Za-z_]\w*)(?:\[[^\]]*\])?)\s*=\s*(\{[^{}]*\}|&?\s*[A-Za-z_]\w*\s*[;,}])", code):
+        pointers.setdefault(m.group(1) or m.group(2), set()).update(re.findall(r"[A-Za-z_]\w*", m.group(3)))
+    for m in re.finditer(r"\.([A-Za-z_]\w*)\s*=\s*&?\s*([A-Za-z_]\w*)\s*[,};]", code):
+        pointers.setdefault(m.group(1), set()).add(m.group(2))
+
     while k < len(marks):
         at, mark = marks[k]
         if mark == "}":
@@ -252,6 +258,12 @@ def c_facts(path: str, text: str, cpp: bool) -> dict:
             else:
                 head, k = marks[end][0] + 1, end
         k += 1
+    functions = {s[0]: s[1] for s in symbols if s[2] in ("function", "method")}
+    for source, target, kind, at_line, _ in list(edges) if pointers else ():
+        name = re.split(r"::|\.", target)[-1]
+        if kind == "calls" and name in pointers and name not in functions:
+            # a call through a pointer may reach every function the file assigns to it
+            edges += [(source, functions[f], "calls", at_line, "synthesized") for f in sorted(pointers[name]) if f in functions]
     return {"symbols": symbols, "edges": edges, "unresolved": open_refs, "errors": errors}
 
 

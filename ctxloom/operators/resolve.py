@@ -100,3 +100,22 @@ def cascade_spec_refs(spec_refs: DataFrame, old: DataFrame, new: DataFrame) -> D
     moved = o.join(now, ["project_id", "file_path", "fqn"], "left").select("project_id", "symbol_id", F.col("_n").isNull().alias("_gone"), F.when(F.col("_n") == 1, F.col("_id")).alias("_new"), F.lit(True).alias("_was"))
     out = spec_refs.join(moved, ["project_id", "symbol_id"], "left")
     return out.select("project_id", "spec_block_id", F.when(~F.coalesce("_gone", F.lit(False)), F.coalesce("_new", "symbol_id")).otherwise(F.col("symbol_id")).alias("symbol_id"), "provenance", (F.col("stale") | F.coalesce("_gone", F.lit(False))).alias("stale"))
+
+
+def resolve_includes(includes: DataFrame, files: DataFrame) -> DataFrame:
+    """(project_id, include_id, path): the file an include (project_id, include_id, file_path, name) means.
+
+    The path relative to the including file comes first, then the one file of the project with that base name; includes
+    that fit neither have no row. Both steps are equi-joins."""
+    from ctxloom.functions.classify import base_name
+
+    folder = F.regexp_replace("file_path", "[^/]*$", "")
+    rel = F.regexp_replace(F.concat(folder, F.col("name")), r"(^|/)\./", "$1")
+    for _ in range(4):  # a/b/../c is a/c
+        rel = F.regexp_replace(rel, r"(^|/)[^/.][^/]*/\.\./", "$1")
+    known = files.select("project_id", "path").distinct()
+    asked = includes.withColumn("_rel", rel)
+    near = asked.join(known.withColumnRenamed("path", "_rel"), ["project_id", "_rel"], "left_semi").select("project_id", "include_id", F.col("_rel").alias("path"))
+    single = known.groupBy("project_id", base_name(F.col("path")).alias("_base")).agg(F.count(F.lit(1)).alias("_n"), F.min("path").alias("path")).where("_n = 1")
+    rest = asked.join(near.select("project_id", "include_id"), ["project_id", "include_id"], "left_anti").withColumn("_base", base_name(F.col("name")))
+    return near.unionByName(rest.join(single, ["project_id", "_base"]).select("project_id", "include_id", "path"))

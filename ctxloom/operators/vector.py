@@ -8,7 +8,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,6 +41,26 @@ class HashedTrigrams:
         return out / np.maximum(norms, 1e-12)
 
 
+def with_prefix(text: Column, side: str, prefixes: dict[str, str]) -> Column:
+    """The text with the prefix its side has under a model, if it has one."""
+    return F.concat(F.lit(prefixes.get(side, "")), text)
+
+
+def embed_window(batch: int, concurrency: int, most: int = 4_000) -> int:
+    """How many texts are in flight at once."""
+    return min(batch * concurrency, most)
+
+
+def cached_query_vectors(queries: DataFrame, provider: EmbeddingProvider, cache: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Query vectors (query_id, project_id, vector), and the cache (model, dim, text, vector) with the new ones added."""
+    mine = None if cache is None else cache.where((F.col("model") == provider.model) & (F.col("dim") == provider.dim)).select("text", "vector")
+    asked = queries.select("text").where("text is not null").distinct()
+    fresh = embed_column(asked if mine is None else asked.join(mine, "text", "left_anti"), "text", provider, "query").select("text", "vector")
+    known = fresh if mine is None else mine.unionByName(fresh)
+    added = fresh.select(F.lit(provider.model).alias("model"), F.lit(provider.dim).alias("dim"), "text", "vector")
+    return queries.select("query_id", "project_id", "text").join(known, "text").drop("text"), added if cache is None else cache.unionByName(added)
+
+
 def embed_column(df: DataFrame, text: str, provider: EmbeddingProvider, side: str = "passage", out: str = "vector", batch: int = 256) -> DataFrame:
     """``df`` with the embedding of ``text``; one provider per worker, batches keep their order, null texts count as empty."""
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.FloatType()))])

@@ -23,6 +23,7 @@ class Index:
     files: DataFrame
     spec_refs: DataFrame | None = None
     chunk_vectors: DataFrame | None = None
+    failed_refs: DataFrame | None = None
 
 
 def read_queries(queries: DataFrame) -> DataFrame:
@@ -76,4 +77,4 @@ def search(index: Index, queries: DataFrame, provider: vector.EmbeddingProvider
     heads = ranked.where(F.col("rank") <= graph.FLOW_SEEDS).where("kind <> 'spec' and symbol_fqn is not null").select("query_id", "project_id", F.col("symbol_fqn").alias("fqn"), F.col("rank").alias("pos"))
     chains = graph.flows(heads, index.symbols, index.edges)
     calls = index.edges.where(F.col("kind") == "calls")
-    return pack(ranked, index.chunks, asked, budget or Budget.of("fast"), chains, calls)
+    return pack(ranked, index.chunks, asked, budget or Budget.of("fast"), chains, calls, index.spec_refs, index.failed_refs)

@@ -143,4 +143,10 @@ def identify(repos: DataFrame) -> DataFrame:
     return repos.withColumn("project_id", id_of_project(key))
 
 
-__all__ = ["blob_source", "check_uploads", "checkpoints", "file_hash", "identify", "list_paths", "load_golden", "plan_scan", "prepare_text", "put_blobs", "read_ledger", "read_requests", "requests_of", "scan_directory", "store_usage", "unreferenced"]
+def displaced(projects: DataFrame) -> DataFrame:
+    """Empty projects (project_id, remote, relative, branch, files) with a sibling branch that has an index: project_id, sibling."""
+    full = projects.where("files > 0").groupBy("remote", "relative").agg(F.max_by("project_id", "files").alias("sibling"))
+    return projects.where("coalesce(files, 0) = 0").join(full, ["remote", "relative"]).select("project_id", "sibling")
+
+
+__all__ = ["displaced", "blob_source", "check_uploads", "checkpoints", "file_hash", "identify", "list_paths", "load_golden", "plan_scan", "prepare_text", "put_blobs", "read_ledger", "read_requests", "requests_of", "scan_directory", "store_usage", "unreferenced"]

@@ -107,3 +107,9 @@ def test_parse_files_as_rows(spark):
     p = parse_files(df).cache()
     assert p.count() == 2 and explode(p, "symbols").count() == 5 and explode(p, "chunks").where("symbol_kind = 'spec_block'").count() == 1
     assert parse_files(df.limit(0)).count() == 0
+
+
+def test_calls_through_pointers():
+    code = "static int one(int a) { return a; }\nstatic int two(int a) { return a; }\nstruct ops { int (*run)(int); };\nint (*hook)(int) = one;\nstruct ops t = { .run = two, };\nint go(struct ops *o) { return hook(1) + o->run(2); }\n"
+    e = {(a, b, p) for a, b, k, _, p in c_facts("x.c", code, False)["edges"] if k == "calls"}
+    assert ("go", "one", "synthesized") in e and ("go", "two", "synthesized") in e and ("go", "hook", "parsed") in e

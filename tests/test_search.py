@@ -227,3 +227,33 @@ def test_spans(spark):
     assert sorted((r.k, r.start_line, r.end_line, r.spans) for r in pack.merged_spans(df, ["k"]).collect()) == [("f", 1, 12, 3), ("f", 40, 41, 1), ("g", 2, 2, 1)]
     tot = spark.createDataFrame([("f", 45), ("g", 2), ("h", 3)], "k string, total int")
     assert sorted((r.k, r.first, r["last"]) for r in pack.uncovered_spans(df, tot, ["k"]).collect()) == [("f", 6, 9), ("f", 13, 39), ("f", 42, 45), ("g", 1, 1), ("h", 1, 3)]
+
+
+def test_includes_visibility_and_error_spans(spark):
+    inc = spark.createDataFrame([("p", 1, "a/b/x.c", "y.h"), ("p", 2, "a/b/x.c", "../z.h"), ("p", 3, "a/b/x.c", "only.h"), ("p", 4, "a/b/x.c", "two.h"), ("p", 5, "a/b/x.c", "none.h")], "project_id string, include_id int, file_path string, name string")
+    files = spark.createDataFrame([("p", f) for f in ("a/b/y.h", "y.h", "a/z.h", "q/only.h", "m/two.h", "n/two.h")], "project_id string, path string")
+    assert sorted((r.include_id, r.path) for r in resolve.resolve_includes(inc, files).collect()) == [(1, "a/b/y.h"), (2, "a/z.h"), (3, "q/only.h")]
+    syms = spark.createDataFrame([symbol("1", "f", path="a.c", exported=False), symbol("2", "g", path="b.c", exported=False), symbol("3", "h", path="b.c")], SYMBOLS)
+    assert sorted(r.id for r in graph.visible_symbols(syms, F.lit("a.c")).collect()) == ["1", "3"]
+    facts = syms.select("project_id", "file_path", "id", "start_line", "end_line")
+    spans = spark.createDataFrame([("p", "b.c", 4, 9)], "project_id string, file_path string, start_line int, end_line int")
+    assert sorted(r.id for r in graph.drop_inside(facts, spans).collect()) == ["1"]
+
+
+def test_query_vectors_are_cached(spark):
+    q = spark.createDataFrame([("1", "p", "a b c"), ("2", "p", "a b c"), ("3", "p", None)], "query_id string, project_id string, text string")
+    provider = vector.HashedTrigrams(8)
+    got, cache = vector.cached_query_vectors(q, provider, None)
+    assert got.count() == 2 and cache.count() == 1
+    marked = cache.withColumn("vector", F.array(*[F.lit(1.0).cast("float")] * 8))
+    again, grown = vector.cached_query_vectors(q, provider, marked)
+    assert again.first().vector == [1.0] * 8 and grown.count() == 1
+
+
+def test_documents_bring_the_code_they_name():
+    pool = [cand("s", 5.0, "d.md", "spec"), cand("c", 4.0, "c.py"), cand("c2", 4.0, "c2.py"), cand("t", 0.1, "t.py")]
+    first = pack.Packer(pool, pack.Budget.of("fast"), failed=["gone_name", "a[0]"]).run()
+    assert first["missingEvidence"][0]["symbol"] == "gone_name"
+    plan = pack.plan_backfill(pool, first["evidence"], [], {}, {"s": ["t", "zz"]})
+    assert [(c["chunk_id"], why) for c, why in plan] == [("t", "gap: named by d.md")]
+    assert pack.query_coverage("what does x do zzz", first) < 1.0 and pack.query_coverage("", first) == 1.0
