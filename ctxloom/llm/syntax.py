@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ctxloom.llm import grammars
 from ctxloom.llm.chart import Grammar
-from ctxloom.tables import current_files
+from ctxloom.tables import current_files, cut
 
 #: Extension -> grammar family; a path without one of these is only searched for merge markers.
 FAMILIES = {
@@ -849,7 +849,10 @@ def broken_files(files: DataFrame, blobs: DataFrame) -> DataFrame:
     current = current.withColumn("family", F.coalesce(told, _extension_family())).withColumn("_own", _extension_family())
     guess = _scan(blobs.select("project_id", "path", "content").where("path is not null").withColumn("family", _extension_family()))
     agreed = guess.join(current.where("family = _own").select("project_id", "path", "language"), ["project_id", "path"])
-    other = current.where("family <> _own").select("project_id", "path", "language", "family")
+    other = cut(current.where("family <> _own").select("project_id", "path", "language", "family"), "p1")
+    done = ["project_id", "path", "language", "line", "message"]
+    if other.isEmpty():  # then no content has to be fetched by key
+        return agreed.select(*done).dropDuplicates(["project_id", "path"])
     again = _scan(blobs.select("project_id", "path", "content").join(other, ["project_id", "path"]).select("project_id", "path", "content", "family"))
     differed = again.join(other.select("project_id", "path", "language"), ["project_id", "path"])
-    return agreed.unionByName(differed).select("project_id", "path", "language", "line", "message").dropDuplicates(["project_id", "path"])
+    return agreed.unionByName(differed).select(*done).dropDuplicates(["project_id", "path"])
