@@ -16,6 +16,7 @@ from ctxloom.operators.pack import Budget, render
 from ctxloom.operators.parse import PARSED, explode, parse_files
 from ctxloom.operators.state import VersionedState
 from ctxloom.plans.search import Index, search, search_pool
+from ctxloom.session import ship
 from ctxloom.sources import repo
 from ctxloom.sources.ignore import IgnoreRules
 
@@ -46,7 +47,7 @@ class ContextEngine:
     """
 
     def __init__(self, spark: SparkSession, root: str, provider: vector.EmbeddingProvider | None = None, config: dict | None = None):
-        self.spark, self.root = spark, root.rstrip("/")
+        self.spark, self.root = ship(spark), root.rstrip("/")
         self.provider = provider or vector.HashedTrigrams()
         self.fingerprint = {"parser_hash": store.fingerprint(config or {"parser": 1}), "model": self.provider.model, "dim": str(self.provider.dim), "schema": SCHEMA_VERSION}
 
