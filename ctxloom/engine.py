@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ctxloom.functions.classify import lift_headers
-from ctxloom.operators import resolve, store, vector
+from ctxloom.operators import lexical, resolve, store, vector
 from ctxloom.operators.pack import Budget, render
 from ctxloom.operators.parse import PARSED, explode, parse_files
 from ctxloom.operators.state import VersionedState
@@ -108,6 +108,9 @@ class ContextEngine:
         self._finish(project, base, had_symbols, plan)
         report.chunks = self.spark.read.parquet(f"{base}/chunks").count()
         report.embedded = self._embed(project, base)
+        tf, lengths = lexical.inverted_index(self.spark.read.parquet(f"{base}/chunks"))
+        tf.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{base}/postings")
+        lengths.write.parquet(f"{base}/lengths")
         rows = [(k, v) for k, v in {**self.fingerprint, "state": "ready", "chunks": str(report.chunks)}.items()]
         self.spark.createDataFrame(rows, "key string, value string").coalesce(1).write.parquet(f"{base}/index_config")
         self._pointer(project).publish(name)
@@ -167,7 +170,7 @@ class ContextEngine:
             paths = [f"{self.root}/projects/{p}/{self._pointer(p).current()}/{table}" for p in held]
             return self.spark.read.parquet(*paths)
 
-        return Index(whole("chunks"), whole("symbols"), whole("edges"), whole("files"), whole("spec_refs"), store.check_vectors(whole("vectors"), self.provider.dim), whole("unresolved"))
+        return Index(whole("chunks"), whole("symbols"), whole("edges"), whole("files"), whole("spec_refs"), store.check_vectors(whole("vectors"), self.provider.dim), whole("unresolved"), (whole("postings"), whole("lengths")))
 
     def search(self, queries: DataFrame, *, max_tokens: int = 10_000, mode: str = "fast") -> DataFrame:
         """One evidence pack per query (query_id, project_id, text); queries on projects without an index get an empty pack."""

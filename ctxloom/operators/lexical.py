@@ -44,18 +44,29 @@ def postings(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     return split.select("project_id", "chunk_id", F.explode(every).alias("p")).select("project_id", "chunk_id", "p.term", "p.weight"), lengths
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, limit: int = QUOTAS["bm25"], operator: str = "or") -> DataFrame:
+def inverted_index(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What an ingest keeps for BM25: (project_id, term, chunk_id, tf) with weighted frequencies, and the chunk lengths."""
+    occurrences, lengths = postings(chunks)
+    return occurrences.groupBy("project_id", "term", "chunk_id").agg(F.sum("weight").alias("tf")), lengths
+
+
+def bm25(chunks: DataFrame, queries: DataFrame, limit: int = QUOTAS["bm25"], operator: str = "or", index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(query_id, project_id, chunk_id, score, rank): the best chunks per query; higher scores are better, ties by chunk id.
 
-    Occurrences are cut down to asked terms before they are shuffled, and counted with partial aggregation. A term asked
+    With ``index`` (of :func:`inverted_index`) only the postings of asked terms are read; else texts are tokenised here,
+    occurrences cut down to asked terms before they are shuffled, and counted with partial aggregation. A term asked
     twice counts twice; document frequencies and mean lengths are those of the project. ``operator='and'`` keeps only
     chunks with all distinct terms. Queries without terms, and null texts, find nothing.
     """
     asked = queries.select("query_id", "project_id", F.explode(terms(lexical_query(F.col("text")))).alias("term"))
     asked = asked.groupBy("query_id", "project_id", "term").agg(F.count(F.lit(1)).alias("times"))
     wanted = asked.select("project_id", "term").distinct()
-    occurrences, lengths = postings(chunks)
-    tf = occurrences.join(wanted, ["project_id", "term"], "left_semi").groupBy("project_id", "chunk_id", "term").agg(F.sum("weight").alias("tf"))
+    if index is None:
+        occurrences, lengths = postings(chunks)
+        tf = occurrences.join(wanted, ["project_id", "term"], "left_semi").groupBy("project_id", "chunk_id", "term").agg(F.sum("weight").alias("tf"))
+    else:
+        held, lengths = index
+        tf = held.join(wanted, ["project_id", "term"], "left_semi").select("project_id", "chunk_id", "term", "tf")
     df = tf.groupBy("project_id", "term").agg(F.count(F.lit(1)).alias("df"))
     totals = lengths.groupBy("project_id").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean_length"))
     terms_asked = asked.join(df, ["project_id", "term"]).join(totals, "project_id")
@@ -142,6 +153,6 @@ def recall_literal(chunks: DataFrame, symbols: DataFrame, phrases: DataFrame, li
     return ranked.select("query_id", "project_id", "chunk_id", F.lit("literal").alias("channel"), "rank", F.when(F.col("m.strong"), 0).otherwise(1).alias("tier"), reason.alias("reason"))
 
 
-def recall_bm25(chunks: DataFrame, queries: DataFrame, limit: int = QUOTAS["bm25"]) -> DataFrame:
+def recall_bm25(chunks: DataFrame, queries: DataFrame, limit: int = QUOTAS["bm25"], index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Candidates of the BM25 channel."""
-    return bm25(chunks, queries, limit).select("query_id", "project_id", "chunk_id", F.lit("bm25").alias("channel"), "rank", F.lit(1).alias("tier"), F.format_string("bm25 %.6f", "score").alias("reason"))
+    return bm25(chunks, queries, limit, index=index).select("query_id", "project_id", "chunk_id", F.lit("bm25").alias("channel"), "rank", F.lit(1).alias("tier"), F.format_string("bm25 %.6f", "score").alias("reason"))

@@ -24,6 +24,7 @@ class Index:
     spec_refs: DataFrame | None = None
     chunk_vectors: DataFrame | None = None
     failed_refs: DataFrame | None = None
+    terms: tuple[DataFrame, DataFrame] | None = None
 
 
 def read_queries(queries: DataFrame) -> DataFrame:
@@ -43,7 +44,7 @@ def recall(index: Index, asked: DataFrame, provider: vector.EmbeddingProvider |
         lexical.recall_symbols(index.symbols, names("explicit"), "exact", 0, q["exact"]),
         lexical.recall_literal(index.chunks, index.symbols, phrases, q["literal"]),
         lexical.recall_symbols(index.symbols, names("inferred"), "inferred", 1, q["inferred"]),
-        lexical.recall_bm25(index.chunks, asked, q["bm25"]),
+        lexical.recall_bm25(index.chunks, asked, q["bm25"], index.terms),
     ]
     if index.chunk_vectors is not None and provider is not None:
         embedded = vector.embed_column(asked.select("query_id", "project_id", "text"), "text", provider, "query")

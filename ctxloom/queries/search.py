@@ -10,7 +10,7 @@ from ctxloom.operators.fusion import fuse
 from ctxloom.operators.pack import merged_spans, uncovered_spans
 from ctxloom.plans.search import Index, search, search_pool
 from ctxloom.queries import Registry
-from ctxloom.tables import current_files, load
+from ctxloom.tables import current_files, cut, load
 
 CH = "(SELECT DISTINCT ON (project_id, id) * FROM chunks)"
 SY = "(SELECT DISTINCT ON (project_id, id) * FROM symbols)"
@@ -46,6 +46,13 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return found.select("query_id", "chunk_id", F.round("score", 4).alias("score"))
 
 
+def bm25_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """The same from an inverted index that is written first, as an ingest keeps it."""
+    tf, lengths = lexical.inverted_index(_chunks(spark, d))
+    index = cut(tf.repartitionByRange("term").sortWithinPartitions("term"), "postings"), cut(lengths, "lengths")
+    return lexical.bm25(_chunks(spark, d), probe(spark, d), index=index).select("query_id", "chunk_id", F.round("score", 4).alias("score"))
+
+
 def _bm25_sql() -> str:
     def tokens(column: str, weight: int) -> str:
         return f"SELECT project_id, id, lower(unnest(regexp_extract_all(coalesce({column}, ''), '{TERM_SQL}'))) AS term, {weight} AS w FROM c"
@@ -101,6 +108,12 @@ def recall_exact(spark: SparkSession, d: str) -> DataFrame:
     return lexical.recall_symbols(_symbols(spark, d), names, "exact", 0, lexical.QUOTAS["exact"])
 
 
+EXACT_RECALL_SQL = f"""WITH {PROBE}, x AS (SELECT q.query_id, q.project_id, s.chunk_id, min((v.i, s.fqn <> v.t, NOT s.is_exported, s.file_path, s.start_line, s.id, v.t)) AS k FROM q,
+LATERAL (SELECT * FROM (VALUES (0, q.symbol), (1, replace(q.symbol, '::', '.')), (2, replace(q.symbol, '.', '::'))) z(i, t)) v
+JOIN {SY} s ON s.project_id = q.project_id AND (s.name = v.t OR s.fqn = v.t) AND s.chunk_id IS NOT NULL GROUP BY ALL)
+SELECT query_id, project_id, chunk_id, 'exact' AS channel, rank, 0 AS tier, 'explicit symbol ' || k[7] AS reason FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY k)::INT AS rank FROM x) WHERE rank <= 20"""
+
+
 def covering(spark: SparkSession, d: str) -> DataFrame:
     points = _edges(spark, d).where("line is not null").select("edge_id", "project_id", "file_path", "line")
     return graph.covering_chunks(points, _chunks(spark, d), ["edge_id"])
@@ -290,10 +303,11 @@ def register(reg: Registry) -> None:
     reg.query("merged_spans", SPAN_SQL.format(gap=10))(joined_spans)
     reg.query("uncovered_spans", OPEN_SQL)(open_spans)
     reg.query("bm25_topk", _bm25_sql())(bm25_topk)
+    reg.query("bm25_indexed", _bm25_sql())(bm25_indexed)
     reg.query("literal_search", LITERAL_SQL)(literals)
     reg.query("symbol_literal_search", ROOT_SQL)(symbol_roots)
     reg.query("exact_symbols", EXACT_SQL)(exact_lookup)
-    reg.query("recall_exact")(recall_exact)
+    reg.query("recall_exact", EXACT_RECALL_SQL)(recall_exact)
     reg.query("covering_chunk", COVER_SQL)(covering)
     reg.query("container_members", MEMBER_SQL)(members)
     reg.query("edges_both_ways", BOTH_SQL)(both_ways)

@@ -53,6 +53,8 @@ def test_bm25_equals_brute_force(spark):
     got = {r.chunk_id: r.score for r in lexical.bm25(chunks, q).collect()}
     want = brute_bm25(docs, "Load the key tree tree blue")
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+    kept = {r.chunk_id: r.score for r in lexical.bm25(chunks, q, index=lexical.inverted_index(chunks)).collect()}
+    assert kept == got
     both = {r.chunk_id for r in lexical.bm25(chunks, q.limit(1).withColumn("text", F.lit("load blue")), operator="and").collect()}
     bag = {i: set(f"{c} {s or ''} {d or ''}".split()) for i, c, s, d in docs}
     assert both == {i for i, b in bag.items() if {"load", "blue"} <= b}
