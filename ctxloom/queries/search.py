@@ -187,6 +187,16 @@ m2 AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY id) AS n, sum((spath
 m3 AS (SELECT * FROM (SELECT * EXCLUDE (n), count(*) OVER (PARTITION BY id) AS n, sum(ex::INT) OVER (PARTITION BY id) AS exs FROM m2) WHERE n = 1 OR exs = 0 OR ex)"""
 
 
+def _resolve_sql() -> str:
+    """All pending references with path hints of imports, up to the matches ``m3``."""
+    hint = """list_filter([m || '.py', m || '/__init__.py', CASE WHEN regexp_replace(m, '/?[^/]*$', '') <> '' THEN regexp_replace(m, '/?[^/]*$', '') || '.py' END, CASE WHEN regexp_replace(m, '/?[^/]*$', '') <> '' THEN regexp_replace(m, '/?[^/]*$', '') || '/__init__.py' END], lambda h: h IS NOT NULL)"""
+    parts = r"""length(regexp_extract(name, '^(\.*)', 1)) AS dots, replace(regexp_replace(name, '^\.+', ''), '.', '/') AS rest, array_to_string(string_split(file_path, '/')[1:greatest(len(string_split(file_path, '/')) - greatest(length(regexp_extract(name, '^(\.*)', 1)), 1), 0)], '/') AS base"""
+    hinted = f"""h AS (SELECT id, {hint} AS hints FROM (SELECT *, CASE WHEN dots > 0 AND base <> '' THEN base || '/' || rest ELSE rest END AS m FROM (SELECT id, {parts} FROM r WHERE kind = 'import'))),
+m1 AS (SELECT * FROM m0 WHERE id NOT IN (SELECT id FROM h) OR EXISTS (SELECT 1 FROM (SELECT unnest(hints) AS hint FROM h WHERE h.id = m0.id) z WHERE spath = hint OR ends_with(spath, '/' || hint))),"""
+    body = MATCH_SQL.replace("m1 AS (SELECT * FROM m QUALIFY by_ = min(by_) OVER (PARTITION BY id)),", "m0 AS (SELECT * FROM m QUALIFY by_ = min(by_) OVER (PARTITION BY id)),\n" + hinted)
+    return "WITH " + body + ", f AS (SELECT *, count(*) OVER (PARTITION BY id) AS found FROM m3) "
+
+
 def call_matches(spark: SparkSession, d: str) -> DataFrame:
     """Pending references that are no imports, with the number of symbols each may mean."""
     refs = _refs(spark, d).where("status = 'pending' and kind <> 'import'").select("project_id", F.col("id").alias("ref_id"), F.trim("name").alias("name"), "kind", "file_path")
@@ -323,8 +333,13 @@ def register(reg: Registry) -> None:
         AND {TAIL.format("e.target_name")} = {TAIL.format("s.fqn")} WHERE s.is_exported""",
     )(reexports)
     reg.query("resolve_matches", f"WITH {MATCH_SQL} SELECT id AS ref_id, min(sid) AS symbol_id, count(*) AS found FROM m3 WHERE id IN (SELECT id FROM r WHERE kind <> 'import') GROUP BY 1")(call_matches)
-    reg.query("resolve_pending")(pending_edges)
-    reg.query("resolve_failed")(pending_failed)
+    reg.query(
+        "resolve_pending",
+        _resolve_sql()
+        + """SELECT DISTINCT r.project_id, r.from_fqn AS source_fqn, f.fqn AS target_name, CASE r.kind WHEN 'call' THEN 'calls' WHEN 'import' THEN 'imports' WHEN 'inherit' THEN 'extends' WHEN 'implement' THEN 'implements' WHEN 'extends' THEN 'extends' ELSE 'references' END AS kind, r.line,
+        CASE WHEN found = 1 THEN 'resolved' ELSE 'synthesized' END AS provenance FROM f JOIN r ON r.id = f.id""",
+    )(pending_edges)
+    reg.query("resolve_failed", _resolve_sql() + f"SELECT id, 'failed' AS status, {TAIL.format('name')} AS name_tail FROM r WHERE status = 'pending' AND id NOT IN (SELECT id FROM f)")(pending_failed)
     reg.query("retarget_edges")(retargeted)
     reg.query("cosine_top_k", NEAREST_SQL)(nearest)
     reg.query(

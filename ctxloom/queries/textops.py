@@ -131,6 +131,13 @@ def hints(spark: SparkSession, d: str) -> DataFrame:
     return e.select("file_path", "name", F.array_join(X.import_hints(F.col("file_path"), F.col("name")), "|").alias("hints"))
 
 
+#: Files an imported name may live in, as a list; ``{f}`` is the importing file, ``{n}`` the name.
+HINTS_EXPR = """list_filter([m || '.py', m || '/__init__.py', CASE WHEN regexp_replace(m, '/?[^/]*$', '') <> '' THEN regexp_replace(m, '/?[^/]*$', '') || '.py' END, CASE WHEN regexp_replace(m, '/?[^/]*$', '') <> '' THEN regexp_replace(m, '/?[^/]*$', '') || '/__init__.py' END], lambda h: h IS NOT NULL)"""
+MODULE_EXPR = """CASE WHEN dots > 0 AND base <> '' THEN base || '/' || rest ELSE rest END"""
+PARTS_EXPR = """length(regexp_extract(name, '^(\\.*)', 1)) AS dots, replace(regexp_replace(name, '^\\.+', ''), '.', '/') AS rest, array_to_string(string_split(file_path, '/')[1:greatest(len(string_split(file_path, '/')) - greatest(length(regexp_extract(name, '^(\\.*)', 1)), 1), 0)], '/') AS base"""
+HINT_SQL = f"""SELECT file_path, name, array_to_string({HINTS_EXPR}, '|') AS hints FROM (SELECT *, {MODULE_EXPR} AS m FROM (SELECT *, {PARTS_EXPR} FROM (SELECT DISTINCT file_path, trim(target_name) AS name FROM edges WHERE kind = 'imports')))"""
+
+
 def byte_cuts(spark: SparkSession, d: str) -> DataFrame:
     """Documents cut to 100 bytes between characters, and their redacted heads."""
     t = load(spark, d, "documents")
@@ -162,6 +169,6 @@ def register(reg: Registry) -> None:
     reg.query("chunk_classes", BANNER_SQL)(banners)
     reg.query("query_parts")(queries_read)
     reg.query("name_shapes", SHAPE_SQL)(shapes)
-    reg.query("import_hints")(hints)
+    reg.query("import_hints", HINT_SQL)(hints)
     reg.query("document_texts", BYTE_SQL)(byte_cuts)
     reg.query("redacted_chunks", f"SELECT project_id, id, md5(regexp_replace(content, '\\b(?:[a-z]{{2,6}}_|sk-)[A-Za-z0-9_\\-]*[A-Z][A-Za-z0-9_\\-]{{6,}}', '***', 'g')) AS redacted FROM {CH}")(redactions)
