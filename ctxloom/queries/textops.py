@@ -160,7 +160,7 @@ def register(reg: Registry) -> None:
     reg.query("chunk_hashes", f"SELECT project_id, id, sha256(regexp_replace(content, chr(13) || chr(10) || '?', chr(10), 'g')) AS hash, sha256(regexp_replace(content, chr(13) || chr(10) || '?', chr(10), 'g')) = content_hash AS same FROM {CH}")(chunk_hashes)
     reg.query(
         "blob_hashes",
-        "SELECT project_id, path, sha256(content) AS file_hash, sha256(encode(path) || '\\x00'::BLOB || content) = blob_hash AS same, octet_length(content) AS bytes, CASE WHEN octet_length(content) < 1024 THEN printf('%d B', octet_length(content)) ELSE printf('%.1f KB', octet_length(content) / 1024.0) END AS size, octet_length(content) > 131072 AS oversize FROM blobs",
+        "SELECT project_id, path, sha256(content) AS file_hash, sha256(encode(path) || '\\x00'::BLOB || content) = blob_hash AS same, octet_length(content) AS bytes, CASE WHEN octet_length(content) < 1024 THEN printf('%d B', octet_length(content)) ELSE printf('%.1f KB', round(octet_length(content) / 1024.0, 1)) END AS size, octet_length(content) > 131072 AS oversize FROM blobs",
     )(blob_hashes)
     reg.query("binary_files")(binary_files)
     reg.query("path_classes", PATH_SQL)(paths)
