@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ctxloom.functions.classify import lift_headers
 from ctxloom.operators import lexical, resolve, store, vector
+from ctxloom.operators.fusion import DEPRECATED_MARK
 from ctxloom.operators.pack import Budget, render
 from ctxloom.operators.parse import PARSED, explode, parse_files
 from ctxloom.operators.state import VersionedState
@@ -97,6 +98,7 @@ class ContextEngine:
         parse_files(files.join(todo, ["project_id", "path"], "left_semi")).write.parquet(f"{base}/parsed")
         parsed = self.spark.read.schema(PARSED).parquet(f"{base}/parsed")
         tables = {t: explode(parsed, part) for t, part in _PARTS.items()}
+        tables["chunks"] = tables["chunks"].withColumn("deprecated", F.lower("content").contains(DEPRECATED_MARK))
         tables["files"] = parsed.select("project_id", "path", "content_hash", "language", "generated", F.current_timestamp().cast("timestamp_ntz").alias("indexed_at"), "parse_errors")
         had_symbols = self._read(project, "symbols")
         for t in tables:

@@ -97,7 +97,9 @@ def signals(pool: DataFrame, queries: DataFrame, chunks: DataFrame, symbols: Dat
     ``queries``: query_id, project_id, text, symbols (array of names the query gives)."""
     exported = symbols.where("is_exported").select("project_id", F.col("fqn").alias("symbol_fqn"), F.lit(True).alias("_exported")).distinct()
     generated = files.where("generated").select("project_id", "path", F.lit(True).alias("_generated")).distinct()
-    marked = chunks.where(F.lower("content").contains(DEPRECATED_MARK)).select("project_id", F.col("id").alias("chunk_id"), F.lit(True).alias("_marked")).distinct()
+    # an ingest keeps the mark as a column, so that no content is read for it
+    deprecated_chunk = F.col("deprecated") if "deprecated" in chunks.columns else F.lower("content").contains(DEPRECATED_MARK)
+    marked = chunks.where(deprecated_chunk).select("project_id", F.col("id").alias("chunk_id"), F.lit(True).alias("_marked")).distinct()
     asked = queries.select("query_id", "project_id", F.explode("symbols").alias("token"))
     tests = symbols.where(is_test_path(F.col("file_path"))).select("project_id", F.explode(F.array("name", "fqn")).alias("token")).distinct()
     names_test = asked.join(tests, ["project_id", "token"], "left_semi").select("query_id", F.lit(True).alias("_names_test")).distinct()

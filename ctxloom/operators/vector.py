@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator, Sequence
 from typing import Protocol
 
@@ -33,10 +32,12 @@ class HashedTrigrams:
     def embed(self, texts: Sequence[str], side: str = "passage") -> np.ndarray:
         out = np.zeros((len(texts), self.dim), dtype=np.float32)
         for row, text in zip(out, texts):
-            low = f" {(text or '').lower()} "
-            for k in range(len(low) - 2):
-                h = zlib.crc32(low[k : k + 3].encode("utf-8", "replace"))
-                row[h % self.dim] += 1.0 if h & 0x80000000 else -1.0
+            c = np.frombuffer(f" {(text or '').lower()} ".encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.uint64)
+            if len(c) < 3:
+                continue
+            h = (c[:-2] * np.uint64(0x9E3779B1) ^ c[1:-1] * np.uint64(0x85EBCA77) ^ c[2:] * np.uint64(0xC2B2AE3D)) * np.uint64(0x9E3779B97F4A7C15)
+            place = (h >> np.uint64(33)) % np.uint64(self.dim)
+            row += np.bincount(place.astype(np.int64), weights=np.where(h >> np.uint64(63), 1.0, -1.0), minlength=self.dim)
         norms = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.maximum(norms, 1e-12)
 

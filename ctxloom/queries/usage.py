@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ctxloom.operators import store, usage
+from ctxloom.operators.lexical import inverted_index
 from ctxloom.operators.parse import explode, parse_files
-from ctxloom.operators.resolve import link_mentions
+from ctxloom.operators.resolve import link_mentions, resolve_pending, retarget_edges
+from ctxloom.operators.vector import HashedTrigrams, embed_distinct
 from ctxloom.queries import Registry
 from ctxloom.sources import repo
-from ctxloom.tables import current_files, load
+from ctxloom.tables import current_files, cut, load
 
 CUTOFF = "2025-07-01"
 
@@ -189,7 +191,24 @@ def mentions(spark: SparkSession, d: str) -> DataFrame:
     return link_mentions(blocks, symbols).select("project_id", "spec_block_id", "symbol_id")
 
 
+def index_build(spark: SparkSession, d: str) -> DataFrame:
+    """A whole index from the uploads: parsing, tables, resolution, inverted index and vectors; rows per table."""
+    parsed = cut(parse_files(load(spark, d, "blobs")), "parsed")
+    chunks, symbols = explode(parsed, "chunks"), explode(parsed, "symbols")
+    key = F.xxhash64("project_id", "file_path", "source_fqn", "target_name", "kind", F.coalesce("line", F.lit(-1)))
+    refs = explode(parsed, "unresolved").withColumns({"status": F.lit("pending"), "id": F.xxhash64("project_id", "file_path", "from_fqn", "name", "kind", F.coalesce("line", F.lit(-1)))})
+    made, failed = resolve_pending(refs, symbols)
+    tf, lengths = inverted_index(chunks)
+    built = {"chunks": chunks, "symbols": symbols, "edges": retarget_edges(explode(parsed, "edges").withColumn("edge_id", key), symbols), "resolved": made, "failed": failed, "postings": tf, "lengths": lengths, "vectors": embed_distinct(chunks, "content", "content_hash", HashedTrigrams())}
+    out = None
+    for name, table in built.items():
+        row = cut(table, name).agg(F.count(F.lit(1)).alias("rows")).withColumn("table_name", F.lit(name))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def register(reg: Registry) -> None:
+    reg.query("index_build")(index_build)
     reg.query("plan_scan", PLAN_SQL)(scan_plan)
     reg.query("replace_files", "SELECT project_id, count(*) AS chunks FROM (SELECT DISTINCT project_id, id FROM chunks) GROUP BY 1")(replaced)
     reg.query("file_delta", DELTA_SQL)(deltas)
