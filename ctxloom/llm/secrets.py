@@ -79,11 +79,19 @@ def entropy(value: str) -> float:
     return math.log2(n) - sum(c * math.log2(c) for c in Counter(value).values()) / n if n else 0.0
 
 
-def _random(value: str, least: int) -> bool:
-    """Whether ``value`` looks drawn at random: long enough, letters with digits, and many different characters."""
-    if len(value) < least or _STAND_IN.search(value):
+def _jumbled(value: str) -> bool:
+    """Whether letters without digits look drawn at random: both cases in about equal parts, as no name in camel case has."""
+    letters = [c for c in value if c.isalpha()]
+    upper = sum(c.isupper() for c in letters)
+    return len(letters) >= 16 and 0.25 <= upper / len(letters) <= 0.75 and entropy(value) >= 3.6
+
+
+def _random(value: str, least: int, *, capitals: bool = False) -> bool:
+    """Whether ``value`` looks drawn at random: long enough, letters with digits (or jumbled letters, or ``capitals`` where
+    the format has no other letters), and many different characters."""
+    if len(value) < least or _STAND_IN.search(value) or not re.search(r"[A-Za-z]", value):
         return False
-    if not (re.search(r"[A-Za-z]", value) and re.search(r"[0-9]", value)):
+    if not (re.search(r"[0-9]", value) or capitals or _jumbled(value)):
         return False
     return entropy(value) >= min(3.0, math.log2(len(value)) * 0.72)
 
@@ -150,13 +158,14 @@ def _format(text: str, start: int, pattern: re.Pattern, anchor: str) -> Finding
     if start and (text[start - 1].isalnum() or text[start - 1] in "_-+/"):
         return None
     quote = text[start - 1] if start else ""
+    capitals = anchor in ("akia", "asia")
     if quote in ("'", '"', "`") and (joined := _literals(text, start - 1)):
         value, spans, _ = joined
         m = pattern.match(value)
-        if m and m.end() == len(value) and _random(value[len(anchor) :], 10):
+        if m and m.end() == len(value) and _random(value[len(anchor) :], 10, capitals=capitals):
             return Finding(tuple(spans), "token")
     m = pattern.match(text, start)
-    if m and _random(m.group()[len(anchor) :], 10):
+    if m and _random(m.group()[len(anchor) :], 10, capitals=capitals):
         end = m.end()
         while end > start and text[end - 1] in ".-_":
             end -= 1
@@ -270,7 +279,7 @@ def find_credentials(text: str | None, path: str | None = None) -> list[Finding]
             if not pre or (lo + pre.start() and (text[lo + pre.start() - 1].isalnum() or text[lo + pre.start() - 1] in "_-/+")):
                 continue
             value = m.group()[1:]
-            if re.search(r"[a-z]", value) and re.search(r"[A-Z]", value) and re.search(r"[0-9]", value) and entropy(value) >= 3.4:
+            if re.search(r"[a-z]", value) and re.search(r"[A-Z]", value) and (re.search(r"[0-9]", value) or _jumbled(value)) and entropy(value) >= 3.4:
                 found.setdefault(lo + pre.start(), Finding(((lo + pre.start(), base + m.end()),), "token"))
     out: list[Finding] = []
     for start in sorted(found):
