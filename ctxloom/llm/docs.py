@@ -239,8 +239,10 @@ def pair(docstring: str | None, content: str | None, path: str | None, fqn: str
 def documented_functions(chunks: DataFrame) -> DataFrame:
     """project_id, chunk_id, signature, body, description of every function or method whose documentation says something.
 
-    Columns used: project_id, id, symbol_kind, symbol_fqn, signature, docstring, content, file_path; any may be null.
-    Copies of a chunk count once. One pass over Arrow batches; kinds are filtered at the scan."""
+    Columns used: project_id, id, symbol_kind, symbol_fqn, signature, docstring, content, file_path; others are ignored. Any
+    may be null: a null kind is no function, a null docstring leaves the content to tell, with both null or empty there is
+    no pair. Texts are lexed whole whatever their length. Repeated rows give repeated pairs, which the caller folds; an
+    empty table gives no rows. One pass over Arrow batches; kinds are filtered at the scan."""
     schema = T.StructType([T.StructField(n, T.StringType()) for n in ("project_id", "chunk_id", "signature", "body", "description")])
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -279,7 +279,9 @@ def foreign_files(blobs: DataFrame, files: DataFrame, repos: DataFrame, *, share
     """Current source files that are not the project's own hand-written code, with the reasons.
 
     project_id, path, generated, minified, data, vendored. ``files`` tells which paths are current (any version counts),
-    ``repos`` which projects are one repository. Copies of rows count once; null paths are no files."""
+    ``repos`` which projects are one repository. Copies of rows count once; null paths are no files, null and empty contents
+    have no reason of their own. A file of which half of the phrases stand in other repositories is vendored, ties at the
+    half included. Empty tables give no rows; columns that are not named here are ignored."""
     profile = cut(profiles(blobs), "p2")
     current = files.select("project_id", "path").where("path is not null").distinct()
     wide = profile.drop("phrases").join(shared_share(profile, repos.groupBy("project_id").agg(F.max("repo").alias("repo"))), ["project_id", "path"], "left")

@@ -54,7 +54,8 @@ def repeated_share(text: str | None, words: int = 6, chars: int = 10) -> float:
 
 
 def repetition(docs: DataFrame, key: str = "doc_id", text: str = "text", *, words: int = 6, chars: int = 10) -> DataFrame:
-    """(key, repeated_share) for every row of ``docs``; nothing is shuffled, one pass over Arrow batches."""
+    """(key, repeated_share) for every row of ``docs``, repeated and null-keyed rows included; other columns are ignored and
+    an empty table gives no rows. Nothing is shuffled, one pass over Arrow batches."""
     schema = T.StructType([docs.schema[key], T.StructField("repeated_share", T.DoubleType())])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -306,8 +306,10 @@ def mask(text: str, findings: list[Finding], placeholder: str = "REDACTED") -> s
 def credential_lines(chunks: DataFrame) -> DataFrame:
     """(project_id, chunk_id, line_no, kind) per line on which a credential begins; copies of a chunk count once.
 
-    ``chunks``: project_id, id, file_path, content; further columns are ignored. One pass over Arrow batches; only the
-    findings are shuffled, to fold copies."""
+    ``chunks``: project_id, id, file_path, content; further columns are ignored. Null and empty contents have no findings, a
+    null path is no settings file, null ids stay null in the result; several credentials on one line are one row, with
+    the least kind. Texts of any length are scanned whole. One pass over Arrow batches; only the findings are shuffled, to
+    fold copies."""
     schema = T.StructType([T.StructField("project_id", T.StringType()), T.StructField("chunk_id", T.StringType()), T.StructField("line_no", T.IntegerType()), T.StructField("kind", T.StringType())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,7 +329,9 @@ def credential_lines(chunks: DataFrame) -> DataFrame:
 
 
 def redacted(chunks: DataFrame, placeholder: str = "REDACTED") -> DataFrame:
-    """Chunks that hold credentials: project_id, chunk_id, findings, content with the values masked."""
+    """Chunks that hold credentials: project_id, chunk_id, findings, content with the values masked.
+
+    Copies of a chunk count once; chunks without findings, with null or empty content give no row."""
     schema = T.StructType([T.StructField("project_id", T.StringType()), T.StructField("chunk_id", T.StringType()), T.StructField("findings", T.IntegerType()), T.StructField("content", T.StringType())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -843,7 +843,8 @@ def broken_files(files: DataFrame, blobs: DataFrame) -> DataFrame:
 
     Every blob is parsed where it is read, by the family its extension tells, and only errors meet the current rows of
     ``files``. Files whose recorded language tells another family than the extension are few; their blobs alone are
-    fetched and parsed again. Files without a blob are not judged; copies count once."""
+    fetched and parsed again. Files without a blob are not judged, nor blobs without a current row or with a null path;
+    copies count once, null contents are empty files, empty tables give no rows. Further columns are ignored."""
     current = current_files(files, "language").select("project_id", "path", "language")
     told = F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])[F.col("language")]
     current = current.withColumn("family", F.coalesce(told, _extension_family())).withColumn("_own", _extension_family())
