@@ -7,6 +7,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +21,40 @@ _UNITS = re.compile(f"[{DENSE}]|[^\\W\\d_{DENSE}]+")
 _DENSE = re.compile(f"[{DENSE}]")
 
 
+#: Texts of more units than this are measured over arrays of unit numbers, which need far less memory than windows of words.
+LONG = 50_000
+
+
+def _long_share(units: list[str], dense: bool, words: int, chars: int) -> float:
+    """:func:`repeated_share` for long texts: equal windows by hash, every match then compared unit by unit."""
+    numbers: dict[str, int] = {}
+    ids = np.fromiter((numbers.setdefault(u, len(numbers)) for u in units), dtype=np.int64, count=len(units))
+    n = len(ids)
+    change = np.zeros(n + 1, dtype=np.int64)
+    is_dense = np.fromiter((_DENSE.match(u) is not None for u in numbers), dtype=bool, count=len(numbers))[ids] if dense else None
+    for size in (words, chars) if dense else (words,):
+        m = n - size + 1
+        if m <= 0:
+            continue
+        code = np.zeros(m, dtype=np.uint64)
+        with np.errstate(over="ignore"):
+            for k in range(size):
+                code = (code ^ (code >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + ids[k : k + m].astype(np.uint64) + np.uint64(1)
+        _, first, inverse = np.unique(code, return_index=True, return_inverse=True)
+        origin = first[inverse]
+        later = np.nonzero(origin != np.arange(m))[0]
+        same = np.ones(len(later), dtype=bool)
+        for k in range(size):
+            same &= ids[later + k] == ids[origin[later] + k]
+        later = later[same]
+        if is_dense is not None and size == words:
+            many = np.concatenate(([0], np.cumsum(is_dense)))
+            later = later[many[later + size] == many[later]]
+        np.add.at(change, later, 1)
+        np.add.at(change, later + size, -1)
+    return float((np.cumsum(change[:-1]) > 0).sum()) / n
+
+
 def repeated_share(text: str | None, words: int = 6, chars: int = 10) -> float:
     """The share of units that lie in second or later occurrences of stretches of the same text.
 
@@ -34,6 +69,8 @@ def repeated_share(text: str | None, words: int = 6, chars: int = 10) -> float:
     if n <= words:
         return 0.0
     dense = _DENSE.search(text) is not None
+    if n > LONG:
+        return _long_share(units, dense, words, chars)
     covered = bytearray(n)
     for size in (words, chars) if dense else (words,):
         windows = list(zip(*(units[k:] for k in range(size))))

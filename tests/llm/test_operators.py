@@ -230,6 +230,16 @@ def test_repeated_share_equals_brute_force(words):
     assert repetition.repeated_share(" 7, ".join(words)) == pytest.approx(brute_share(words))
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from("ab cd ef 缓 存 层 gh".split()), max_size=80))
+def test_long_texts_are_measured_alike(words):
+    text = " ".join(words)
+    units = repetition._UNITS.findall(text)
+    if len(units) > 6:
+        dense = repetition._DENSE.search(text) is not None
+        assert repetition._long_share(units, dense, 6, 10) == pytest.approx(repetition.repeated_share(text))
+
+
 def test_repeated_share_rules():
     s = "the warm cache reloads every open page"
     assert repetition.repeated_share(f"{s}. {s.upper()}!\n{s} 12") == pytest.approx(2 / 3) and repetition.repeated_share(s) == 0.0
