@@ -262,7 +262,8 @@ def profiles(blobs: DataFrame) -> DataFrame:
 
 
 def shared_share(profile: DataFrame, repos: DataFrame, *, hot_rows: int = 200_000) -> DataFrame:
-    """(project_id, path, shared): the share of a file's phrase tokens whose phrase stands in two or more repositories.
+    """(project_id, path, shared, shared_tokens): the share and number of a file's phrase tokens whose phrase stands in two or
+    more repositories.
 
     ``repos``: project_id, repo; a project without a row is a repository of its own. A phrase's repositories are folded to
     their least and greatest name on the map side, so a phrase found everywhere costs one row per task; the way back to
@@ -272,18 +273,19 @@ def shared_share(profile: DataFrame, repos: DataFrame, *, hot_rows: int = 200_00
     shared = named.groupBy("phrase").agg(F.min("repo").alias("lo"), F.max("repo").alias("hi")).where("lo <> hi").select("phrase", F.lit(1).alias("_shared"))
     back = salted_join(phrases, shared, ["phrase"], "left", salt_from=["project_id", "path"], hot_rows=hot_rows)
     held = F.sum(F.when(F.col("_shared").isNotNull(), F.col("size")).otherwise(0))
-    return back.groupBy("project_id", "path").agg((held / F.sum("size")).alias("shared"))
+    return back.groupBy("project_id", "path").agg((held / F.sum("size")).alias("shared"), held.alias("shared_tokens"))
 
 
-def foreign_files(blobs: DataFrame, files: DataFrame, repos: DataFrame, *, share: float = 0.5) -> DataFrame:
+def foreign_files(blobs: DataFrame, files: DataFrame, repos: DataFrame, *, share: float = 0.5, least_tokens: int = 80) -> DataFrame:
     """Current source files that are not the project's own hand-written code, with the reasons.
 
     project_id, path, generated, minified, data, vendored. ``files`` tells which paths are current (any version counts),
     ``repos`` which projects are one repository. Copies of rows count once; null paths are no files, null and empty contents
-    have no reason of their own. A file of which half of the phrases stand in other repositories is vendored, ties at the
-    half included. Empty tables give no rows; columns that are not named here are ignored."""
+    have no reason of their own. A file of which half of the phrase tokens, and ``least_tokens`` of them, stand in other
+    repositories is vendored, ties included: a few idioms that agree by chance are no copy. Empty tables give no rows; columns that are not named here are ignored."""
     profile = cut(profiles(blobs), "p2")
     current = files.select("project_id", "path").where("path is not null").distinct()
     wide = profile.drop("phrases").join(shared_share(profile, repos.groupBy("project_id").agg(F.max("repo").alias("repo"))), ["project_id", "path"], "left")
-    out = wide.select("project_id", "path", "generated", "minified", "data", (F.col("noticed") | (F.coalesce("shared", F.lit(0.0)) >= share)).alias("vendored"))
+    copied = (F.coalesce("shared", F.lit(0.0)) >= share) & (F.coalesce("shared_tokens", F.lit(0)) >= least_tokens)
+    out = wide.select("project_id", "path", "generated", "minified", "data", (F.col("noticed") | copied).alias("vendored"))
     return out.where("generated or minified or data or vendored").join(current, ["project_id", "path"], "left_semi").dropDuplicates(["project_id", "path"])
