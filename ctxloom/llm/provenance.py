@@ -179,11 +179,14 @@ def traits(texts: Sequence[str], paths: Sequence[str]) -> list[dict]:
                 "notice": any(_NOTICE.search(h) for h in head),
                 "rules": 0,
                 "start": 0,
+                "prose": 0.0,
                 "phrases": [],
             }
         )
     if ids:
         sym, owner, length, rules = repair(np.array(ids, dtype=np.uint64), np.array(own, dtype=np.int64))
+        name, of = np.array(ids) == _NAME, np.array(own)
+        running = np.bincount(of[1:][name[1:] & name[:-1] & (of[1:] == of[:-1])], minlength=len(texts))
         h = np.array(hashes, dtype=np.uint64)
         two = _mix(h, np.concatenate((h[1:], np.zeros(1, np.uint64))))
         with np.errstate(over="ignore"):
@@ -206,11 +209,14 @@ def traits(texts: Sequence[str], paths: Sequence[str]) -> list[dict]:
         for k, o in enumerate(out):
             o["rules"] = int(rules[k]) if k < len(rules) else 0
             o["start"] = int(starts[k])
+            o["prose"] = running[k] / o["tokens"] if o["tokens"] else 0.0
     return out
 
 
 #: A grammar this small against its text marks a machine at work; hand-written code stays above it (fixed values).
 REUSE, REUSE_TOKENS = 0.32, 60
+#: Names next to names fill this share of running text, which is no code whoever wrote it; code stays far below.
+PROSE = 0.35
 #: Literals fill this share of the code and hardly compress: data in the form of code.
 DATA_SHARE, DATA_BYTES = 0.72, 800
 
@@ -220,7 +226,7 @@ def verdict(t: dict, path: str) -> dict[str, bool]:
     ratio = (2 * t["rules"] + t["start"]) / max(1, t["tokens"])
     fresh = t["n_numbers"] >= 64 and t["fresh_numbers"] >= 0.3 or t["dense_text"] >= 0.55
     return {
-        "generated": t["banner"] or (t["tokens"] >= REUSE_TOKENS and ratio < REUSE),
+        "generated": t["banner"] or (t["tokens"] >= REUSE_TOKENS and ratio < REUSE and t["prose"] < PROSE),
         "minified": t["chars"] >= 500 and t["chars"] / max(1, t["lines"]) >= 150 and t["space_share"] < 0.08,
         "data": t["literal_share"] >= DATA_SHARE and t["literal_bytes"] >= DATA_BYTES and fresh,
         "noticed": t["notice"] or _VENDOR_PATH.search(path) is not None,
