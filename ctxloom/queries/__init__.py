@@ -31,7 +31,7 @@ class Registry:
 
 
 #: The modules of this folder that hold queries.
-MODULES = ("integrity", "search", "textops", "usage")
+MODULES = ("integrity", "search", "textops", "usage", "stores")
 
 
 def core() -> Registry:
