@@ -70,6 +70,12 @@ def shares(spark: SparkSession, d: str) -> DataFrame:
     return _mixture(spark, d).shares()
 
 
+def limits(spark: SparkSession, d: str) -> DataFrame:
+    """What each target source holds, wants and can give at most."""
+    m = _mixture(spark, d).shares()
+    return m.select("source", "tokens", F.round("wanted", 3).alias("wanted"), "available", "falls_short")
+
+
 def mixed_documents(spark: SparkSession, d: str) -> DataFrame:
     """The mix itself."""
     return _mixture(spark, d).mix()
@@ -95,5 +101,6 @@ def register(reg) -> None:
     sized = f"""WITH s AS (SELECT {DOC_SOURCE} AS source, sum({ESTIMATE_SQL.format(t='text')}) AS n FROM documents GROUP BY 1),
         t AS (SELECT m.source, m.target_share, m.max_repeats, coalesce(n, 0) AS n, sum(coalesce(n, 0)) OVER () AS total FROM mix_targets m LEFT JOIN s ON s.source = m.source) """
     reg.query("p9_found", sized + "SELECT source FROM t WHERE max_repeats * n < target_share * total")(short_sources)
+    reg.query("p9_limits", sized + "SELECT source, n AS tokens, round(target_share * total, 3) AS wanted, max_repeats * n AS available, max_repeats * n < target_share * total AS falls_short FROM t")(limits)
     reg.query("p9_shares")(shares)
     reg.query("p9_mix")(mixed_documents)
