@@ -41,7 +41,7 @@ def fertilities(spark: SparkSession, d: str) -> DataFrame:
 
 _D = r"\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{AC00}-\x{D7AF}"
 #: The repeated share by windows numbered in SQL: words are runs of letters, dense scripts count characters.
-SHARES_SQL = f"""WITH u AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[{_D}]|[^\P{{L}}{_D}]+') AS units, regexp_matches(coalesce(text, ''), '[{_D}]') AS dense FROM documents),
+SHARES_SQL = f"""WITH u AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[{_D}]|[^\\P{{L}}{_D}]+') AS units, regexp_matches(coalesce(text, ''), '[{_D}]') AS dense FROM documents),
 w AS (SELECT doc_id, i, 6 AS size, units[i:i + 5] AS win FROM (SELECT doc_id, units, dense, unnest(range(1, len(units) - 4)) AS i FROM u) WHERE NOT dense OR NOT regexp_matches(array_to_string(units[i:i + 5], ' '), '[{_D}]')
       UNION ALL SELECT doc_id, i, 10, units[i:i + 9] FROM (SELECT doc_id, units, unnest(range(1, len(units) - 8)) AS i FROM u WHERE dense)),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, size, win ORDER BY i) AS n FROM w),
