@@ -75,9 +75,9 @@ class PassageIndex:
                 code = code * np.uint64(0x9E3779B97F4A7C15) + ids[k : k + n]
         return code
 
-    def search(self, texts: Sequence[Sequence[str]]) -> list[set[int]]:
-        """Per text (a sequence of units) the items it gives away."""
-        found: list[set[int]] = [set() for _ in texts]
+    def search(self, texts: Sequence[Sequence[str]], found: list[set[int]] | None = None) -> list[set[int]]:
+        """Per text (a sequence of units) the items it gives away, added to those already ``found``."""
+        found = [set() for _ in texts] if found is None else found
         if not len(self.codes):
             return found
         get = self.vocabulary.get
@@ -175,7 +175,7 @@ class FingerprintIndex:
     A window is half as long as the shortest stretch that counts, so every such stretch holds whole windows wherever it
     starts. All document windows within ``radius`` bits of a passage window are found; a hit counts if the window's
     unedited runs extend to a stretch that qualifies. A window whose edits move more than ``radius`` bits is not found by
-    itself; the stretch is found by any of its other windows.
+    itself; the stretch is found by any of its other windows, or not at all: ``CompleteIndex`` finds the rest.
     """
 
     def __init__(self, items: Sequence[tuple[int, str | None]], *, dense: bool, least: int, per_edit: int = 8, radius: int = 3, size: int | None = None):
@@ -242,6 +242,13 @@ class FingerprintIndex:
         return found
 
 
+class CompleteIndex(FingerprintIndex):
+    """Candidates of the fingerprints, then of the seed grams for what those leave open: every stretch that counts is found."""
+
+    def search(self, texts: Sequence[Sequence[str]]) -> list[set[int]]:
+        return self.exact.search(texts, super().search(texts))
+
+
 def _scan(documents: DataFrame, items: DataFrame, make: Callable[[list, bool], object]) -> DataFrame:
     rows = [(r.item_id, r.passage) for r in items.select("item_id", "passage").collect()]
     held = documents.sparkSession.sparkContext.broadcast((make(rows, False), make(rows, True)))
@@ -270,13 +277,14 @@ def leaked(documents: DataFrame, items: DataFrame, *, words: int = 24, letters:
     A stretch is at least ``words`` words (scripts without spaces: ``letters`` letters and digits) in order, with at most
     one unit in ``per_edit`` replaced, dropped or inserted; case, punctuation, spacing, line breaks and markup do not
     count. Candidates come from SimHash windows of half that size within ``radius`` bits, found through the
-    Hamming multi-index; an exact check on the texts decides. ``items`` (item_id, passage) is the held-out set: it is stated, of
+    Hamming multi-index, and from unedited runs of six units, which every stretch is certain to hold; an exact check on the
+    texts decides. ``items`` (item_id, passage) is the held-out set: it is stated, of
     fixed size, and goes to every executor; every document is read once, whole, in Arrow batches, and nothing is shuffled.
     Copies of a document count each. Null passages and texts match nothing; items that repeat an id count as one item.
     """
-    return _scan(documents, items, lambda rows, dense: FingerprintIndex(rows, dense=dense, least=letters if dense else words, per_edit=per_edit, radius=radius))
+    return _scan(documents, items, lambda rows, dense: CompleteIndex(rows, dense=dense, least=letters if dense else words, per_edit=per_edit, radius=radius))
 
 
 def leaked_by_runs(documents: DataFrame, items: DataFrame, *, words: int = 24, letters: int = 36, per_edit: int = 8) -> DataFrame:
-    """The same rows by unedited runs, which every stretch is certain to hold: complete by proof, the measure of ``leaked``."""
+    """The same rows by unedited runs alone, complete by proof: the measure of ``leaked``."""
     return _scan(documents, items, lambda rows, dense: PassageIndex(rows, dense=dense, least=letters if dense else words, per_edit=per_edit))

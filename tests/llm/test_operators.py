@@ -204,6 +204,22 @@ def test_fingerprint_search_is_exact_and_finds_long_stretches():
     assert all(a <= b for a, b in zip(some, all_)) and all(k in f for k, f in zip(sure, some)) and some[-1] == set()
 
 
+def test_evenly_edited_stretches_are_all_found(spark):
+    rnd = random.Random(5)
+    items, docs_ = [], []
+    letters = [chr(0x4E00 + k) for k in range(400)]
+    for dense, least, edits in [(False, 24, 3), (False, 32, 4), (True, 36, 4)] * 12:
+        passage = rnd.sample(letters if dense else [f"w{k}" for k in range(400)], least)
+        part = list(passage)
+        for e in range(edits):
+            part[(2 * e + 1) * least // (2 * edits)] = "龘" if dense else "zz"
+        assert brute_leak(passage, part, least, 8)
+        items.append((len(items), ("" if dense else " ").join(passage)))
+        docs_.append((len(docs_), ("" if dense else " ").join(part)))
+    got = leaks.leaked(spark.createDataFrame(docs_, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, passage string"))
+    assert sorted(map(tuple, got.collect())) == [(k, k) for k in range(len(items))]
+
+
 def test_leaked_documents(spark):
     p = "Every shared page that spans two trains is bounded by the deferred list because reads at sequence one hundred still need it and nobody has acknowledged the second attempt yet"
     z = "对账作业无人确认的情况下受限于第五层的墓碑直到法定人数投票完毕压实过程在午夜排程时可以追溯到被遗弃的写句柄"
