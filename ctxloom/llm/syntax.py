@@ -680,101 +680,312 @@ def _env(text: str) -> None:
         raise Broken(len(text), "unterminated text")
 
 
-_YAML_KEY = re.compile(r"(?:\?\s+)?(?:\"(?:\\.|[^\"\\])*\"|'(?:''|[^'])*'|[^\s\-?:,\[\]{}#&*!|>'\"%@`][^\n]*?|[-?:][^\s][^\n]*?|<<)\s*:(?=\s|$)")
 _YAML_QUOTED = re.compile(r"\"(?:\\[\s\S]|[^\"\\])*\"|'(?:''|[^'])*'")
+_YAML_ESCAPE = re.compile(r"\\(?:[0abt\tnvefr \"/\\N_LP\n]|x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}|([\s\S]))")
+_YAML_MARK = re.compile(r"(?:---|\.\.\.)(?=\s|\Z)")
+_YAML_PROPERTY = re.compile(r"[&*][^\s,\[\]{}]*[^\s,\[\]{}:]|!<[^>\s]*>|![^\s,\[\]{}]*")
+_YAML_HEADER = re.compile(r"[|>](?:[+-]?([1-9])|([1-9])?[+-])?(?=\s|\Z)[ \t]*(?:(?<=[ \t])#[^\n]*)?(?:\n|\Z)")
+#: A stretch of a plain scalar on one line, in block and in flow context.
+_YAML_PLAIN = re.compile(r"(?:[^\s:#]|:(?=\S)|(?<=\S)#|[ \t]+(?=[^\s#:]|:\S))+")
+_YAML_PLAIN_FLOW = re.compile(r"(?:[^\s:#,\[\]{}]|:(?=[^\s,\[\]{}])|(?<=\S)#|[ \t]+(?=[^\s#:,\[\]{}]|:[^\s,\[\]{}]))+")
+_YAML_BLANK = re.compile(r"[ \t]*(?:#[^\n]*)?(?:\n|\Z)")
+_YAML_BREAK = re.compile(r"[ \t]*\n\s*")
+_CLOSED = {"[": "]", "{": "}"}
+Token = tuple[str, int]
+
+
+def _yaml_tokens(text: str) -> list[Token]:
+    """Tokens (kind, place), indentation as B (mapping), S (sequence) and E (end) of blocks, K and V before keys and values,
+    = and . for the marks of documents.
+
+    A key is only known by the ':' after it, so the place where one may have begun is kept per flow level and K inserted."""
+    out: list[Token] = []
+    n, at, start, line = len(text), 0, 0, 0  # start: of the line
+    indent, indents = -1, []
+    flow = 0
+    may = True  # whether a key may begin here
+    keys: dict[int, tuple[int, int, int, int, bool]] = {}  # flow level -> token, place, line, column, whether ':' must follow
+
+    def forget() -> None:
+        if flow in keys and keys.pop(flow)[4]:
+            raise Broken(at, "expected a key with ':'")
+
+    def keep() -> None:
+        if may:
+            forget()
+            keys[flow] = (len(out), at, line, at - start, not flow and indent == at - start)
+
+    def open_block(column: int, kind: str, where: int, place: int) -> None:
+        nonlocal indent
+        if not flow and indent < column:
+            indents.append(indent)
+            indent = column
+            out.insert(where, (kind, place))
+
+    def close_blocks(column: int) -> None:
+        nonlocal indent
+        while not flow and indent > column:
+            indent = indents.pop()
+            out.append(("E", at))
+
+    def advance(to: int) -> None:
+        nonlocal at, start, line
+        breaks = text.count("\n", at, to)
+        if breaks:
+            line += breaks
+            start = text.rindex("\n", at, to) + 1
+        at = to
+
+    while True:
+        while at < n:
+            c = text[at]
+            if c == "\n":
+                advance(at + 1)
+                may = may or not flow
+            elif c == " ":
+                at += 1
+            elif c == "\t":
+                if not flow and not text[start:at].strip(" ") and not _YAML_BLANK.match(text, at):
+                    raise Broken(at, "tab as indentation")
+                at += 1
+            elif c == "#":
+                at = text.find("\n", at) if text.find("\n", at) >= 0 else n
+            else:
+                break
+        old = keys.get(flow)
+        if old and not flow and (old[2] != line or at - old[1] > 1024):
+            forget()
+        column = at - start
+        if at >= n:
+            close_blocks(-1)
+            forget()
+            out.append(("", n))
+            return out
+        close_blocks(column)
+        c, follow = text[at], text[at + 1 : at + 2]
+        parted = not follow or follow.isspace()
+        if column == 0 and (m := _YAML_MARK.match(text, at)):
+            close_blocks(-1)
+            forget()
+            out.append(("=" if c == "-" else c, at))
+            may = False
+            at += 3
+        elif column == 0 and c == "%" and not flow and (not out or out[-1][0] in ".%"):
+            out.append(("%", at))
+            at = text.find("\n", at) if text.find("\n", at) >= 0 else n
+        elif c in "[{":
+            keep()
+            out.append((c, at))
+            flow += 1
+            may = True
+            at += 1
+        elif c in "]}":
+            if not flow:
+                raise Broken(at, f"unmatched '{c}'")
+            forget()
+            flow -= 1
+            out.append((c, at))
+            may = False
+            at += 1
+        elif c == "," and flow:
+            forget()
+            out.append((c, at))
+            may = True
+            at += 1
+        elif c in "-?" and parted:
+            if not flow and not may:
+                raise Broken(at, "a block cannot begin within a line" if c == "-" else "a key cannot begin here")
+            if not flow:
+                open_block(column, "S" if c == "-" else "B", len(out), at)
+            forget()
+            out.append(("-" if c == "-" else "K", at))
+            may = not flow or c == "-"
+            at += 1
+        elif c == ":" and (parted or flow and (follow in ",[]{}" or out and out[-1][0] in ("q", "]", "}"))):
+            key = keys.pop(flow, None)
+            if key:
+                out.insert(key[0], ("K", key[1]))
+                open_block(key[3], "B", key[0], key[1])
+                may = False
+            else:
+                if not flow and not may:
+                    raise Broken(at, "a second ':' in a line")
+                open_block(column, "B", len(out), at)
+                may = not flow
+            out.append(("V", at))
+            at += 1
+        elif c in "&*!":
+            m = _YAML_PROPERTY.match(text, at)
+            if not m:
+                raise Broken(at, "an anchor or alias without a name")
+            keep()
+            out.append((c, at))
+            may = False
+            at = m.end()
+        elif c in "|>" and not flow:
+            m = _YAML_HEADER.match(text, at)
+            if not m:
+                raise Broken(at, "text after the sign of a block text")
+            forget()
+            out.append(("s", at))
+            least = indent + 1
+            more = m.group(1) or m.group(2)
+            depth = max(indent, 0) + int(more) if more else -1
+            advance(m.end())
+            while at < n:
+                end = text.find("\n", at)
+                end = n if end < 0 else end
+                body = text[at:end].lstrip(" ")
+                if body:
+                    inset = end - at - len(body)
+                    if depth < 0 and inset >= least:
+                        depth = inset
+                    if depth < 0 or inset < depth or inset == 0 and _YAML_MARK.match(text, at):
+                        break
+                advance(min(end + 1, n))
+            may = True
+        elif c in "\"'":
+            m = _YAML_QUOTED.match(text, at)
+            if not m:
+                raise Broken(at, "unterminated text")
+            if c == '"' and "\\" in m.group():
+                for e in _YAML_ESCAPE.finditer(m.group()):
+                    if e.group(1):
+                        raise Broken(at + e.start(), "unknown escape")
+            if "\n---" in m.group() or "\n..." in m.group():
+                for e in re.finditer(r"\n(?:---|\.\.\.)(?=\s)", m.group()):
+                    raise Broken(at + e.start() + 1, "the document ends within a text")
+            keep()
+            out.append(("q", at))
+            may = False
+            advance(m.end())
+        elif c not in "-?:,[]{}#&*!|>'\"%@`" or c in "-?:" and not (flow and follow in ",[]{}"):
+            keep()
+            out.append(("s", at))
+            may = False
+            plain = _YAML_PLAIN_FLOW if flow else _YAML_PLAIN
+            m = plain.match(text, at)
+            at = m.end() if m else at + 1
+            while True:
+                g = _YAML_BREAK.match(text, at)
+                if not g:
+                    break
+                end = g.end()
+                inset = end - (text.rindex("\n", at, end) + 1)
+                tabbed = "\t" in text[end - inset : end]
+                if tabbed and not flow:
+                    inset = len(text[end - inset : end].split("\t")[0])
+                m = plain.match(text, end)
+                if not m or text[end] == "#" or inset <= indent and not flow or inset == 0 and _YAML_MARK.match(text, end):
+                    break
+                advance(end)
+                at = m.end()
+        else:
+            raise Broken(at, "a plain value cannot start like this")
 
 
 def _yaml(text: str) -> None:
-    """Block mappings and sequences by lines, flow collections and quoted scalars across lines, block scalars skipped."""
-    lines = text.split("\n")
-    at, k = 0, 0
-    scalar = -1  # indentation above which lines belong to a block scalar
-    plain = -1  # indentation above which lines go on a plain scalar
-    seen_key_at: dict[int, bool] = {}
-    while k < len(lines):
-        line = lines[k].rstrip("\r")
-        body = line.strip(" ")
-        indent = len(line) - len(line.lstrip(" "))
-        size = len(lines[k]) + 1
-        if scalar >= 0:
-            if not body or indent > scalar:
-                at, k = at + size, k + 1
+    """A stack automaton over the tokens: documents, block and flow collections, properties before nodes."""
+    tokens = _yaml_tokens(text)
+    k = 0
+    stack = ["stream"]
+    while stack:
+        state = stack.pop()
+        kind, at = tokens[k]
+        wrong = Broken(at, "expected a key with ':'" if state == "map" else "unexpected token" if kind else "a collection was never closed")
+        k += 1  # taken unless given back
+        if state in ("node", "value", "flow"):
+            seen = ""
+            while kind and kind in "&!":
+                if kind in seen:
+                    raise wrong
+                seen += kind
+                kind, at = tokens[k]
+                k += 1
+            if kind == "*":
+                if seen:
+                    raise Broken(at, "an alias has no properties")
+            elif kind == "B" and state != "flow":
+                stack.append("map")
+            elif kind == "S" and state != "flow":
+                stack.append("list")
+            elif kind == "-" and state == "value":
+                k -= 1
+                stack.append("entries")
+            elif kind == "[":
+                stack.append("[")
+            elif kind == "{":
+                stack.append("{")
+            elif kind not in ("s", "q"):
+                k -= 1
+        elif state == "map":
+            if kind == "K":
+                stack += ["keyed", "value"]
+            elif kind == "V":
+                stack += ["map", "value"]
+            elif kind != "E":
+                raise wrong
+        elif state == "keyed":
+            if kind == "V":
+                stack += ["map", "value"]
+            else:
+                k -= 1
+                stack.append("map")
+        elif state == "list":
+            if kind == "-":
+                stack += ["list", "node"]
+            elif kind != "E":
+                raise wrong
+        elif state == "entries":
+            if kind == "-":
+                stack += ["entries", "node"]
+            else:
+                k -= 1
+        elif state in ("[", "{"):
+            if kind == _CLOSED[state]:
                 continue
-            scalar = -1
-        if not body or body.startswith("#") or body in ("---", "...") or body.startswith(("--- ", "%")):
-            at, k = at + size, k + 1
-            continue
-        if body[0] == "\t" and line[:1] == "\t":
-            raise Broken(at, "tab as indentation")
-        depth = indent
-        rest = body
-        while rest == "-" or rest.startswith("- "):
-            cut = len(rest) - len(rest[1:].lstrip(" "))
-            depth += cut
-            rest = rest[1:].lstrip(" ")
-            plain = -1
-        if not rest:
-            plain = indent
-            at, k = at + size, k + 1
-            continue
-        value = None
-        keyed = _YAML_KEY.match(rest)
-        if keyed:
-            value = rest[keyed.end() :].strip(" ")
-            seen_key_at[depth] = True
-            plain = depth
-        elif body is not rest and rest != body or body.startswith("- "):
-            value = rest
-            plain = indent
-        elif plain >= 0 and indent > plain:
-            at, k = at + size, k + 1
-            continue
-        else:
-            value = rest
-            if seen_key_at:
-                raise Broken(at, "expected a key with ':'")
-            plain = max(indent - 1, -1)
-        value = re.sub(r"^(?:[&!][^\s]*\s+)+", "", value)
-        if re.match(r"[|>][+\-0-9]*\s*(?:#.*)?$", value):
-            scalar = depth if keyed else indent
-        elif value[:1] in ("\"", "'", "[", "{"):
-            start = at + lines[k].index(value) if value in lines[k] else at
-            end = _flow(text, start)
-            if end < 0:
-                raise Broken(start, "unterminated text or collection")
-            tail = text[end : text.find("\n", end) if text.find("\n", end) >= 0 else len(text)].strip(" \r")
-            if tail and not tail.startswith("#") and not (value[0] in "\"'" and tail.startswith(":")):
-                raise Broken(end, "text after a value")
-            while at + size <= end:
-                at, k = at + size, k + 1
-                size = len(lines[k]) + 1 if k < len(lines) else 1
-        elif value[:1] in ("@", "`", "%") or value[:1] in ("}", "]", ","):
-            raise Broken(at, "a plain value cannot start like this")
-        at, k = at + size, k + 1
-
-
-def _flow(text: str, at: int) -> int:
-    """The end of the quoted scalar or flow collection at ``at``; -1 if it never ends."""
-    if text[at] in "\"'":
-        m = _YAML_QUOTED.match(text, at)
-        return m.end() if m else -1
-    depth, i, n = 0, at, len(text)
-    while i < n:
-        c = text[i]
-        if c in "\"'" and text[i - 1] in " ,[{:\n":
-            m = _YAML_QUOTED.match(text, i)
-            if not m:
-                return -1
-            i = m.end()
-            continue
-        if c in "[{":
-            depth += 1
-        elif c in "]}":
-            depth -= 1
-            if depth == 0:
-                return i + 1
-        i += 1
-    return -1
+            stack.append(state + ",")
+            if kind == "K":
+                stack += ["pair", "flow"]
+            elif kind == "V":
+                stack.append("flow")
+            elif kind and kind in "&!*sq[{":
+                k -= 1
+                stack.append("flow")
+            else:
+                raise wrong
+        elif state in ("[,", "{,"):
+            if kind == ",":
+                stack.append(state[0])
+            elif kind != _CLOSED[state[0]]:
+                raise wrong
+        elif state == "pair":
+            if kind == "V":
+                stack.append("flow")
+            else:
+                k -= 1
+        elif state == "stream":
+            if kind == "=":
+                stack += ["ended", "node"]
+            elif kind == "%":
+                stack.append("directives")
+            elif kind == ".":
+                stack.append("stream")
+            elif kind:
+                k -= 1
+                stack += ["ended", "node"]
+        elif state == "directives":
+            k -= 1
+            if kind not in ("%", "="):
+                raise wrong
+            stack.append("stream")
+        elif state == "ended":
+            if kind == ".":
+                stack.append("stream")
+            elif kind == "=":
+                stack += ["ended", "node"]
+            elif kind:
+                raise wrong
 
 
 _CHECKS = {"python": _python, "c": lambda t: _braces(t, False), "js": lambda t: _braces(t, True), "json": _json, "toml": _toml, "yaml": _yaml, "ini": _ini, "env": _env}

@@ -130,6 +130,20 @@ def test_settings(family, good, bad):
         assert not ok(b, family), b
 
 
+YAML_GOOD = ["a:\n- x\n- - y\n  - z\nb: {a: [1, {b: c}], d}\n", "? a\n: b\n? [c]\n: d\n", "- a: 1\n  b: 2\n- c\n", "%YAML 1.2\n--- |\n abc\n...\n---\nx: >-\n  y\n\n  z: [\nw: 1\n", "a: &x\n  b: *y\nc: !t {}\nd: !!str\n", "'q': http://x:80/a#b\n\"r\": plain\n  goes on\n<<: *z\n", "a: 'x\n  y' # c\n", "x: [a: b, ? c : d, 'e':f]\n", "a: [1,\n  2 # c\n ]\n", "plain\n text\n", "- \n-   a:\n      b\n", "a:\tb\n", "", "# only\n"]
+YAML_BAD = [("a:\n  b: 1\n c: 2\n", 3), ("a: 1\n b: 2\n", 2), ("a: b: c\n", 1), ("a: 1\n  - b\nc: 2\nd\n", 5), ("- a\nb: c\n", 2), ("a:\n   - b\n  - c\n", 3), ("a: - b\n", 1), ("- a: 1\n b: 2\n", 2), ("a: |\n  x\n y\n", 4), ("a: [b}\n", 1), ("a: \"b\" c\n", 1), ("a: \"q\\q\"\n", 1), ("a:\n  b: 1\n  c\n  d: 2\n", 4), ("a: &x *y\n", 1), ("x: {a: 1, , b}\n", 1), ("a: b # c\n  d\n", 2)]
+
+
+@pytest.mark.parametrize("text", YAML_GOOD)
+def test_valid_yaml(text):
+    assert first_error(text.encode(), "yaml") is None and first_error(text.replace("\n", "\r\n").encode(), "yaml") is None
+
+
+@pytest.mark.parametrize("text,line", YAML_BAD)
+def test_broken_yaml(text, line):
+    assert first_error(text.encode(), "yaml") and first_error(text.encode(), "yaml")[0] <= line
+
+
 def test_merge_markers_and_bytes():
     for family in ("markdown", "yaml", "", "python", "ini"):
         assert first_error(b"a\n<<<<<<< HEAD\nb\n=======\nc\n>>>>>>> x\n", family) == (2, "merge marker")
