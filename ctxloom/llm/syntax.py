@@ -305,67 +305,145 @@ _C_LEX = _Lexemes(_c_kind)
 _DIRECTIVE = re.compile(r"[ \t]*#[ \t]*(?:(include|include_next|define|undef|if|ifdef|ifndef|elif|elifdef|elifndef|else|endif|error|warning|pragma|line|ident|import|embed|region|endregion|\d+)\b|$)")
 
 
-def _preprocess(text: str) -> str:
-    """The text with directives blanked and the first branch of every conditional kept, places unchanged."""
-    if "#" not in text:
-        return text
-    out, at = [], 0
-    branches: list[tuple[int, bool]] = []
-    skip = False
-    comment = False
+_C_HIDDEN = re.compile(r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|/\*[\s\S]*?\*/|//.*")
+
+
+def _lines(text: str) -> Iterator[tuple[str, tuple[str, str, int] | None]]:
+    """Lines as they stand with None, and directives blanked with their word, what follows it, and their place."""
+    at, k = 0, 0
+    comment = hidden = False  # inside a comment; inside one that a directive began
     lines = text.split("\n")
-    k = 0
     while k < len(lines):
         line = lines[k]
-        bare = line.lstrip()
-        if not comment and bare.startswith("#"):
-            m = _DIRECTIVE.match(line)
-            if not m:
-                if not skip:
-                    raise Broken(at, "unknown directive")
-                word = ""
-            else:
-                word = m.group(1) or ""
+        if hidden:
+            end = line.find("*/") + 2
+            hidden = end < 2
+            yield " " * (end if end >= 2 else len(line)) + line[end:] * (end >= 2), None
+            comment = end >= 2 and "/*" in _C_HIDDEN.sub(" ", line[end:])
+        elif not comment and line.lstrip().startswith("#"):
             whole = [line]
             while whole[-1].endswith("\\") and k + 1 < len(lines):
                 k += 1
                 whole.append(lines[k])
-            if word in ("if", "ifdef", "ifndef"):
-                branches.append((at, skip))
-                if word == "if" and re.match(r"[ \t]*#[ \t]*if[ \t]+0\b", line):
-                    skip = True
-            elif word in ("else", "elif", "elifdef", "elifndef"):
-                if not branches:
-                    raise Broken(at, f"#{word} without #if")
-                skip = True
-            elif word == "endif":
-                if not branches:
-                    raise Broken(at, "#endif without #if")
-                skip = branches.pop()[1]
             joined = "\n".join(whole)
-            if "/*" in joined and "*/" not in joined[joined.rindex("/*") :]:
-                comment = True
-                cut = joined.rindex("/*")
-                out.append(re.sub(r"[^\n]", " ", joined[:cut]) + joined[cut:])
-            else:
-                out.append(re.sub(r"[^\n]", " ", joined))
-            at += len(joined) + 1
+            m = _DIRECTIVE.match(line)
+            naked = _C_HIDDEN.sub(lambda c: " " if c.group()[0] == "/" else c.group(), joined)
+            hidden = "/*" in _C_HIDDEN.sub(" ", joined)
+            rest = _DIRECTIVE.sub("", naked.replace("\\\n", " "), count=1).split("/*")[0]
+            yield re.sub(r"[^\n]", " ", joined), ((m.group(1) or "") if m else "?", " ".join(rest.split()), at)
+            at += len(joined) - len(lines[k])
         else:
-            if skip:
-                out.append(" " * len(line))
-            else:
-                out.append(line)
-                if comment:
-                    if "*/" in line:
-                        comment = "/*" in line[line.rindex("*/") :]
-                elif "/*" in line:
-                    naked = re.sub(r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|/\*.*?\*/|//.*", " ", line)
-                    comment = "/*" in naked
-            at += len(line) + 1
+            yield line, None
+            if comment:
+                if "*/" in line:
+                    comment = "/*" in line[line.rindex("*/") :]
+            elif "/*" in line:
+                comment = "/*" in _C_HIDDEN.sub(" ", line)
+        at += len(lines[k]) + 1
         k += 1
-    if branches:
-        raise Broken(branches[-1][0], "conditional without #endif")
-    return "\n".join(out)
+    if hidden:
+        raise Broken(len(text), "unterminated comment")
+
+
+def _condition(word: str, rest: str) -> tuple[str, bool]:
+    """What a branch asks, and whether it is taken if that is so; the question '' is always so."""
+    if word.endswith("def"):
+        return "defined " + rest.split(" ")[0], not word.endswith("ndef")
+    want = True
+    while m := re.fullmatch(r"!\s*(defined\b.*|\w+|\(.*\))|\(([^()]*|\s*defined\s*\(\s*\w+\s*\)\s*)\)", rest):
+        if m.group(1) and not re.fullmatch(r"defined\s*\(?\s*\w+\s*\)?|\w+|\([^()]*(?:\([^()]*\)[^()]*)*\)", m.group(1)):
+            break
+        want, rest = want != bool(m.group(1)), (m.group(1) or m.group(2) or "").strip()
+    if m := re.fullmatch(r"defined\s*\(?\s*(\w+)\s*\)?", rest):
+        return "defined " + m.group(1), want
+    if re.match(r"(?:0[uUlL]*|false)\s*(?:$|&&(?!.*\|\|))", rest):
+        return "", not want
+    return ("", want) if re.fullmatch(r"[1-9]\d*[uUlL]*|true", rest) else (rest, want)
+
+
+def _preprocess(text: str) -> Iterator[str]:
+    """The text with directives blanked, places unchanged, once per choice of branches until each that can be taken was kept.
+
+    A question is answered alike throughout a choice. Branches that none can take, as under '#if 0', are blank in all."""
+    if "#" not in text:
+        yield text
+        return
+    pieces = list(_lines(text))
+    branches: list[tuple[str, bool, list[int], list[tuple[str, bool]]]] = []  # question, answer, itself and those around, all answers needed
+    later: list[list[int]] = []  # per branch the branches of its conditional
+    starts: dict[int, int] = {}  # piece -> branch
+    opened: list[tuple[int, list[int], list[tuple[str, bool]], list[int], list[tuple[str, bool]], bool]] = []
+    for k, (_, directive) in enumerate(pieces):
+        word, rest, at = directive or ("", "", 0)
+        if word in ("if", "ifdef", "ifndef"):
+            around = branches[opened[-1][1][-1]] if opened else ("", True, [], [])
+            opened.append((at, [], around[3], around[2], [], False))
+        elif word in ("else", "elif", "elifdef", "elifndef", "endif"):
+            if not opened:
+                raise Broken(at, f"#{word} without #if")
+            if word == "endif":
+                opened.pop()
+                continue
+            if opened[-1][5]:
+                raise Broken(at, f"#{word} after #else")
+        else:
+            continue
+        place, own, answers, outer, past, _ = opened[-1]
+        question, answer = ("", True) if word == "else" else _condition(word, rest)
+        starts[k] = len(branches)
+        own.append(len(branches))
+        later.append(own)
+        branches.append((question, answer, [*outer, len(branches)], [*answers, *past, (question, answer)]))
+        if word == "else":
+            opened[-1] = (place, own, answers, outer, past, True)
+        else:
+            past.append((question, not answer))
+    if opened:
+        raise Broken(opened[-1][0], "conditional without #endif")
+    left = set(range(len(branches)))
+    seen: set[str] = set()
+    while True:
+        target = min(left, default=-1)
+        known = {"": True}
+        for question, so in branches[target][3] if left else ():
+            known.setdefault(question, so)
+        wanted = {b for x in left for b in branches[x][2]}
+        out: list[str] = []
+        live = True
+        stack: list[tuple[bool, bool]] = []  # live outside, a branch was taken
+        for k, (line, directive) in enumerate(pieces):
+            if directive:
+                word, rest, at = directive
+                if word == "?" and live:
+                    raise Broken(at, "unknown directive")
+                if word == "endif":
+                    live = stack.pop()[0]
+                elif k in starts:
+                    b = starts[k]
+                    if word.startswith("if"):
+                        stack.append((live, False))
+                    outside, taken = stack[-1]
+                    live = outside and not taken
+                    if live and word != "else":
+                        question, answer = branches[b][:2]
+                        if question not in known:
+                            known[question] = answer == (b in wanted or not any(x in wanted for x in later[b] if x > b))
+                        live = known[question] == answer
+                    if live:
+                        stack[-1] = (outside, True)
+                        left.discard(b)
+                elif live and word in ("define", "undef"):
+                    known["defined " + re.split(r"\W", rest, maxsplit=1)[0]] = word == "define"
+                out.append(line)
+            else:
+                out.append(line if live else " " * len(line))
+        left.discard(target)
+        variant = "\n".join(out)
+        if variant not in seen:
+            seen.add(variant)
+            yield variant
+        if not left:
+            return
 
 
 _JS = re.compile(
@@ -495,12 +573,25 @@ class _Block:
 _C_GROUPS = {"(": (("E", "round_e"),), "[": (("E", "square_e"),)}
 
 
-def _braces(text: str, js: bool) -> None:
-    g = _GRAMMARS["JS" if js else "C"]
-    block = _Block(g, js)
+def _c(text: str) -> None:
+    """Every choice of branches; the first error of any counts."""
     if "\0" in text:
         raise Broken(text.index("\0"), "null byte")
-    source = text if js else _preprocess(text)
+    first: Broken | None = None
+    for source in _preprocess(text):
+        try:
+            _braces(source, False)
+        except Broken as b:
+            first = b if first is None or b.at < first.at else first
+    if first:
+        raise first
+
+
+def _braces(source: str, js: bool) -> None:
+    g = _GRAMMARS["JS" if js else "C"]
+    block = _Block(g, js)
+    if "\0" in source:
+        raise Broken(source.index("\0"), "null byte")
     tokens = [m.group() for m in _C.finditer(source)] if not js else _JS.findall(source)
     lex = _JS_LEX if js else _C_LEX
     kinds: list[str] = []
@@ -988,7 +1079,7 @@ def _yaml(text: str) -> None:
                 raise wrong
 
 
-_CHECKS = {"python": _python, "c": lambda t: _braces(t, False), "js": lambda t: _braces(t, True), "json": _json, "toml": _toml, "yaml": _yaml, "ini": _ini, "env": _env}
+_CHECKS = {"python": _python, "c": _c, "js": lambda t: _braces(t, True), "json": _json, "toml": _toml, "yaml": _yaml, "ini": _ini, "env": _env}
 
 
 def family_of(path: str | None, language: str | None = None) -> str:

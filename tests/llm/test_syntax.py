@@ -87,6 +87,23 @@ def test_broken_c(text):
     assert not ok(text, "c")
 
 
+@pytest.mark.parametrize(
+    "text,line",
+    [("#ifdef A\nint x;\n#else\nint f( {\n#endif\n", 4), ("#if 0\nno code (\n#else\nint f( {\n#endif\n", 4), ("#if A\n#elif B\nint y = ;;= 3\n#else\n#endif\n", 3), ("#ifdef A\n#ifdef B\n#else\nint f( {\n#endif\n#else\nint x;\n#endif\n", 4), ("#ifdef A\n#else\n#endif\n#ifndef A\n#else\nstatic int )\n#endif\n", 6), ("#else\n", 1), ("#ifdef A\n#else\n#else\n#endif\n", 3)],
+)
+def test_later_branches_are_read(text, line):
+    error = first_error(text.encode(), "c")
+    assert error and error[0] == line
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["#ifdef A\nint f(int x) {\n#else\nint f(void) {\n#endif\nreturn 0; }\n", "#ifdef A\nint f(int x) {\n#endif\n#if !defined(A)\nint f(void) {\n#endif\n}\n", "#if 0\nno code (\n#else\nint x;\n#endif\n", "#if 0 /* two\n lines */\n(\n#endif\nint x;\n", "#ifndef X_H\n#define X_H\n#ifdef __cplusplus\nextern \"C\" {\n#endif\nint f(void);\n#ifdef __cplusplus\n}\n#endif\n#endif\n", "#if A > 1\nint f(\n#elif defined B\nint g(\n#else\nint h(\n#endif\nvoid);\n"],
+)
+def test_branches_are_chosen_alike(text):
+    assert first_error(text.encode(), "c") is None
+
+
 JS_GOOD = ["import a, { b as c } from './x.js';\nimport * as d from \"e\"\nexport default function f(a, { b = 1, ...r }, [c]) {}\nexport const g = async (x) => { await x; }\nexport { g, f as h } from './y.js'\n", "const r = /[/]\\/x/g.test(s) ? `a ${b + `c`} d` : {k: 1, 'l': 2, [m]: 3, n() {}, get o() { return 1 }, ...p}\nlet z\n",
            "!function(e,t){if(!a)n=[1,2];k.prototype.v=function(w){this.r=w};function k(n){return n?n.d:null}}(window,document);", "class A extends B { static x = 1; #y; constructor() { super(); } async *gen() { yield* z } get q() { return this.#y } }", "for (let i = 0; i < 3; i++) { if (a) b()\n else c() }\nfor (const x of y) {}\nfor (k in o) ;\n", "a?.b?.[c]?.(d) ?? e\nx ||= 1\n", "if (a)\n  b\nelse\n  c\nwhile (x) y--\ndo { z() } while (q)\nlabel: for (;;) { break label }\n", "try { a } catch { b } finally { c }\nthrow new E('x')\n", ""]
 JS_BAD = ["function f() {", "const x = ", "a b c d", "let y = 'abc\n", "`abc", "}", "if (x {}", "/* x", "def f(x):\n    pass\n", "#include <a.h>\nint main() { return 0; }\n", "else { x }", "import { a fro", "<html><body>x</body></html>"]
