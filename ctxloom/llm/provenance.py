@@ -106,9 +106,9 @@ def repair(symbols: np.ndarray, owner: np.ndarray, rounds: int = 14) -> tuple[np
     return sym, own, length, rules
 
 
-_TOOL = r"[\w./+-]+"
+_TOOL = r"[\w./+-]"
 _BANNER = re.compile(
-    r"^\W*(?:(?:this (?:file|code|module) (?:is|was|has been) )?(?:auto(?:matically)?[- ]?)?generated\s+(?:by|from|with|using|on)\b|(?:this (?:file|code|module) (?:is|was|has been) )?(?:auto(?:matically)?[- ]?|machine[- ]?)(?:generated|made|written|produced)\b|@generated\b|code generated by\b|generated (?:code|file)\b|(?:emitted|produced|written|created|compiled|rendered|dumped|exported)\s+(?:automatically\s+)?(?:by|from|with)\s+(?:the\s+)?" + _TOOL + r".*(?:regenerat|do not|don't|edit|overwritten|lost|patch)|do not (?:edit|modify|change)\b|don't edit\b|machine[- ]made\b|.*(?:自动生成|自动產生|由工具生成|请勿(?:手工|手动)?(?:修改|编辑)))",
+    r"^\W*(?:(?:this (?:file|code|module) (?:is|was|has been) )?(?:auto(?:matically)?[- ]?)?generated\s+(?:by|from|with|using|on)\b|(?:this (?:file|code|module) (?:is|was|has been) )?(?:auto(?:matically)?[- ]?|machine[- ]?)(?:generated|made|written|produced)\b|@generated\b|code generated by\b|generated (?:code|file)\b|(?:emitted|produced|written|created|compiled|rendered|dumped|exported)\s+(?:automatically\s+)?(?:by|from|with)\s+(?:the\s+)?" + _TOOL + r".*(?:regenerat|do not|don't|edit|overwritten|lost|patch)|do not (?:edit|modify|change)\b|don't edit\b|machine[- ]made\b)|自动生成|自动產生|由工具生成|请勿(?:手工|手动)?(?:修改|编辑)",
     re.I,
 )
 _NOT_BANNER = re.compile(r"generated by [A-Z]\w+[;,] |blocks? generated", re.I)
@@ -116,17 +116,34 @@ _NOTICE = re.compile(r"^\W*(?:upstream|origin(?:al)? (?:source|project)|homepage
 _VENDOR_PATH = re.compile(r"(?:^|/)(?:node_modules|third_party|third-party|3rdparty|vendor|vendored|bower_components)/|(?:^|/)(?:external|deps|contrib|extern|subprojects)/([^/]+)/\1[^/]*$", re.I)
 
 
+_HEAD = re.compile(r"\s+|/\*[\s\S]*?(?:\*/|\Z)|//[^\n]*|<!--[^\n]*|#[^\n]*")
+_DIRECTIVES = ("#include", "#define", "#if", "#pragma", "#endif", "#else", "#ifdef", "#undef")
+
+
+def _run(text: str) -> int:
+    """Where the comments end that ``text`` begins with."""
+    at = 0
+    while m := _HEAD.match(text, at):
+        at = m.end()
+    return at
+
+
 def comment_head(text: str, lines: int = 12) -> list[str]:
-    """The lines among the first ``lines`` that are comments or inside one; strings and code do not count."""
-    out, inside = [], False
+    """The lines of all comments before the first code, however many, and of those behind it among the first ``lines``.
+
+    Preprocessor lines are no comments and do not end the head; strings and code do not count."""
+    end = _run(text.lstrip("\ufeff"))
+    head = text.lstrip("\ufeff")[:end]
+    out = [h for line in head.split("\n") if (h := line.strip()) and not h.startswith(_DIRECTIVES)]
+    inside = False
     for raw in text.split("\n", lines)[:lines]:
-        line = raw.strip().lstrip("﻿")
+        line = raw.strip().lstrip("\ufeff")
         if inside or line.startswith(("#", "//", "/*", "*", "<!--")):
-            if not line.startswith(("#include", "#define", "#if", "#pragma", "#endif", "#else", "#ifdef", "#undef")):
-                out.append(line[:400])
+            shut = line.find("*/") + 2 if inside or line.startswith("*") else 0
+            note = line if shut == 1 else line[: shut + _run(line[shut:])]
+            if not line.startswith(_DIRECTIVES):
+                out.append(note)
             inside = (inside or line.startswith("/*")) and "*/" not in line
-        elif line and not out and not line.startswith(('"', "'")):
-            pass
     return out
 
 

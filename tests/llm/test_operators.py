@@ -126,6 +126,17 @@ def test_verdicts():
     assert kinds("") == set() and kinds("The warm cache of the pool keeps every open page until the writer asks for it again. " * 60) == set()
 
 
+def test_comment_head_has_no_last_line():
+    note, far = "vendored from https://x.example/lib v1.2", "x" * 500
+    for sign in ("#", "//"):
+        licence = f"{sign} licence\n" * 20
+        path = "a.py" if sign == "#" else "a.c"
+        assert kinds(f"{licence}{sign} Code generated by x. DO NOT EDIT.\n" + OWN, path) == {"generated"} and kinds(f"{licence}\n{sign} {note}\n" + OWN, path) == {"noticed"}
+        assert kinds(f"{sign} {far} {note}\n" + OWN, path) == {"noticed"}
+    assert kinds("/*\n" + " * licence\n" * 30 + f" * {note}\n */\n" + OWN, "a.c") == {"noticed"} and kinds("#ifndef A\n#define A\n" + "// licence\n" * 15 + f"// {note}\n" + OWN, "a.h") == {"noticed"}
+    assert kinds("x = 1\n" * 1 + "# licence\n" * 20 + f"# {note}\n" + OWN) == set() and kinds(f"/* a */ f('{note}');\n" + OWN, "a.js") == set()
+
+
 def test_copies_across_repositories(spark):
     copied, other = (Path(m.__file__).read_text() for m in (bisect, textwrap))
     rows = [("p1", "lib/x.py", copied), ("p2", "deep/y.py", "# a notice\n" + copied), ("p3", "z.py", other), ("p4", "fork.py", other), ("p5", "small.py", OWN[:150]), ("p6", "alike.py", OWN[:150]), ("p1", "settings.json", "{}"), ("p1", "lib/x.py", copied)]
