@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import keyword
 import re
 import zlib
@@ -154,6 +155,7 @@ def traits(texts: Sequence[str], paths: Sequence[str]) -> list[dict]:
         tokens = (_PY_TOKEN if path.endswith((".py", ".pyi")) else _C_TOKEN).findall(text)
         kinds = [_KINDS[t] for t in tokens]
         code = [p for p in kinds if p[0] != _NOTE]
+        lexemes = np.array([p[1] for p in code if p[0] != _LINE], dtype=np.uint64)
         ids += [p[0] for p in code]
         hashes += [p[1] for p in code]
         own += [k] * len(code)
@@ -183,6 +185,7 @@ def traits(texts: Sequence[str], paths: Sequence[str]) -> list[dict]:
         out.append(
             {
                 "tokens": len(code),
+                "whole": int.from_bytes(hashlib.blake2b(lexemes.tobytes(), digest_size=8).digest(), "big", signed=True) if len(lexemes) else None,
                 "literal_share": literal / total if total else 0.0,
                 "literal_bytes": literal,
                 "fresh_numbers": len(numbers) / n_numbers if n_numbers else 0.0,
@@ -253,10 +256,11 @@ def verdict(t: dict, path: str) -> dict[str, bool]:
 PROFILE = T.StructType(
     [T.StructField("project_id", T.StringType()), T.StructField("path", T.StringType())]
     + [T.StructField(n, T.BooleanType()) for n in ("generated", "minified", "data", "noticed")]
+    + [T.StructField("tokens", T.IntegerType()), T.StructField("whole", T.LongType())]
     + [T.StructField("phrases", T.ArrayType(T.StructType([T.StructField("phrase", T.LongType()), T.StructField("size", T.IntegerType())])))]
 )
 _ARROW = pa.schema(
-    [("project_id", pa.string()), ("path", pa.string()), *((n, pa.bool_()) for n in ("generated", "minified", "data", "noticed")), ("phrases", pa.list_(pa.struct([("phrase", pa.int64()), ("size", pa.int32())])))]
+    [("project_id", pa.string()), ("path", pa.string()), *((n, pa.bool_()) for n in ("generated", "minified", "data", "noticed")), ("tokens", pa.int32()), ("whole", pa.int64()), ("phrases", pa.list_(pa.struct([("phrase", pa.int64()), ("size", pa.int32())])))]
 )
 
 
@@ -278,7 +282,7 @@ def profiles(blobs: DataFrame) -> DataFrame:
                 found = traits([decode(c) for c in b.column(2).to_pylist()], [p.lower() for p in paths])
                 told = [verdict(t, p) for t, p in zip(found, paths)]
                 phrases = [[{"phrase": p, "size": n} for p, n in t["phrases"]] for t in found]
-                yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), b.column(1).cast(pa.string()), *(pa.array([v[k] for v in told], pa.bool_()) for k in ("generated", "minified", "data", "noticed")), pa.array(phrases, _ARROW.field("phrases").type)], schema=_ARROW)
+                yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), b.column(1).cast(pa.string()), *(pa.array([v[k] for v in told], pa.bool_()) for k in ("generated", "minified", "data", "noticed")), pa.array([t["tokens"] for t in found], pa.int32()), pa.array([t["whole"] for t in found], pa.int64()), pa.array(phrases, _ARROW.field("phrases").type)], schema=_ARROW)
 
     judged = F.lower("path").rlike("(?:" + "|".join(re.escape(e) for e in CODE) + ")$")
     return blobs.where(judged).select("project_id", "path", "content").mapInArrow(run, PROFILE)
@@ -299,16 +303,27 @@ def shared_share(profile: DataFrame, repos: DataFrame, *, hot_rows: int = 200_00
     return back.groupBy("project_id", "path").agg((held / F.sum("size")).alias("shared"), held.alias("shared_tokens"))
 
 
+def whole_copies(profile: DataFrame, repos: DataFrame) -> DataFrame:
+    """The distinct ``whole`` hashes (all code of a file in order, without comments and line ends) that stand in two or more
+    repositories."""
+    named = profile.where("whole is not null").select("project_id", "whole").join(repos, "project_id", "left").withColumn("repo", F.coalesce("repo", "project_id"))
+    return named.groupBy("whole").agg(F.min("repo").alias("lo"), F.max("repo").alias("hi")).where("lo <> hi").select("whole", F.lit(True).alias("_copy"))
+
+
 def foreign_files(blobs: DataFrame, files: DataFrame, repos: DataFrame, *, share: float = 0.5, least_tokens: int = 80) -> DataFrame:
     """Current source files that are not the project's own hand-written code, with the reasons.
 
     project_id, path, generated, minified, data, vendored. ``files`` tells which paths are current (any version counts),
     ``repos`` which projects are one repository. Copies of rows count once; null paths are no files, null and empty contents
     have no reason of their own. A file of which half of the phrase tokens, and ``least_tokens`` of them, stand in other
-    repositories is vendored, ties included: a few idioms that agree by chance are no copy. Empty tables give no rows; columns that are not named here are ignored."""
+    repositories is vendored, ties included: a few idioms that agree by chance are no copy. Of a file whose whole code stands in
+    another repository all tokens count, those of phrases too short to be compared by themselves included. Empty tables give no rows; columns that are not named here are ignored."""
     profile = cut(profiles(blobs), "p2")
     current = files.select("project_id", "path").where("path is not null").distinct()
-    wide = profile.drop("phrases").join(shared_share(profile, repos.groupBy("project_id").agg(F.max("repo").alias("repo"))), ["project_id", "path"], "left")
+    one = repos.groupBy("project_id").agg(F.max("repo").alias("repo"))
+    wide = profile.drop("phrases").join(shared_share(profile, one), ["project_id", "path"], "left")
+    wide = salted_join(wide, whole_copies(profile, one), ["whole"], "left", salt_from=["project_id", "path"], hot_rows=200_000)
     copied = (F.coalesce("shared", F.lit(0.0)) >= share) & (F.coalesce("shared_tokens", F.lit(0)) >= least_tokens)
+    copied = copied | (F.coalesce("_copy", F.lit(False)) & (F.col("tokens") >= least_tokens))
     out = wide.select("project_id", "path", "generated", "minified", "data", (F.col("noticed") | copied).alias("vendored"))
     return out.where("generated or minified or data or vendored").join(current, ["project_id", "path"], "left_semi").dropDuplicates(["project_id", "path"])

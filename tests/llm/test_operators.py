@@ -148,6 +148,20 @@ def test_copies_across_repositories(spark):
     assert provenance.foreign_files(blobs.limit(0), files, repos).count() == 0
 
 
+def test_whole_copies_count_with_all_tokens(spark):
+    rnd = random.Random(70)
+    signs = "if else for while return const let var new this = + - * / ( ) [ ] { } ; , . ? : ! & | < >".split()
+    js = " ".join(rnd.choice(signs) if i % 3 else f"v{i}" for i in range(90)).replace("; ", ";\n") + "\n"
+    t = provenance.traits([js], ["a.js"])[0]
+    assert t["tokens"] >= 80 > sum(n for _, n in t["phrases"])
+    rows = [("p1", "lib/x.js", js), ("p2", "core/y.js", "// a note\n" + js), ("p3", "z.js", js.replace("v", "w")), ("p1", "again.js", js[: len(js) // 2])]
+    blobs = spark.createDataFrame([(a, b, bytearray(c.encode())) for a, b, c in rows], "project_id string, path string, content binary")
+    files = spark.createDataFrame([(a, b) for a, b, _ in rows], "project_id string, path string")
+    repos = spark.createDataFrame([("p1", "A"), ("p2", "B"), ("p3", "B")], "project_id string, repo string")
+    got = {(r.project_id, r.path) for r in provenance.foreign_files(blobs, files, repos).where("vendored").collect()}
+    assert {("p1", "lib/x.js"), ("p2", "core/y.js")} <= got and ("p1", "again.js") not in got
+
+
 # ------------------------------------------------------------------------------------------------ leaks
 
 
