@@ -99,7 +99,7 @@ class TokenLedger:
 
     1. hashes texts and encodes only those whose (content hash, tokenizer hash) the count table lacks,
     2. compares membership old and new and emits signed deltas: +tokens for added, -tokens for removed, both for a
-       document whose content or slice changed,
+       document whose content, slice or tokenizer changed,
     3. adds the deltas to the cube,
 
     and publishes counts, members and cube as one version by one pointer swap. Rows that repeat a key count once (the
@@ -133,7 +133,7 @@ class TokenLedger:
             sized = docs.drop("_text").join(known.unionByName(fresh), "content_hash", "left")
         top = F.max(F.struct("content_hash", "tokens", *[F.col(d).alias(f"_d_{d}") for d in self.dims if d not in self.key]))
         now = sized.select(*columns, "tokens").groupBy(*self.key).agg(top.alias("_m"))
-        now = now.select(*self.key, *[F.col(f"_m._d_{d}").alias(d) for d in self.dims if d not in self.key], F.col("_m.content_hash").alias("content_hash"), F.col("_m.tokens").alias("tokens"))
+        now = now.select(*self.key, *[F.col(f"_m._d_{d}").alias(d) for d in self.dims if d not in self.key], F.col("_m.content_hash").alias("content_hash"), F.col("_m.tokens").alias("tokens"), F.lit(fp).alias("tokenizer_hash"))
 
         name = f"v-{uuid.uuid4().hex}"
         base = f"{self.pointer.path}/{name}"
@@ -142,7 +142,9 @@ class TokenLedger:
         new_counts = now.groupBy("content_hash").agg(F.max("tokens").alias("tokens")).withColumn("tokenizer_hash", F.lit(fp))
         signed = now.select(*self.dims, F.col("tokens"), F.lit(1).cast("long").alias("documents"))
         if members is not None:
-            same = [*self.key, *[d for d in self.dims if d not in self.key], "content_hash"]
+            same = [*self.key, *[d for d in self.dims if d not in self.key], "content_hash", "tokenizer_hash"]
+            if "tokenizer_hash" not in members.columns:  # of a version written before members named it
+                members = members.withColumn("tokenizer_hash", F.lit(None).cast("string"))
             both = now.select(*same, "tokens", F.lit(1).alias("_s")).unionByName(members.select(*same, "tokens", F.lit(-1).alias("_s")))
             net = both.groupBy(*same).agg(F.sum("_s").alias("_s"), F.max("tokens").alias("tokens")).where("_s <> 0")
             signed = net.select(*self.dims, (F.col("tokens") * F.col("_s")).alias("tokens"), F.col("_s").cast("long").alias("documents"))

@@ -309,6 +309,16 @@ def test_ledger_updates_equal_one_run(spark):
     assert one.update(spark.createDataFrame([], t)).count() == 0
 
 
+def test_another_tokenizer_replaces_totals(spark):
+    path, vocabulary = scratch(spark, "l4"), tokens.Tokenizer("piece_bpe_32k.model")
+    df = spark.createDataFrame([("a", "s", "internationalisation of words"), ("b", "s", "x y z")], "doc string, src string, text string")
+    tokens.TokenLedger(spark, path, ["doc"], ["src"]).update(df)
+    led = tokens.TokenLedger(spark, path, ["doc"], ["src"], vocabulary)
+    for now in (df, df.where("doc = 'a'")):
+        want = tokens.count_tokens(now, "text", vocabulary).groupBy("src").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("documents"))
+        assert led.update(now).select("src", "tokens", "documents").collect() == want.collect()
+
+
 def test_unchanged_documents_are_not_encoded_again(spark):
     led = tokens.TokenLedger(spark, scratch(spark, "l3"), ["doc"], ["src"])
     df = spark.createDataFrame([("a", "s", "x y z")], "doc string, src string, text string")
