@@ -6,6 +6,7 @@ import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Callable, Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ctxloom.llm.simhash import HammingIndex, UnitHashes, window_prints
+from ctxloom.llm.simhash import HammingIndex, Units, window_prints
 
 DENSE = re.compile("[぀-ヿ㐀-䶿一-鿿豈-﫿가-힯]")
 _MARKUP = re.compile(r"</?[a-zA-Z][^<>]{0,200}>|\]\([^)\s]{0,300}\)|&(?:[a-zA-Z]{2,8}|#\d{1,6});|[­​-‏﻿]")
@@ -39,214 +40,164 @@ def letter_units(text: str) -> str:
     return "".join(_WORD.findall(text))
 
 
-class PassageIndex:
-    """The passages of the items as seed grams, small and of fixed size however large the corpus.
+class _Passages:
+    """The passages of the items end to end as unit numbers, and the exact check of places where a text may give one away.
 
-    A stretch of at least ``least`` units with at most one edit in ``per_edit`` holds an unedited run of at least ``seed``
-    units: e edits leave e + 1 runs that share 7 e units or more when one in 8 may be edited, and 7 e / (e + 1) > 5 from
-    e = 3 on. So runs found by their seed grams are complete, and each is extended both ways to the exact furthest reach
-    per number of edits.
+    A stretch qualifies if at least ``least`` of a passage's units stand in a text in order with at most one edit in
+    ``per_edit``. A qualifying stretch of twice ``least`` units or more has a half that qualifies, so looking twice ``least``
+    units to both sides of a place, with the edits such a length allows, decides exactly.
     """
 
     def __init__(self, items: Sequence[tuple[int, str | None]], *, dense: bool, least: int, per_edit: int = 8, seed: int = 6):
         self.dense, self.least, self.per_edit, self.seed = dense, least, per_edit, seed
         self.most_edits = (2 * least - 1) // per_edit
-        self.vocabulary: dict[str, int] = {}
-        self.passages: list[tuple[int, list[int]]] = []
-        grams: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        self.names: list[str] = []
+        numbers: dict[str, int] = {}
+        self.item: list[int] = []
+        flat, begins, ends = [-1], [], []
         for item, passage in items:
             text = normal(passage or "")
             if not text or bool(len(DENSE.findall(text)) * 3 > len(text)) != dense:
                 continue
-            ids = [self.vocabulary.setdefault(u, len(self.vocabulary) + 1) for u in (letter_units(text) if dense else word_units(text))]
-            if len(ids) < seed:
+            units = letter_units(text) if dense else word_units(text)
+            if len(units) < seed:
                 continue
-            self.passages.append((item, ids))
-            for p, code in enumerate(self._codes(np.array(ids, dtype=np.uint64))):
-                grams[int(code)].append((len(self.passages) - 1, p))
-        self.codes = np.array(sorted(grams), dtype=np.uint64)
-        self.places = [grams[int(c)] for c in self.codes]
-
-    def _codes(self, ids: np.ndarray) -> np.ndarray:
-        n = len(ids) - self.seed + 1
-        code = np.zeros(max(n, 0), dtype=np.uint64)
-        with np.errstate(over="ignore"):
-            for k in range(self.seed):
-                code = code * np.uint64(0x9E3779B97F4A7C15) + ids[k : k + n]
-        return code
-
-    def search(self, texts: Sequence[Sequence[str]], found: list[set[int]] | None = None) -> list[set[int]]:
-        """Per text (a sequence of units) the items it gives away, added to those already ``found``."""
-        found = [set() for _ in texts] if found is None else found
-        if not len(self.codes):
-            return found
-        get = self.vocabulary.get
-        flat: list[int] = []
-        starts = []
-        for t in texts:
-            starts.append(len(flat))
-            flat.extend([get(u, 0) for u in t])
-            flat.append(0)
-        ids = np.array(flat, dtype=np.uint64)
-        n = len(ids) - self.seed + 1
-        if n <= 0:
-            return found
-        known = np.concatenate(([0], np.cumsum(ids > 0)))
-        at = np.nonzero(known[self.seed : self.seed + n] - known[:n] == self.seed)[0]
-        if not len(at):
-            return found
-        codes = self._codes(ids)[at]
-        slot = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
-        hit = self.codes[slot] == codes
-        at, slot = at[hit], slot[hit]
-        owner = np.searchsorted(np.array(starts), at, side="right") - 1
-        done: dict[tuple[int, int], int] = {}
-        for pos, s, doc in zip(at.tolist(), slot.tolist(), owner.tolist()):
-            hits = found[doc]
-            for passage, p in self.places[s]:
-                item, want = self.passages[passage]
-                if item in hits:
-                    continue
-                # a run already extended on this diagonal reaches beyond this seed
-                diagonal = (passage, pos - p)
-                if done.get(diagonal, -1) >= pos:
-                    continue
-                run = self.seed
-                limit = min(len(want) - p, len(flat) - pos)
-                while run < limit and want[p + run] == flat[pos + run]:
-                    run += 1
-                done[diagonal] = pos + run - self.seed
-                if self._covers(want, p, p + run, flat, pos, pos + run, starts[doc], starts[doc + 1] - 1 if doc + 1 < len(starts) else len(flat) - 1):
-                    hits.add(item)
+            for u in units:
+                if u not in numbers:
+                    numbers[u] = len(self.names)
+                    self.names.append(u)
+            begins.append(len(flat))
+            flat += [numbers[u] for u in units]
+            ends.append(len(flat))
+            flat.append(-1)
+            self.item.append(item)
+        self.flat = np.array(flat, dtype=np.int64)
+        self.begins, self.ends = np.array(begins, dtype=np.int64), np.array(ends, dtype=np.int64)
+        self._units: Units | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_units": None}
+
+    def numbered(self, texts: Sequence[Sequence[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """The units of all texts end to end as numbers, those of the passages by the passages' own, and where texts start."""
+        if self._units is None:
+            self._units = Units(self.names)
+        starts = np.zeros(len(texts) + 1, dtype=np.int64)
+        np.cumsum([len(t) for t in texts], out=starts[1:])
+        return self._units.numbers(chain.from_iterable(texts), int(starts[-1])), starts
+
+    def settle(self, text: np.ndarray, starts: np.ndarray, t: np.ndarray, p: np.ndarray) -> list[set[int]]:
+        """Per text the items it gives away, of places ``t`` in the texts and ``p`` in the passages that hold equal units."""
+        found: list[set[int]] = [set() for _ in range(len(starts) - 1)]
+        order = np.lexsort((t, t - p))
+        t, p = t[order], p[order]
+        # places that follow each other on a diagonal are one run, and its first place decides for all
+        follows = np.concatenate(([False], (t[1:] == t[:-1] + 1) & (p[1:] == p[:-1] + 1))) if len(t) else np.zeros(0, dtype=bool)
+        t, p = t[~follows], p[~follows]
+        for lo in range(0, len(t), 4096):
+            a, b = t[lo : lo + 4096], p[lo : lo + 4096]
+            doc, k = np.searchsorted(starts, a, side="right") - 1, np.searchsorted(self.begins, b, side="right") - 1
+            right = self._reach(text, a, starts[doc + 1] - a, b, self.ends[k] - b, 1)
+            left = self._reach(text, a - 1, a - starts[doc], b - 1, b - self.begins[k], -1)
+            good = np.zeros(len(a), dtype=bool)
+            for e1 in range(self.most_edits + 1):
+                for e2 in range(self.most_edits + 1):
+                    length = right[e1] + left[e2]
+                    good |= (length >= self.least) & ((e1 + e2) * self.per_edit <= length)
+            for d, i in zip(doc[good].tolist(), k[good].tolist()):
+                found[d].add(self.item[i])
         return found
 
-    def _covers(self, want: list[int], p0: int, p1: int, text: list[int], t0: int, t1: int, lo: int, hi: int) -> bool:
-        """Whether the run want[p0:p1] = text[t0:t1] extends to a long enough stretch with few enough edits."""
-        if p1 - p0 >= self.least:
-            return True
-        right = self._reach(want[p1 : p1 + 2 * self.least], text[t1 : min(hi, t1 + 3 * self.least)])
-        a, b = max(0, p0 - 2 * self.least), max(lo, t0 - 3 * self.least)
-        left = self._reach(want[a:p0][::-1], text[b:t0][::-1])
-        for e1, r in enumerate(right):
-            for e2, l in enumerate(left):
-                length = p1 - p0 + r + l
-                if length >= self.least and (e1 + e2) * self.per_edit <= length:
-                    return True
-        return False
-
-    def _reach(self, a: list[int], b: list[int]) -> list[int]:
-        """For 0, 1, 2 ... edits the most units of ``a`` that align with a prefix of ``b`` (furthest reach per diagonal)."""
-        n, m = len(a), len(b)
-        out = []
-        i = 0
-        while i < n and i < m and a[i] == b[i]:
-            i += 1
-        rows = {0: i}
-        out.append(i)
-        for _ in range(self.most_edits):
-            new: dict[int, int] = {}
-            best = 0
-            for d in range(min(rows) - 1, max(rows) + 2):  # d = place in b minus place in a
-                i = max(rows.get(d, -2) + 1, rows.get(d + 1, -2) + 1, rows.get(d - 1, -1))
-                if i < 0:
-                    continue
-                i = min(i, n)
-                j = i + d
-                if j < 0 or j > m:
-                    continue
-                while i < n and j < m and a[i] == b[j]:
-                    i += 1
-                    j += 1
-                new[d] = i
-                if i > best:
-                    best = i
-            if not new:
-                break
-            rows = new
+    def _reach(self, text: np.ndarray, t: np.ndarray, m: np.ndarray, p: np.ndarray, n: np.ndarray, sign: int) -> np.ndarray:
+        """For 0, 1, 2 ... edits the most units of the passages, from ``p`` in direction ``sign``, that align with the texts
+        from ``t`` on; ``n`` and ``m`` units are left there. Furthest reach per diagonal, all places at once."""
+        width, most = 2 * self.least + self.seed, self.most_edits
+        n, m = np.minimum(n, width), np.minimum(m, width + most)
+        i = np.arange(width)
+        ours = self.flat[np.clip(p[:, None] + sign * i, 0, len(self.flat) - 1)].astype(np.int32)
+        ours[i >= n[:, None]] = -1
+        j = np.arange(-most, width + most)
+        theirs = text[np.clip(t[:, None] + sign * j, 0, len(text) - 1)].astype(np.int32)
+        theirs[(j < 0) | (j >= m[:, None])] = -2
+        stops = np.full((2 * most + 1, len(p), width + 1), width, dtype=np.int16)
+        for d in range(2 * most + 1):
+            differ = np.where(ours == theirs[:, d : d + width], np.int16(width), i.astype(np.int16))
+            stops[d, :, :width] = np.minimum.accumulate(differ[:, ::-1], axis=1)[:, ::-1]
+        none = np.full(len(p), -9, dtype=np.int64)
+        every = np.arange(len(p))
+        rows = {0: stops[most, :, 0].astype(np.int64)}
+        out = [rows[0]]
+        for e in range(1, most + 1):
+            now: dict[int, np.ndarray] = {}
+            best = out[-1]
+            for d in range(-e, e + 1):  # d = place in the text minus place in the passage
+                at = np.maximum(np.maximum(rows.get(d, none), rows.get(d + 1, none)) + 1, rows.get(d - 1, none))
+                at = np.minimum(at, n)
+                ok = (at >= 0) & (at + d >= 0) & (at + d <= m)
+                at = np.where(ok, stops[d + most, every, np.maximum(at, 0)], -9)
+                now[d] = at.astype(np.int64)
+                best = np.maximum(best, now[d])
+            rows = now
             out.append(best)
-            if best >= n:
-                break
-        return out
+        return np.stack(out)
 
 
-class FingerprintIndex:
-    """The passages as SimHash fingerprints of their windows, each hit checked exactly on the texts.
+class PassageIndex(_Passages):
+    """The passages by their seed grams: the measure of ``FingerprintIndex``, without fingerprints.
 
-    A window is half as long as the shortest stretch that counts, so every such stretch holds whole windows wherever it
-    starts. All document windows within ``radius`` bits of a passage window are found; a hit counts if the window's
-    unedited runs extend to a stretch that qualifies. A window whose edits move more than ``radius`` bits is not found by
-    itself; the stretch is found by any of its other windows, or not at all: ``CompleteIndex`` finds the rest.
+    A stretch of at least ``least`` units with at most one edit in ``per_edit`` holds an unedited run of at least ``seed``
+    units: e edits leave e + 1 runs that share 7 e units or more when one in 8 may be edited, and 7 e / (e + 1) > 5 from
+    e = 3 on. So looking up all runs of that length is complete.
     """
 
-    def __init__(self, items: Sequence[tuple[int, str | None]], *, dense: bool, least: int, per_edit: int = 8, radius: int = 3, size: int | None = None):
-        self.exact = PassageIndex(items, dense=dense, least=least, per_edit=per_edit)
-        self.size, self.dense = size or max(least // 2, 1), dense
-        self._hashes: UnitHashes | None = None
-        names = [""] + list(self.exact.vocabulary)
-        hashes = UnitHashes()
-        prints, self.places = [], []
-        for k, (_, ids) in enumerate(self.exact.passages):
-            own = window_prints(hashes.of([names[i] for i in ids]), self.size)
-            prints.append(own)
-            self.places += [(k, p) for p in range(len(own))]
-        self.index = HammingIndex(np.concatenate(prints) if prints else np.zeros(0, dtype=np.uint64), radius)
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"_hashes": None}
+    def __init__(self, items: Sequence[tuple[int, str | None]], *, dense: bool, least: int, per_edit: int = 8, seed: int = 6):
+        super().__init__(items, dense=dense, least=least, per_edit=per_edit, seed=seed)
+        self.places: dict[tuple[int, ...], list[int]] = defaultdict(list)
+        for a, b in zip(self.begins.tolist(), self.ends.tolist()):
+            for p in range(a, b - seed + 1):
+                self.places[tuple(self.flat[p : p + seed].tolist())].append(p)
 
     def search(self, texts: Sequence[Sequence[str]]) -> list[set[int]]:
         """Per text (a sequence of units) the items it gives away."""
-        found: list[set[int]] = [set() for _ in texts]
-        if not self.places:
-            return found
-        if self._hashes is None:
-            self._hashes = UnitHashes()
-        starts, flat = [0], []
-        for t in texts:
-            flat.extend(t)
-            starts.append(len(flat))
-        prints = window_prints(self._hashes.of(flat), self.size)
-        if not len(prints):
-            return found
-        bounds = np.array(starts)
-        at, window = self.index.near(prints)
-        owner = np.searchsorted(bounds, at, side="right") - 1
-        whole = at + self.size <= bounds[owner + 1]
-        get = self.exact.vocabulary.get
-        seed = self.exact.seed
-        ids: dict[int, list[int]] = {}
-        tried: dict[tuple[int, int, int], int] = {}
-        for t, i, doc in zip(at[whole].tolist(), window[whole].tolist(), owner[whole].tolist()):
-            k, p = self.places[i]
-            item, want = self.exact.passages[k]
-            if item in found[doc]:
-                continue
-            text = ids.get(doc)
-            if text is None:
-                text = ids[doc] = [get(u, 0) for u in texts[doc]]
-            here = t - starts[doc]
-            key = (doc, k, here - p)
-            a = max(0, tried.get(key, 0) - here)
-            while a <= self.size - seed:
-                if want[p + a : p + a + seed] == text[here + a : here + a + seed]:
-                    b = seed
-                    while p + a + b < len(want) and here + a + b < len(text) and want[p + a + b] == text[here + a + b]:
-                        b += 1
-                    if self.exact._covers(want, p + a, p + a + b, text, here + a, here + a + b, 0, len(text)):
-                        found[doc].add(item)
-                        break
-                    a += b
-                    tried[key] = here + a
-                else:
-                    a += 1
-        return found
+        text, starts = self.numbered(texts)
+        hits = []
+        for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist()):
+            ids = text[lo:hi].tolist()
+            for k, gram in enumerate(zip(*(ids[s:] for s in range(self.seed)))):
+                if gram in self.places:
+                    hits += [(lo + k, p) for p in self.places[gram]]
+        t, p = np.array(hits, dtype=np.int64).reshape(-1, 2).T
+        return self.settle(text, starts, t, p)
+
+
+class FingerprintIndex(_Passages):
+    """The passages as SimHash fingerprints of their windows, each hit checked exactly on the texts.
 
+    A window holds ``seed`` units, the length of the unedited run that every stretch that counts is certain to hold (see
+    ``PassageIndex``). Equal windows have equal fingerprints, so the search is complete at any ``radius``, 0 included; a
+    greater one adds windows that differ a little. All document windows within ``radius`` bits of a passage window are
+    found, each is checked from its first equal unit.
+    """
 
-class CompleteIndex(FingerprintIndex):
-    """Candidates of the fingerprints, then of the seed grams for what those leave open: every stretch that counts is found."""
+    def __init__(self, items: Sequence[tuple[int, str | None]], *, dense: bool, least: int, per_edit: int = 8, seed: int = 6, radius: int = 1):
+        super().__init__(items, dense=dense, least=least, per_edit=per_edit, seed=seed)
+        whole = [np.arange(a, b - seed + 1) for a, b in zip(self.begins.tolist(), self.ends.tolist())]
+        self.windows = np.concatenate(whole) if whole else np.zeros(0, dtype=np.int64)
+        hashes = Units(self.names).hashes(np.maximum(self.flat, 0)) if self.names else np.zeros(0, dtype=np.uint64)
+        self.index = HammingIndex(window_prints(hashes, seed)[self.windows] if len(self.windows) else np.zeros(0, dtype=np.uint64), radius)
 
     def search(self, texts: Sequence[Sequence[str]]) -> list[set[int]]:
-        return self.exact.search(texts, super().search(texts))
+        """Per text (a sequence of units) the items it gives away."""
+        if not len(self.windows):
+            return [set() for _ in texts]
+        text, starts = self.numbered(texts)
+        at, window = self.index.near(window_prints(self._units.hashes(text), self.seed))
+        owner = np.searchsorted(starts, at, side="right") - 1
+        whole = at + self.seed <= starts[owner + 1]
+        t, p = at[whole], self.windows[window[whole]]
+        equal = np.stack([text[t + k] == self.flat[p + k] for k in range(self.seed)]) if len(t) else np.zeros((self.seed, 0), dtype=bool)
+        first, some = equal.argmax(axis=0), equal.any(axis=0)
+        return self.settle(text, starts, (t + first)[some], (p + first)[some])
 
 
 def _scan(documents: DataFrame, items: DataFrame, make: Callable[[list, bool], object]) -> DataFrame:
@@ -271,20 +222,20 @@ def _scan(documents: DataFrame, items: DataFrame, make: Callable[[list, bool], o
     return documents.select(F.col("doc_id"), F.col("text")).mapInArrow(scan, schema)
 
 
-def leaked(documents: DataFrame, items: DataFrame, *, words: int = 24, letters: int = 36, per_edit: int = 8, radius: int = 3) -> DataFrame:
+def leaked(documents: DataFrame, items: DataFrame, *, words: int = 24, letters: int = 36, per_edit: int = 8, radius: int = 1) -> DataFrame:
     """(item_id, doc_id) for every document that holds a stretch of an item's passage.
 
     A stretch is at least ``words`` words (scripts without spaces: ``letters`` letters and digits) in order, with at most
     one unit in ``per_edit`` replaced, dropped or inserted; case, punctuation, spacing, line breaks and markup do not
-    count. Candidates come from SimHash windows of half that size within ``radius`` bits, found through the
-    Hamming multi-index, and from unedited runs of six units, which every stretch is certain to hold; an exact check on the
-    texts decides. ``items`` (item_id, passage) is the held-out set: it is stated, of
+    count. Candidates are SimHash windows within ``radius`` bits, found through the Hamming multi-index; windows are as long
+    as the unedited run that every stretch is certain to hold, so none is lost. An exact alignment of the texts decides.
+    ``items`` (item_id, passage) is the held-out set: it is stated, of
     fixed size, and goes to every executor; every document is read once, whole, in Arrow batches, and nothing is shuffled.
     Copies of a document count each. Null passages and texts match nothing; items that repeat an id count as one item.
     """
-    return _scan(documents, items, lambda rows, dense: CompleteIndex(rows, dense=dense, least=letters if dense else words, per_edit=per_edit, radius=radius))
+    return _scan(documents, items, lambda rows, dense: FingerprintIndex(rows, dense=dense, least=letters if dense else words, per_edit=per_edit, radius=radius))
 
 
 def leaked_by_runs(documents: DataFrame, items: DataFrame, *, words: int = 24, letters: int = 36, per_edit: int = 8) -> DataFrame:
-    """The same rows by unedited runs alone, complete by proof: the measure of ``leaked``."""
+    """The same rows by unedited runs alone, without fingerprints: the measure of ``leaked``."""
     return _scan(documents, items, lambda rows, dense: PassageIndex(rows, dense=dense, least=letters if dense else words, per_edit=per_edit))

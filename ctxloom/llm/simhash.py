@@ -7,39 +7,45 @@ its size, and no bit is ever unpacked.
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 import numpy as np
+import xxhash
 
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-class UnitHashes(dict):
-    """Unit -> place in a growing table of 64-bit hashes; starts afresh when it has grown large."""
+class Units(dict):
+    """Unit -> number, with a table of 64-bit hashes by number; ``first`` units keep their numbers for good, the rest starts
+    afresh when it has grown to ``most``."""
 
-    def __init__(self, most: int = 1_000_000):
+    def __init__(self, first: Sequence[str] = (), most: int = 1_000_000):
         super().__init__()
-        self.most = most
+        self.first, self.most = list(first), most
         self.table = np.zeros(1024, dtype=np.uint64)
+        self._renew()
+
+    def _renew(self) -> None:
+        self.clear()
+        for unit in self.first:
+            self[unit]
 
     def __missing__(self, unit: str) -> int:
-        raw = unit.encode("utf-8", "replace")
-        h = (zlib.crc32(raw) << 32) | zlib.crc32(raw, 0x9E3779B9)
-        h = (h ^ (h >> 31)) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
-        h = (h ^ (h >> 29)) * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF
         place = len(self)
         if place == len(self.table):
             self.table = np.concatenate((self.table, np.zeros(place, dtype=np.uint64)))
-        self.table[place] = h ^ (h >> 32)
+        self.table[place] = xxhash.xxh3_64_intdigest(unit.encode("utf-8", "replace"))
         self[unit] = place
         return place
 
-    def of(self, units: Sequence[str]) -> np.ndarray:
+    def numbers(self, units: Iterable[str], count: int) -> np.ndarray:
+        """The numbers of ``count`` units; those of earlier calls stay valid only for ``first`` units."""
         if len(self) > self.most:
-            self.clear()
-        places = np.fromiter(map(self.__getitem__, units), dtype=np.int64, count=len(units))
-        return self.table[places]
+            self._renew()
+        return np.fromiter(map(self.__getitem__, units), dtype=np.int64, count=count)
+
+    def hashes(self, numbers: np.ndarray) -> np.ndarray:
+        return self.table[numbers]
 
 
 def _add(a: list[np.ndarray], b: list[np.ndarray]) -> list[np.ndarray]:
@@ -110,29 +116,35 @@ class HammingIndex:
                 np.cumsum(np.bincount(key, minlength=1 << int(b - a)), out=starts[1:])
                 self.blocks.append((np.uint64(a), mask, starts, None, order, prints[order]))
             else:
-                self.blocks.append((np.uint64(a), mask, None, key[order], order, prints[order]))
+                held = np.zeros(1 << 20, dtype=bool)
+                held[key & 0xFFFFF] = True
+                self.blocks.append((np.uint64(a), mask, held, key[order], order, prints[order]))
 
     def near(self, asked: np.ndarray, step: int = 16_384) -> tuple[np.ndarray, np.ndarray]:
         """(place in ``asked``, place in the index) of all pairs within the radius, by place, each once."""
-        found = [np.zeros((0, 2), dtype=np.int64)]
+        found = [np.zeros(0, dtype=np.int64)]
+        size = max(1, len(self.prints))
         for base in range(0, len(asked), step):
             part = asked[base : base + step]
             for shift, mask, starts, keys, order, values in self.blocks:
                 k = ((part >> shift) & mask).astype(np.int64)
                 if keys is None:
                     lo, hi = starts[k], starts[k + 1]
-                else:
-                    lo, hi = np.searchsorted(keys, k, "left"), np.searchsorted(keys, k, "right")
-                n = hi - lo
-                some = np.nonzero(n)[0]
+                    n = hi - lo
+                    some = np.nonzero(n)[0]
+                    n, lo = n[some], lo[some]
+                else:  # the low bits of a key tell most that are not held
+                    some = np.nonzero(starts[k & 0xFFFFF])[0]
+                    lo = np.searchsorted(keys, k[some], "left")
+                    n = np.searchsorted(keys, k[some], "right") - lo
+                    some, n, lo = some[n > 0], n[n > 0], lo[n > 0]
                 if not len(some):
                     continue
-                n, lo = n[some], lo[some]
                 ends = np.cumsum(n)
                 at = np.arange(ends[-1]) + np.repeat(lo - (ends - n), n)
                 left = np.repeat(some, n)
                 ok = np.nonzero(np.bitwise_count(part[left] ^ values[at]) <= self.radius)[0]
                 if len(ok):
-                    found.append(np.stack((left[ok] + base, order[at[ok]]), axis=1))
-        pairs = np.unique(np.concatenate(found), axis=0)
-        return pairs[:, 0], pairs[:, 1]
+                    found.append((left[ok] + base) * size + order[at[ok]])
+        pairs = np.unique(np.concatenate(found))
+        return pairs // size, pairs % size

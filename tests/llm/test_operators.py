@@ -224,9 +224,10 @@ def test_fingerprint_search_is_exact_and_finds_long_stretches():
         texts.append(rnd.choices(words, k=20) + part + rnd.choices(words, k=20))
         sure.append(k)
     texts.append(passages[0][1].split()[:15])
-    some = leaks.FingerprintIndex(passages, dense=False, least=24).search(texts)
     all_ = leaks.PassageIndex(passages, dense=False, least=24).search(texts)
-    assert all(a <= b for a, b in zip(some, all_)) and all(k in f for k, f in zip(sure, some)) and some[-1] == set()
+    for radius in (0, 1, 3):
+        some = leaks.FingerprintIndex(passages, dense=False, least=24, radius=radius).search(texts)
+        assert all(a >= b for a, b in zip(some, all_)) and all(k in f for k, f in zip(sure, some)) and some[-1] == set()
 
 
 def test_evenly_edited_stretches_are_all_found(spark):
