@@ -60,51 +60,72 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return (h ^ (h >> np.uint64(29))) * _SPREAD
 
 
-def repair(symbols: np.ndarray, owner: np.ndarray, rounds: int = 14) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def repair(symbols: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair grammars of many sequences at once.
 
     ``symbols`` holds the sequences end to end, ``owner`` (ascending) tells whose each symbol is. A round counts the digrams of
     every sequence, and replaces all non-overlapping occurrences of those that occur twice or more and are more frequent than
-    the digrams they overlap; the pair's hash names the rule, so equal rules of different sequences have equal names.
+    the digrams they overlap, or else of the most frequent one; the pair's hash names the rule, so equal rules of different
+    sequences have equal names. A sequence is finished when none of its digrams repeats.
     Returns the start symbols, their owners, their expanded lengths, and the number of rules per owner.
     """
     sym, own = symbols.astype(np.uint64), owner.astype(np.int64)
     length = np.ones(len(sym), dtype=np.int64)
-    rules = np.zeros(int(own[-1]) + 1 if len(own) else 0, dtype=np.int64)
-    for _ in range(rounds):
-        if len(sym) < 4:
-            break
+    owners = int(own[-1]) + 1 if len(own) else 0
+    rules = np.zeros(owners, dtype=np.int64)
+    finished: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    while len(sym) >= 4:
         dig = _mix(sym[:-1], sym[1:])
         key = dig ^ ((own[:-1] + 1).astype(np.uint64) * _MIX2)
-        same = own[:-1] == own[1:]
-        codes, _u = pd.factorize(key)
-        count = np.bincount(codes[same], minlength=len(_u))[codes]
-        ok = same & (count >= 2)
-        if not ok.any():
-            break
         # in a run of one digram (a a a) only every second place may be taken
-        again = np.concatenate(([False], dig[1:] == dig[:-1]))
+        again = np.concatenate(([False], (dig[1:] == dig[:-1]) & (own[1:-1] == own[:-2])))
         index = np.arange(len(dig))
-        first = np.maximum.accumulate(np.where(again, 0, index))
-        ok &= (index - first) % 2 == 0
-        weight = np.where(ok, count.astype(np.float64) + (dig >> np.uint64(12)).astype(np.float64) / 2.0**53, 0.0)
+        ok = (own[:-1] == own[1:]) & ((index - np.maximum.accumulate(np.where(again, 0, index))) % 2 == 0)
+        codes, uniq = pd.factorize(key)
+        count = np.bincount(codes[ok], minlength=len(uniq))[codes]
+        weight = np.where(ok & (count >= 2), count.astype(np.float64) + (dig >> np.uint64(12)).astype(np.float64) / 2.0**53, 0.0)
         before, after = np.concatenate(([0.0], weight[:-1])), np.concatenate((weight[1:], [0.0]))
-        take = ok & (weight > before) & (weight >= after)
-        chosen = np.nonzero(take)[0]
-        per, uniq = pd.factorize(key[chosen])
-        twice = np.bincount(per, minlength=len(uniq))
-        keep = twice[per] >= 2
-        chosen, per = chosen[keep], per[keep]
-        if not len(chosen):
-            break
-        _, firsts = np.unique(per, return_index=True)
-        np.add.at(rules, own[chosen[firsts]], 1)
-        sym[chosen] = dig[chosen]
-        length[chosen] += length[chosen + 1]
+        chosen = np.nonzero((weight > 0) & (weight > before) & (weight >= after))[0]
+        chosen = chosen[np.bincount(codes[chosen], minlength=len(uniq))[codes[chosen]] >= 2]
+        moved = np.zeros(owners, dtype=bool)
+        moved[own[chosen]] = True
+        most = np.zeros(owners)
+        np.maximum.at(most, own[:-1], weight)
+        if (most[~moved] > 0).any():
+            rest = np.nonzero((weight > 0) & ~moved[own[:-1]] & (weight == most[own[:-1]]))[0]
+            moved[own[rest]] = True
+            chosen = np.sort(np.concatenate((chosen, rest)))
+        if len(chosen):
+            np.add.at(rules, own[chosen[np.unique(codes[chosen], return_index=True)[1]]], 1)
+            sym[chosen] = dig[chosen]
+            length[chosen] += length[chosen + 1]
         stay = np.ones(len(sym), dtype=bool)
         stay[chosen + 1] = False
+        live = moved[own]
+        done = stay & ~live
+        finished.append((sym[done], own[done], length[done]))
+        stay &= live
         sym, own, length = sym[stay], own[stay], length[stay]
-    return sym, own, length, rules
+    finished.append((sym, own, length))
+    sym, own, length = (np.concatenate(x) for x in zip(*finished))
+    order = np.argsort(own, kind="stable")
+    return sym[order], own[order], length[order], rules
+
+
+#: Reuse is measured on grammars of equal parts of at most this many tokens, so that long files do not look repetitive.
+PART = 500
+
+
+def grammar_share(symbols: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Per owner the size of the Re-Pair grammars of its parts (two symbols a rule, and the start symbols) over its length."""
+    n = np.bincount(owner)
+    parts = np.maximum(1, -(-n // PART))
+    first = np.cumsum(parts) - parts
+    place = np.arange(len(owner)) - (np.cumsum(n) - n)[owner]
+    part = first[owner] + place * parts[owner] // np.maximum(1, n)[owner]
+    _, own, _, rules = repair(symbols, part)
+    size = 2 * rules + np.bincount(own, minlength=len(rules))
+    return np.add.reduceat(size, first) / np.maximum(1, n) if len(n) else np.zeros(0)
 
 
 _TOOL = r"[\w./+-]"
@@ -197,15 +218,16 @@ def traits(texts: Sequence[str], paths: Sequence[str]) -> list[dict]:
                 "space_share": space / len(text) if text else 1.0,
                 "banner": any(_BANNER.search(h) and not _NOT_BANNER.search(h) for h in head),
                 "notice": any(_NOTICE.search(h) for h in head),
-                "rules": 0,
-                "start": 0,
+                "grammar": 1.0,
                 "prose": 0.0,
                 "phrases": [],
             }
         )
     if ids:
-        sym, owner, length, rules = repair(np.array(ids, dtype=np.uint64), np.array(own, dtype=np.int64))
-        name, of = np.array(ids) == _NAME, np.array(own)
+        name, of = np.array(ids) == _NAME, np.array(own, dtype=np.int64)
+        kinds = np.array(ids, dtype=np.uint64)
+        sym, owner, length, _ = repair(kinds, of)
+        share = grammar_share(kinds, of)
         running = np.bincount(of[1:][name[1:] & name[:-1] & (of[1:] == of[:-1])], minlength=len(texts))
         h = np.array(hashes, dtype=np.uint64)
         two = _mix(h, np.concatenate((h[1:], np.zeros(1, np.uint64))))
@@ -225,16 +247,15 @@ def traits(texts: Sequence[str], paths: Sequence[str]) -> list[dict]:
         for k, p, n in zip(owner[stops].tolist(), phrase.tolist(), size.tolist()):
             if n >= 12:
                 out[k]["phrases"].append((p - (1 << 64) if p >= 1 << 63 else p, n))
-        starts = np.bincount(owner, minlength=len(texts))
         for k, o in enumerate(out):
-            o["rules"] = int(rules[k]) if k < len(rules) else 0
-            o["start"] = int(starts[k])
+            if o["tokens"]:
+                o["grammar"] = float(share[k])
             o["prose"] = running[k] / o["tokens"] if o["tokens"] else 0.0
     return out
 
 
-#: A grammar this small against its text marks a machine at work; hand-written code stays above it (fixed values).
-REUSE, REUSE_TOKENS = 0.32, 60
+#: A grammar this small against its text marks a machine at work; hand-written code stays above it.
+REUSE, REUSE_TOKENS = 0.27, 60
 #: Names next to names fill this share of running text, which is no code whoever wrote it; code stays far below.
 PROSE = 0.35
 #: Literals fill this share of the code and hardly compress: data in the form of code.
@@ -243,10 +264,9 @@ DATA_SHARE, DATA_BYTES = 0.72, 800
 
 def verdict(t: dict, path: str) -> dict[str, bool]:
     """The reasons that hold for a file by itself."""
-    ratio = (2 * t["rules"] + t["start"]) / max(1, t["tokens"])
     fresh = t["n_numbers"] >= 64 and t["fresh_numbers"] >= 0.3 or t["dense_text"] >= 0.55
     return {
-        "generated": t["banner"] or (t["tokens"] >= REUSE_TOKENS and ratio < REUSE and t["prose"] < PROSE),
+        "generated": t["banner"] or (t["tokens"] >= REUSE_TOKENS and t["grammar"] < REUSE and t["prose"] < PROSE),
         "minified": t["chars"] >= 500 and t["chars"] / max(1, t["lines"]) >= 150 and t["space_share"] < 0.08,
         "data": t["literal_share"] >= DATA_SHARE and t["literal_bytes"] >= DATA_BYTES and fresh,
         "noticed": t["notice"] or _VENDOR_PATH.search(path) is not None,
@@ -293,10 +313,12 @@ def shared_share(profile: DataFrame, repos: DataFrame, *, hot_rows: int = 200_00
     more repositories.
 
     ``repos``: project_id, repo; a project without a row is a repository of its own. A phrase's repositories are folded to
-    their least and greatest name on the map side, so a phrase found everywhere costs one row per task; the way back to
-    the files is a join with one row per shared phrase, salted for phrases that very many files hold."""
+    their least and greatest name on the map side, so a phrase found everywhere costs one row per task; files find their
+    repository before they are spread into phrases, salted for projects of very many files, and the way back to the files is
+    a join with one row per shared phrase, salted for phrases that very many files hold."""
     phrases = profile.select("project_id", "path", F.explode("phrases").alias("p")).select("project_id", "path", "p.phrase", "p.size")
-    named = phrases.join(repos, "project_id", "left").withColumn("repo", F.coalesce("repo", "project_id"))
+    named = salted_join(profile.select("project_id", "path", "phrases.phrase"), repos, ["project_id"], "left", salt_from=["path"], hot_rows=hot_rows)
+    named = named.select(F.coalesce("repo", "project_id").alias("repo"), F.explode("phrase").alias("phrase"))
     shared = named.groupBy("phrase").agg(F.min("repo").alias("lo"), F.max("repo").alias("hi")).where("lo <> hi").select("phrase", F.lit(1).alias("_shared"))
     back = salted_join(phrases, shared, ["phrase"], "left", salt_from=["project_id", "path"], hot_rows=hot_rows)
     held = F.sum(F.when(F.col("_shared").isNotNull(), F.col("size")).otherwise(0))
@@ -306,7 +328,7 @@ def shared_share(profile: DataFrame, repos: DataFrame, *, hot_rows: int = 200_00
 def whole_copies(profile: DataFrame, repos: DataFrame) -> DataFrame:
     """The distinct ``whole`` hashes (all code of a file in order, without comments and line ends) that stand in two or more
     repositories."""
-    named = profile.where("whole is not null").select("project_id", "whole").join(repos, "project_id", "left").withColumn("repo", F.coalesce("repo", "project_id"))
+    named = salted_join(profile.where("whole is not null").select("project_id", "path", "whole"), repos, ["project_id"], "left", salt_from=["path"]).withColumn("repo", F.coalesce("repo", "project_id"))
     return named.groupBy("whole").agg(F.min("repo").alias("lo"), F.max("repo").alias("hi")).where("lo <> hi").select("whole", F.lit(True).alias("_copy"))
 
 

@@ -1,10 +1,13 @@
 """Documentation pairs, credentials, origin profiles, leaks, repetition, tokens, mixing: rules and brute force."""
 
+import argparse
 import bisect
 import random
 import textwrap
+import typing
 from collections import Counter, defaultdict
 from pathlib import Path
+from unittest import mock
 
 import numpy as np
 import pytest
@@ -126,6 +129,30 @@ def test_verdicts():
     assert kinds("") == set() and kinds("The warm cache of the pool keeps every open page until the writer asks for it again. " * 60) == set()
 
 
+def test_reuse_does_not_depend_on_length():
+    rnd = random.Random(4)
+    seqs = [[rnd.randint(1, 90) if rnd.random() < 0.4 else rnd.randint(1, 9) for _ in range(n)] for n in (300, 3_000, 30_000)]
+    symbols, owner = (np.concatenate(x) for x in zip(*((np.array(s, dtype=np.uint64), np.full(len(s), k)) for k, s in enumerate(seqs))))
+    share = provenance.grammar_share(symbols, owner)
+    assert max(share) - min(share) < 0.08
+    hand = [Path(m.__file__).read_text() for m in (random, textwrap, argparse, typing, mock)]
+    assert all(provenance.traits([t], ["a.py"])[0]["grammar"] > 0.35 for t in hand if len(t) > 2_000)
+    assert "generated" in kinds(GEN) and "generated" in kinds(GEN * 40)
+
+
+def test_no_digram_repeats_in_a_finished_grammar():
+    rnd = random.Random(9)
+    ids = np.array([rnd.randint(1, 5) for _ in range(900)], dtype=np.uint64)
+    own = np.repeat(np.arange(3), 300)
+    sym, owner, _, _ = provenance.repair(ids, own)
+    for k in range(3):
+        s = sym[owner == k].tolist()
+        last: dict = {}
+        for i, pair in enumerate(zip(s, s[1:])):
+            assert i - last.get(pair, i) < 2
+            last.setdefault(pair, i)
+
+
 def test_comment_head_has_no_last_line():
     note, far = "vendored from https://x.example/lib v1.2", "x" * 500
     for sign in ("#", "//"):
