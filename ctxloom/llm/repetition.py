@@ -5,7 +5,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,73 +22,77 @@ _UNITS = re.compile(f"[{DENSE}]|[^\\W\\d_{DENSE}]+")
 _DENSE = re.compile(f"[{DENSE}]")
 
 
-#: Texts of more units than this are measured over arrays of unit numbers, which need far less memory than windows of words.
-LONG = 50_000
+class _Numbers(dict):
+    """Unit -> number in order of appearance."""
 
+    def __missing__(self, unit: str) -> int:
+        self[unit] = n = len(self)
+        return n
 
-def _long_share(units: list[str], dense: bool, words: int, chars: int) -> float:
-    """:func:`repeated_share` for long texts: equal windows by hash, every match then compared unit by unit."""
-    numbers: dict[str, int] = {}
-    ids = np.fromiter((numbers.setdefault(u, len(numbers)) for u in units), dtype=np.int64, count=len(units))
-    n = len(ids)
-    change = np.zeros(n + 1, dtype=np.int64)
-    is_dense = np.fromiter((_DENSE.match(u) is not None for u in numbers), dtype=bool, count=len(numbers))[ids] if dense else None
-    for size in (words, chars) if dense else (words,):
-        m = n - size + 1
-        if m <= 0:
-            continue
-        code = np.zeros(m, dtype=np.uint64)
-        with np.errstate(over="ignore"):
-            for k in range(size):
-                code = (code ^ (code >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + ids[k : k + m].astype(np.uint64) + np.uint64(1)
-        _, first, inverse = np.unique(code, return_index=True, return_inverse=True)
-        origin = first[inverse]
-        later = np.nonzero(origin != np.arange(m))[0]
-        same = np.ones(len(later), dtype=bool)
-        for k in range(size):
-            same &= ids[later + k] == ids[origin[later] + k]
-        later = later[same]
-        if is_dense is not None and size == words:
-            many = np.concatenate(([0], np.cumsum(is_dense)))
-            later = later[many[later + size] == many[later]]
-        np.add.at(change, later, 1)
-        np.add.at(change, later + size, -1)
-    return float((np.cumsum(change[:-1]) > 0).sum()) / n
 
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
-def repeated_share(text: str | None, words: int = 6, chars: int = 10) -> float:
-    """The share of units that lie in second or later occurrences of stretches of the same text.
+
+def _repeats(ids: np.ndarray, own: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """Those of the windows at ``starts`` that stand earlier in the same text.
+
+    Windows are grouped by a hash; every one is compared unit by unit with the first of its group, and groups in which
+    unlike windows meet are told apart by the windows themselves."""
+    code = (own[starts].astype(np.uint64) + np.uint64(1)) * _SPREAD
+    with np.errstate(over="ignore"):
+        for k in range(size):
+            code = (code ^ (code >> np.uint64(29))) * _SPREAD + ids[starts + k].astype(np.uint64) + np.uint64(1)
+    _, first, group = np.unique(code, return_index=True, return_inverse=True)
+    origin = first[group]
+    later = origin != np.arange(len(starts))
+    same = own[starts] == own[starts[origin]]
+    for k in range(size):
+        same &= ids[starts + k] == ids[starts[origin] + k]
+    if not same.all():
+        mixed = np.isin(group, group[~same])
+        seen: set[tuple[int, ...]] = set()
+        for i in np.nonzero(mixed)[0].tolist():
+            window = (int(own[starts[i]]), *ids[starts[i] : starts[i] + size].tolist())
+            later[i] = window in seen
+            seen.add(window)
+    return starts[later]
+
+
+def repeated_shares(texts: Sequence[str | None], words: int = 6, chars: int = 10) -> list[float]:
+    """Per text the share of units that lie in second or later occurrences of stretches of the same text.
 
     Units are words, or characters where the script has no spaces; case, spacing, punctuation and digits do not count.
     A stretch is ``words`` units without a dense character or ``chars`` units of any kind. Null, empty and short texts
-    have share 0.0. Linear in the text: two passes over windows held in hash sets.
+    have share 0.0. All texts are measured together over arrays of unit numbers.
     """
-    if not text:
-        return 0.0
-    units = _UNITS.findall(text.lower())
-    n = len(units)
-    if n <= words:
-        return 0.0
-    dense = _DENSE.search(text) is not None
-    if n > LONG:
-        return _long_share(units, dense, words, chars)
-    covered = bytearray(n)
-    for size in (words, chars) if dense else (words,):
-        windows = list(zip(*(units[k:] for k in range(size))))
-        if len(set(windows)) == len(windows):
-            continue
-        flags = None
-        if dense and size == words:
-            flags = [len(u) == 1 and _DENSE.match(u) is not None for u in units]
-        seen = set()
-        one = b"\x01" * size
-        for i, w in enumerate(windows):
-            if w in seen:
-                if flags is None or not any(flags[i : i + size]):
-                    covered[i : i + size] = one
-            else:
-                seen.add(w)
-    return sum(covered) / n
+    numbers = _Numbers()
+    units = [_UNITS.findall(t.lower()) if t else [] for t in texts]
+    sizes = np.array([len(u) for u in units], dtype=np.int64)
+    ends = np.cumsum(sizes)
+    ids = np.fromiter(map(numbers.__getitem__, chain.from_iterable(units)), dtype=np.int64, count=int(ends[-1]) if len(ends) else 0)
+    n = len(ids)
+    if not n:
+        return [0.0] * len(texts)
+    own = np.repeat(np.arange(len(texts)), sizes)
+    left = ends[own] - np.arange(n)
+    dense = np.fromiter((_DENSE.match(u) is not None for u in numbers), dtype=bool, count=len(numbers))[ids]
+    many = np.concatenate(([0], np.cumsum(dense)))
+    change = np.zeros(n + 1, dtype=np.int64)
+    starts = np.nonzero(left >= words)[0]
+    found = [(words, starts[many[starts + words] == many[starts]])]
+    if many[-1]:
+        found.append((chars, np.nonzero((left >= chars) & (np.bincount(own[dense], minlength=len(texts)) > 0)[own])[0]))
+    for size, at in found:
+        again = _repeats(ids, own, at, size)
+        np.add.at(change, again, 1)
+        np.add.at(change, again + size, -1)
+    covered = np.bincount(own, weights=np.cumsum(change[:-1]) > 0, minlength=len(texts))
+    return [float(c) / k if k > words else 0.0 for c, k in zip(covered, sizes.tolist())]
+
+
+def repeated_share(text: str | None, words: int = 6, chars: int = 10) -> float:
+    """:func:`repeated_shares` of one text."""
+    return repeated_shares([text], words, chars)[0]
 
 
 def repetition(docs: DataFrame, key: str = "doc_id", text: str = "text", *, words: int = 6, chars: int = 10) -> DataFrame:
@@ -97,8 +102,10 @@ def repetition(docs: DataFrame, key: str = "doc_id", text: str = "text", *, word
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            shares = [repeated_share(t, words, chars) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shares, pa.float64())], names=[key, "repeated_share"])
+            for lo in range(0, b.num_rows, 500):
+                part = b.slice(lo, 500)
+                shares = repeated_shares(part.column(1).to_pylist(), words, chars)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(shares, pa.float64())], names=[key, "repeated_share"])
 
     return docs.select(F.col(key), F.col(text)).mapInArrow(measure, schema)
 

@@ -302,14 +302,23 @@ def test_repeated_share_equals_brute_force(words):
     assert repetition.repeated_share(" 7, ".join(words)) == pytest.approx(brute_share(words))
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.sampled_from("ab cd ef 缓 存 层 gh".split()), max_size=80))
-def test_long_texts_are_measured_alike(words):
-    text = " ".join(words)
-    units = repetition._UNITS.findall(text)
-    if len(units) > 6:
-        dense = repetition._DENSE.search(text) is not None
-        assert repetition._long_share(units, dense, 6, 10) == pytest.approx(repetition.repeated_share(text))
+def brute_mixed(units, words=6, chars=10):
+    dense = [repetition._DENSE.match(u) is not None for u in units]
+    covered = set()
+    for size in (words, chars):
+        for i in range(len(units) - size + 1):
+            if (size == words and not any(dense[i : i + size]) or size == chars and any(dense)) and any(units[j : j + size] == units[i : i + size] for j in range(i)):
+                covered |= set(range(i, i + size))
+    return len(covered) / len(units) if len(units) > words else 0.0
+
+
+@pytest.mark.parametrize("spread", [0x9E3779B97F4A7C15, 0, 1 << 60])
+def test_many_texts_are_measured_at_once_whatever_the_hash(spread, monkeypatch):
+    monkeypatch.setattr(repetition, "_SPREAD", np.uint64(spread))  # a bad factor makes unlike windows meet
+    rnd = random.Random(spread)
+    texts = [" ".join(rnd.choices("ab cd ef 缓 存 gh".split() if k % 2 else "ab cd ef".split(), k=rnd.randint(0, 60))) for k in range(60)] + [None, "", "ab"]
+    want = [brute_mixed(repetition._UNITS.findall(t or "")) for t in texts]
+    assert repetition.repeated_shares(texts) == pytest.approx(want)
 
 
 def test_repeated_share_rules():
