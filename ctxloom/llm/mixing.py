@@ -37,8 +37,10 @@ class Mixture:
         [T.StructField(n, t) for n, t in (("source", T.StringType()), ("target_share", T.DoubleType()), ("max_repeats", T.IntegerType()), ("tokens", T.LongType()), ("wanted", T.DoubleType()), ("available", T.LongType()), ("taken", T.LongType()), ("actual_share", T.DoubleType()), ("falls_short", T.BooleanType()))]
     )
 
-    def __init__(self, docs: DataFrame, targets: DataFrame, *, shards: int = 16, max_blocks: int = 512, seed: int = 42):
-        self.shards, self.max_blocks, self.seed = shards, max_blocks, seed
+    USES = T.StructType([PLAN["source"], PLAN["block"], T.StructField("uses", T.ArrayType(T.StructType([PLAN["copy"], PLAN["shard"]])))])
+
+    def __init__(self, docs: DataFrame, targets: DataFrame, *, shards: int = 16, max_blocks: int = 512, seed: int = 42, most_held: int = 200_000):
+        self.shards, self.max_blocks, self.seed, self.most_held = shards, max_blocks, seed, most_held
         self.spark = docs.sparkSession
         self.targets = targets.groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
         block = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(max_blocks)).cast("int")
@@ -75,11 +77,7 @@ class Mixture:
                     uses.append((b, rounds))
                     got += blocks[s][b]
             copies[s] = [uses[i] for i in rng.permutation(len(uses))]
-            shares.append([s, float(share), int(most), int(size), float(want), int(most * size), int(rounds * size + got), None, bool(most * size < want)])
-        taken = sum(x[6] for x in shares)
-        for x in shares:
-            x[7] = x[6] / taken if taken else 0.0
-        self._shares = shares
+            shares.append([s, float(share), int(most), int(size), float(want), int(most * size)])
         names = sorted(copies)
         quota = self._split(np.array([len(copies[s]) for s in names], dtype=np.int64), 0, self.shards, (self.seed, 1))
         self._copies = []
@@ -89,6 +87,17 @@ class Mixture:
                 for b, c in copies[s][at : at + int(quota[shard][j])]:
                     self._copies.append((s, b, c, shard))
                 at += int(quota[shard][j])
+        self._shares = []
+        given = {s: [0, 0] for s in names}
+        for s, b, _, _ in self._copies:
+            given[s][0] += 1
+            given[s][1] += blocks[s][b]
+        taken = sum(tokens for _, tokens in given.values())
+        for s, share, most, size, want, available in shares:
+            uses, tokens = given[s]
+            # short: every block stands in the shards as often as allowed, and all of that is less than wanted
+            short = uses == most * len(blocks[s]) and tokens < want
+            self._shares.append((s, share, most, size, want, available, tokens, tokens / taken if taken else 0.0, short))
 
     def _split(self, counts: np.ndarray, lo: int, hi: int, path: tuple[int, ...]) -> dict[int, np.ndarray]:
         """Quotas per shard lo..hi-1. A node's draw depends on the seed and its place in the tree only."""
@@ -108,6 +117,26 @@ class Mixture:
         return self.spark.createDataFrame(self._copies, self.PLAN)
 
     def mix(self) -> DataFrame:
-        """The documents of the mix: doc_id, source, copy, shard and the key that orders a shard."""
-        rows = self.docs.join(F.broadcast(self.quotas()), ["source", "block"])
-        return rows.select("doc_id", "source", "copy", "shard", F.xxhash64(F.lit(self.seed), "doc_id", "copy").alias("order_key"), "tokens")
+        """The documents of the mix: doc_id, source, copy, shard and the key that orders a shard.
+
+        One row per (source, block) holds all its copies, so what goes to the executors is bounded by sources x max_blocks
+        rows; it is broadcast up to ``most_held`` copies and joined by hash beyond."""
+        uses = {}
+        for s, b, c, shard in self._copies:
+            uses.setdefault((s, b), []).append((c, shard))
+        held = self.spark.createDataFrame([(s, b, u) for (s, b), u in uses.items()], self.USES)
+        if len(self._copies) <= self.most_held:
+            held = F.broadcast(held)
+        rows = self.docs.join(held, ["source", "block"]).select("doc_id", "source", "tokens", F.explode("uses").alias("u"))
+        return rows.select("doc_id", "source", "u.copy", "u.shard", F.xxhash64(F.lit(self.seed), "doc_id", "u.copy").alias("order_key"), "tokens")
+
+    def shuffled(self) -> DataFrame:
+        """The mix laid out: every shard whole in one or more tasks by ranges of (shard, order_key), rows in that order.
+
+        Ranges are sampled, so a shard of any size is spread over as many tasks as it needs and no task holds more than its
+        part; written with ``partitionBy("shard")``, the files of a shard read one after the other are its shuffled rows."""
+        return self.mix().repartitionByRange("shard", "order_key").sortWithinPartitions("shard", "order_key")
+
+    def write(self, path: str) -> None:
+        """Writes the shuffled mix as one folder per shard."""
+        self.shuffled().write.partitionBy("shard").mode("overwrite").parquet(path)

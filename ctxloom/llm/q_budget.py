@@ -15,9 +15,16 @@ DOC_SOURCE = "replace(lower(trim(source)), '_', '-')"
 
 
 def wrong_totals(spark: SparkSession, d: str) -> DataFrame:
-    """Projects whose recorded total is off by more than a factor of two."""
+    """Projects whose recorded total is off by more than a factor of two.
+
+    The ledger stands as the successful runs left it (chunks that one of them wrote in their present state) and is then
+    brought to all present chunks by the signed deltas of what they lack."""
     ledger = TokenLedger(spark, scratch(spark, "p5"), ["project_id", "id"], ["project_id"])
-    cube = ledger.update(load(spark, d, "chunks").select("project_id", "id", "content"), "content")
+    done = load(spark, d, "index_runs").where("state = 'done'").select(F.col("id").alias("run_id")).distinct()
+    written = load(spark, d, "processed_items").where("item_kind = 'chunk'").join(done, "run_id", "left_semi").select("project_id", F.col("item_key").alias("id"), "content_hash")
+    chunks = load(spark, d, "chunks").select("project_id", "id", "content", "content_hash")
+    ledger.update(chunks.join(written, ["project_id", "id", "content_hash"], "left_semi").drop("content_hash"), "content")
+    cube = ledger.update(chunks.drop("content_hash"), "content")
     recorded = load(spark, d, "index_manifest").where("tokens_bge_m3 is not null").select("project_id", "tokens_bge_m3")
     both = recorded.join(cube.select("project_id", "tokens"), "project_id", "left").withColumn("tokens", F.coalesce("tokens", F.lit(0)))
     return both.where((F.col("tokens_bge_m3") * 2 < F.col("tokens")) | (F.col("tokens_bge_m3") > F.col("tokens") * 2)).select("project_id").distinct()
@@ -62,6 +69,7 @@ def _mixture(spark: SparkSession, d: str) -> Mixture:
 
 
 def short_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Sources whose blocks all stand in the shards as often as allowed and still give less than their share."""
     return _mixture(spark, d).shares().where("falls_short").select("source")
 
 
@@ -77,8 +85,17 @@ def limits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mixed_documents(spark: SparkSession, d: str) -> DataFrame:
-    """The mix itself."""
-    return _mixture(spark, d).mix()
+    """The mix itself, laid out by shard and shuffled within."""
+    return _mixture(spark, d).shuffled()
+
+
+def mixed_totals(spark: SparkSession, d: str) -> DataFrame:
+    """What the mix holds of each target source, counted on its rows."""
+    m = _mixture(spark, d)
+    held = m.mix().groupBy("source").agg(F.sum("tokens").alias("taken"), F.max("copy").alias("last_copy"))
+    wide = m.shares().select("source", "falls_short", "available", "max_repeats").join(held, "source", "left")
+    short = F.col("falls_short") & (F.coalesce("taken", F.lit(0)) == F.col("available"))
+    return wide.select("source", short.alias("used_up"), (F.coalesce("last_copy", F.lit(-1)) < F.col("max_repeats")).alias("within_repeats"))
 
 
 def register(reg) -> None:
@@ -103,4 +120,5 @@ def register(reg) -> None:
     reg.query("p9_found", sized + "SELECT source FROM t WHERE max_repeats * n < target_share * total")(short_sources)
     reg.query("p9_limits", sized + "SELECT source, n AS tokens, round(target_share * total, 3) AS wanted, max_repeats * n AS available, max_repeats * n < target_share * total AS falls_short FROM t")(limits)
     reg.query("p9_shares")(shares)
+    reg.query("p9_totals", sized + "SELECT source, max_repeats * n < target_share * total AS used_up, true AS within_repeats FROM t")(mixed_totals)
     reg.query("p9_mix")(mixed_documents)

@@ -97,7 +97,7 @@ class TokenLedger:
 
     ``update(current)`` takes the whole present set of documents (``key``, ``text``, ``dims``) and
 
-    1. hashes texts and encodes only those whose (content hash, tokenizer hash) the count table lacks,
+    1. hashes texts and encodes only those whose (content hash, tokenizer hash) the count table lacks, each distinct text once,
     2. compares membership old and new and emits signed deltas: +tokens for added, -tokens for removed, both for a
        document whose content, slice or tokenizer changed,
     3. adds the deltas to the cube,
@@ -124,13 +124,18 @@ class TokenLedger:
         docs = current.select(*self.key, *[d for d in self.dims if d not in self.key], F.col(text).alias("_text"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("content_hash"))
         counts, members, cube = self._table("counts"), self._table("members"), self._table("cube")
         columns = [*self.key, *[d for d in self.dims if d not in self.key], "content_hash"]
-        if counts is None:
+        if counts is None and self.tokenizer.name == "estimate":  # a closed formula costs less than any look-up
             sized = count_tokens(docs, "_text", self.tokenizer)
         else:
-            known = counts.where(F.col("tokenizer_hash") == fp).select("content_hash", "tokens")
-            unseen = docs.select("content_hash").distinct().join(known, "content_hash", "left_anti")
-            fresh = count_tokens(docs.join(unseen, "content_hash", "left_semi").select("content_hash", "_text"), "_text", self.tokenizer).groupBy("content_hash").agg(F.max("tokens").alias("tokens"))
-            sized = docs.drop("_text").join(known.unionByName(fresh), "content_hash", "left")
+            unseen, known = docs.select("content_hash", "_text"), None
+            if counts is not None:
+                known = counts.where(F.col("tokenizer_hash") == fp).select("content_hash", "tokens")
+                unseen = unseen.join(known, "content_hash", "left_anti")
+            if self.tokenizer.name == "estimate":
+                fresh = count_tokens(unseen, "_text", self.tokenizer).groupBy("content_hash").agg(F.max("tokens").alias("tokens"))
+            else:
+                fresh = count_tokens(unseen.dropDuplicates(["content_hash"]), "_text", self.tokenizer)
+            sized = docs.drop("_text").join(fresh if known is None else known.unionByName(fresh), "content_hash", "left")
         top = F.max(F.struct("content_hash", "tokens", *[F.col(d).alias(f"_d_{d}") for d in self.dims if d not in self.key]))
         now = sized.select(*columns, "tokens").groupBy(*self.key).agg(top.alias("_m"))
         now = now.select(*self.key, *[F.col(f"_m._d_{d}").alias(d) for d in self.dims if d not in self.key], F.col("_m.content_hash").alias("content_hash"), F.col("_m.tokens").alias("tokens"), F.lit(fp).alias("tokenizer_hash"))

@@ -356,6 +356,21 @@ def test_another_tokenizer_replaces_totals(spark):
         assert led.update(now).select("src", "tokens", "documents").collect() == want.collect()
 
 
+def test_distinct_texts_are_encoded_once(spark, monkeypatch):
+    seen, plain = [], tokens.count_tokens
+
+    def counted(docs_, text, tokenizer, out="tokens"):
+        seen.extend(r[0] for r in docs_.select(text).collect())
+        return plain(docs_, text, tokenizer, out)
+
+    monkeypatch.setattr(tokens, "count_tokens", counted)
+    df = spark.createDataFrame([(f"d{i}", "s", f"text number {i % 5}") for i in range(40)], "doc string, src string, text string").repartition(6)
+    led = tokens.TokenLedger(spark, scratch(spark, "l5"), ["doc"], ["src"], tokens.Tokenizer("piece_bpe_32k.model"))
+    assert led.update(df).first().documents == 40
+    led.update(df.union(spark.createDataFrame([("new", "s", "another text")], df.schema)))
+    assert sorted(seen) == sorted([f"text number {i}" for i in range(5)] + ["another text"])
+
+
 def test_unchanged_documents_are_not_encoded_again(spark):
     led = tokens.TokenLedger(spark, scratch(spark, "l3"), ["doc"], ["src"])
     df = spark.createDataFrame([("a", "s", "x y z")], "doc string, src string, text string")
@@ -408,6 +423,12 @@ def test_mixture_quotas_and_limits(spark):
     quota = Counter((q.source, q.shard) for q in m.quotas().collect())
     per_shard = Counter(s for (_, s), n in quota.items() for _ in range(n))
     assert len(per_shard) == 7 and max(per_shard.values()) - min(per_shard.values()) <= 3
+    laid = [(r.shard, r.order_key) for r in m.shuffled().collect()]
+    assert laid == sorted(laid) and sorted(laid) == sorted((r.shard, r.order_key) for r in out)
+    m.write(path := scratch(spark, "mix"))
+    assert spark.read.parquet(path).count() == len(out)
+    wide = mixing.Mixture(docs_, targets, shards=7, max_blocks=64, most_held=0).mix()
+    assert sorted(map(tuple, wide.collect())) == sorted(map(tuple, out))
     again = mixing.Mixture(docs_, targets, shards=7, max_blocks=64)
     assert sorted(map(tuple, again.quotas().collect())) == sorted(map(tuple, m.quotas().collect()))
 
