@@ -43,16 +43,19 @@ NAMES = (
 )
 
 _ARMOR = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+#: A line of an armored body: base64 or a header between signs of comments and literals, up to the line break, escaped or not.
+_ARMOR_LINE = re.compile(r"[\"'+*#/ \t]*+(?:[A-Za-z-]+: [^\n\\]*+|[A-Za-z0-9+/]{16,}+=*+|[A-Za-z0-9+/]{1,15}+=*+(?=[\s\"'\\,;)]|\Z))?(?:\\r)?(?:\\n)?[\"'+, \t\\)]*+(?:\r?\n|\Z|(?<=\\n)|(?<=[=\"']))")
 _ARMOR_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
-_ADDRESS = re.compile(r"://([^\s:/@\"'<>`]{0,80}):([^\s@\"'<>`]{3,200}?)@[A-Za-z0-9\[]")
+_ADDRESS = re.compile(r"://([^\s:/@\"'<>`]*+):([^\s@\"'<>`/?#]{6,}+)@[A-Za-z0-9\[]")
 _SCHEME_TOKEN = re.compile(r"(?:basic|bearer|token)\s+([A-Za-z0-9+/_.~=-]{16,})", re.I)
 _HEADER = re.compile(r"['\"]?\s*:\s*([A-Za-z0-9+/_.~=-]{16,})")
 #: What may stand between the end of a name and its value: closing quote or bracket, array brackets, a type, the sign.
 _TO_VALUE = re.compile(r"(?:_?\d{1,3})?(?![A-Za-z0-9_])(?:\[\d*\])?[\"'`]?\]?\s*(?:[:]\s*[A-Za-z_][\w.<>\[\] ]{0,30}\s*=|:=|=>|==?|:|：|,|\sis\s|是|\)?\s*(?:\|\||\?\?|\bor\b))\s*(?:\(\s*)?(?:(?:[rbuf]|L|u8)(?=[\"']))?(?=[^\s])")
-_QUOTED = re.compile(r"\"((?:\\.|[^\"\\\n]){3,4096})\"|'((?:\\.|[^'\\\n]){3,4096})'|`([^`\n]{3,4096})`")
-_MORE = re.compile(r"\s*(?:\+|\\|\.)?\s*\n\s*(?:\+\s*)?[rbuf]?(?:\"((?:\\.|[^\"\\\n]){1,4096})\"|'((?:\\.|[^'\\\n]){1,4096})')|[ \t]*\+?[ \t]*(?:\"((?:\\.|[^\"\\\n]){1,4096})\"|'((?:\\.|[^'\\\n]){1,4096})')")
-_BARE = re.compile(r"[^\s\"'`,;(){}<>\[\]|]{6,4096}(?=[\s\"'`,;]|$)")
-_VENDOR = re.compile(r"_[A-Za-z0-9]{24,64}(?![A-Za-z0-9_])")
+_QUOTED = re.compile(r"\"((?:\\.|[^\"\\\n]){3,}+)\"|'((?:\\.|[^'\\\n]){3,}+)'|`([^`\n]{3,}+)`")
+_MORE = re.compile(r"\s*(?:\+|\\|\.)?\s*\n\s*(?:\+\s*)?[rbuf]?(?:\"((?:\\.|[^\"\\\n]){1,}+)\"|'((?:\\.|[^'\\\n]){1,}+)')|[ \t]*\+?[ \t]*(?:\"((?:\\.|[^\"\\\n]){1,}+)\"|'((?:\\.|[^'\\\n]){1,}+)')")
+#: A bare value; a further parameter of an address ends it.
+_BARE = re.compile(r"(?:[^\s\"'`,;(){}<>\[\]|&]|&(?![A-Za-z_][\w.-]*=))*+")
+_VENDOR = re.compile(r"_[A-Za-z0-9]{24,}+(?!_)")
 _VENDOR_PREFIX = re.compile(r"[a-z]{2,10}\Z")
 _STAND_IN = re.compile(
     r"change.?me|place.?holder|example|dummy|sample|replace|insert|your[-_ ]|<|\$\{|\{\{|\$\(|^\$[A-Za-z_]+$|^%|^env:|^vault:|^secret:|^file:|^arn:|environ|getenv|process\.env|^\*+$|xxxx|^x+$|\*\*\*|\.\.\.|redacted|hidden|masked|not[-_ ]?set|^set[-_ ]|todo|fixme|deadbeef|12345678|abcdef|^(?:user|pass|password|passwd|secret|token|key|admin|root|guest|test|testing|none|null|nil|true|false|undefined|empty|default|letmein|foo|bar|foobar|hunter2)$",
@@ -61,7 +64,7 @@ _STAND_IN = re.compile(
 _HARMLESS = re.compile(r"sha(?:1|2|256|384|512)?|digest|checksum|hash|etag|uuid|guid|revision|commit|build|integrity|public|pub|fingerprint|request_?id|trace_?id|md5|crc", re.I)
 _SETTINGS = (".env", ".ini", ".yaml", ".yml", ".toml", ".json", ".md", ".markdown", ".txt", ".cfg", ".conf", ".properties", ".rst", ".sh")
 _COMMENT = re.compile(r"^\s*(?:#|//|/\*|\*|--|;|>|<!--)|(?:\s#|\s//|/\*)\s|\bexport\s|(?:-H|--header|--user|-u)\s")
-#: Overlap of scanned windows: longer than any anchor and any grammar but the body of a key, which is read from the text itself.
+#: Overlap of scanned windows: longer than any anchor; what follows an anchor is read from the text itself, to its end.
 WINDOW, OVERLAP = 1 << 20, 1 << 14
 
 
@@ -96,12 +99,23 @@ def _random(value: str, least: int, *, capitals: bool = False) -> bool:
     return entropy(value) >= min(3.0, math.log2(len(value)) * 0.72)
 
 
+#: Signs between the words of a reference (a field, a path, a header, a call), as no digit marks them as a password.
+_REFERENCE = re.compile(r"[A-Za-z_]\w*(?:(?:[./:]|::|->)\w*)+|[\w.]+\(.*\)|[A-Z]\w*(?:-[A-Z]\w*)+|[\[{(].*|.*[\])}]|--?\w.*|.*%[a-z].*|.*[:=]")
+_ABOUT = re.compile(r"pass|pwd|secret|token|credential|auth|login|prompt|enter|key|密码|口令", re.I)
+
+
 def _password(value: str) -> bool:
-    """Whether ``value`` may be a password someone uses: no stand-in, no reference, not a plain word."""
-    if not 6 <= len(value) <= 128 or _STAND_IN.search(value) or re.search(r"\s", value):
+    """Whether ``value`` may be a password someone uses: no stand-in, no reference, not a plain word.
+
+    Digits beside other characters are enough; without digits it takes both cases and signs, and the value must not read
+    as a reference or speak of passwords."""
+    if len(value) < 6 or _STAND_IN.search(value) or re.search(r"\s", value) or len(set(value)) < 5:
         return False
     kinds = sum(bool(re.search(p, value)) for p in (r"[a-z]", r"[A-Z]", r"[0-9]", r"[^A-Za-z0-9]"))
-    return kinds >= 2 and bool(re.search(r"[0-9]", value)) and len(set(value)) >= 5
+    if re.search(r"[0-9]", value):
+        return kinds >= 2
+    signs = re.search(r"[!@#$&^~+?][A-Za-z]", value)  # no name has these between its words
+    return kinds >= 3 and len(value) >= 8 and not _REFERENCE.fullmatch(value) and (signs is not None or not _ABOUT.search(value))
 
 
 _AUTOMATON = None
@@ -173,7 +187,28 @@ def _format(text: str, start: int, pattern: re.Pattern, anchor: str) -> Finding
     return None
 
 
-def _named(text: str, end: int, word: str, settings: bool) -> Finding | None:
+def _armor(text: str, start: int) -> Finding | None:
+    """A private key from its opening line to its closing one, however long; without one, to the end of its body."""
+    m = _ARMOR.match(text, start)
+    if not m:
+        return None
+    dashes = text.find("-----", m.end())
+    stop = _ARMOR_END.match(text, dashes) if dashes >= 0 else None
+    last = dashes if stop else m.end()
+    if not stop:
+        limit = dashes if dashes >= 0 else len(text)
+        while last < limit and (line := _ARMOR_LINE.match(text, last, limit)) and line.end() > last:
+            last = line.end()
+    body = re.sub(r"\\n|[\s\"'+*#/\\]", "", text[m.end() : last])
+    if len(re.match(r"[A-Za-z0-9+/=]*", re.sub(r"^(?:Proc-Type:|DEK-Info:)[^\n]*", "", body)).group()) < 32 or _STAND_IN.search(text[m.end() : last]) and len(body) < 80:
+        return None
+    end = stop.end() if stop else last
+    while not stop and text[end - 1] in " \t\n\r\"'+*#\\,;)":
+        end -= 1
+    return Finding(((start, end),), "private key")
+
+
+def _named(text: str, end: int, word: str, settings: bool, runs: dict[str, int]) -> Finding | None:
     m = _TO_VALUE.match(text, end)
     if not m:
         return None
@@ -198,42 +233,42 @@ def _named(text: str, end: int, word: str, settings: bool) -> Finding | None:
             return None
         ok = _password(value) if is_pass else (not re.search(r"\s", value) and _random(value, 16))
         return Finding(tuple(spans), "password" if is_pass else "secret") if ok else None
-    if "," in m.group() or not (settings or _COMMENT.search(_line(text, end))):
+    if "," in m.group():
         return None
-    b = _BARE.match(text, at)
-    if b:
-        value = b.group()
-        stop = b.end()
-        while value and value[-1] in ".:!?*":
-            value, stop = value[:-1], stop - 1
-        if "://" in value or ("(" in value) or (value.startswith("-----")):
+    if not settings:
+        if not runs.get("line", 1) <= end < runs.get("break", 0):
+            line = _line(text, end)
+            runs["line"] = text.rfind("\n", 0, end) + 1
+            runs["break"], runs["comment"] = runs["line"] + len(line) + 1, _COMMENT.search(line) is not None
+        if not runs["comment"]:
             return None
-        ok = _password(value) if is_pass else _random(value, 16)
-        return Finding(((at, stop),), "password" if is_pass else "secret") if ok else None
-    return None
+    if runs.get("from", 1) <= at < runs.get("to", 0):
+        stop = runs["to"]  # of the run of characters that an earlier name's value belongs to
+    else:
+        stop = _BARE.match(text, at).end()
+        runs["from"], runs["to"] = at, stop
+    if stop - at < 6 or (stop < len(text) and not (text[stop].isspace() or text[stop] in "\"'`,;&")):
+        return None
+    value = text[at:stop].rstrip(".:!?*")
+    stop = at + len(value)
+    if "://" in value or value.startswith("-----"):
+        return None
+    ok = _password(value) if is_pass else _random(value, 16)
+    return Finding(((at, stop),), "password" if is_pass else "secret") if ok else None
 
 
-def _hit(text: str, end: int, what: tuple, settings: bool) -> Finding | None:
+def _hit(text: str, end: int, what: tuple, settings: bool, runs: dict[str, int]) -> Finding | None:
     kind, anchor, pattern = what
     start = end - len(anchor)
     if kind == "format":
         return _format(text, start, pattern, anchor)
     if kind == "name":
-        return _named(text, end, anchor, settings)
+        return _named(text, end, anchor, settings, runs)
     if kind == "armor":
-        m = _ARMOR.match(text, start)
-        if not m:
-            return None
-        stop = _ARMOR_END.search(text, m.end(), m.end() + 20_000)
-        nothing = re.compile(r"-----").search(text, m.end())
-        last = stop.start() if stop else (nothing.start() if nothing else min(len(text), m.end() + 4000))
-        body = re.sub(r"\\n|[\s\"'+*#/\\]", "", text[m.end() : last])
-        if len(re.match(r"[A-Za-z0-9+/=]*", re.sub(r"^(?:Proc-Type:|DEK-Info:)[^\n]*", "", body)).group()) < 32 or _STAND_IN.search(text[m.end() : last]) and len(body) < 80:
-            return None
-        return Finding(((start, stop.end() if stop else last),), "private key")
+        return _armor(text, start)
     if kind == "address":
         m = _ADDRESS.match(text, start)
-        if not m or len(m.group(2)) < 6 or _STAND_IN.search(m.group(2)) or entropy(m.group(2)) < 2.3 or re.search(r"[\s/?#]", m.group(2)):
+        if not m or _STAND_IN.search(m.group(2)) or entropy(m.group(2)) < 2.3:
             return None
         return Finding((m.span(2),), "password in address")
     m = _SCHEME_TOKEN.match(text, start)
@@ -260,6 +295,7 @@ def find_credentials(text: str | None, path: str | None = None) -> list[Finding]
         return []
     settings = (path or "").lower().endswith(_SETTINGS)
     found: dict[int, Finding] = {}
+    runs: dict[str, int] = {}
     scan = automaton()
     for base in range(0, max(1, len(text)), WINDOW):
         part = text[base : base + WINDOW + OVERLAP]
@@ -267,7 +303,7 @@ def find_credentials(text: str | None, path: str | None = None) -> list[Finding]
         if len(low) != len(part):  # a few characters change length in lower case
             low = "".join(c.lower() if len(c.lower()) == 1 else c for c in part)
         for last, what in scan.iter(low):
-            f = _hit(text, base + last + 1, what, settings)
+            f = _hit(text, base + last + 1, what, settings, runs)
             if f:
                 old = found.get(f.spans[0][0])
                 if old is None or f.spans[-1][1] > old.spans[-1][1]:
