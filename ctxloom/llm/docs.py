@@ -38,13 +38,17 @@ def _braced(text: str) -> list[Function]:
     notes: list[tuple[int, int]] = []
     head, depth, opened, scopes = 0, 0, 0, []
     current: tuple[str, str, int] | None = None
+    declaring = -1  # the head that is known to hold code
     for m in _BRACED.finditer(text):
         kind = m.lastgroup
         if kind in ("block", "line"):
             if current is None:
+                if declaring == head:
+                    continue
                 between = text[head : m.start()]
                 if between.strip():
                     if _ASIDE.sub("", between).strip():
+                        declaring = head
                         continue  # inside a declaration
                     notes = []
                 if notes and text.count("\n", notes[-1][1], m.start()) > 1:
@@ -91,48 +95,84 @@ def _braced(text: str) -> list[Function]:
     return [f for f in out if f.name]
 
 
+#: The marks that end or open something in a signature.
+_SIGNATURE = re.compile(r"[()\[\]{}:]|#[^\n]*|'(?:\\.|[^'\\\n])*'|\"(?:\\.|[^\"\\\n])*\"")
+_FIRST_STRING = re.compile(r"(?:\s|#[^\n]*\n)*[rRuU]?(\"\"\"(.*?)(?:\"\"\"|\Z)|'''(.*?)(?:'''|\Z)|\"((?:\\.|[^\"\\\n])*)\"|'((?:\\.|[^'\\\n])*)')", re.S)
+_CODE_LINE = re.compile(r"^[ \t]*(?=[^\s#])", re.M)
+
+
+def _above(text: str, start: int) -> str:
+    """The comment lines that end where decorators or the definition at ``start`` begin."""
+    top, low = start, start
+    while low > 0:
+        line = text.rfind("\n", 0, low - 1) + 1
+        sign = text[line:low].lstrip(" \t")[:1]
+        if sign == "@" and low == top:
+            top = low = line
+        elif sign == "#":
+            low = line
+        else:
+            break
+    return text[low:top]
+
+
 def _indented(text: str) -> list[Function]:
-    """Functions of a language with indentation. The first string of the body documents them, else the comment above."""
-    tokens, depth, defs = [], 0, []
+    """Functions of a language with indentation. The first string of the body documents them, else the comment above.
+
+    One pass of the lexer finds definitions and the stretches (strings, open brackets) inside which no line of code begins;
+    one pass over the lines of code then closes the bodies that are open, by a stack, so the work grows with the text."""
+    shut: list[tuple[int, int]] = []
+    defs: list[re.Match] = []
+    depth = opened = 0
     for m in _PYTHON.finditer(text):
         if m.lastgroup == "mark":
-            depth = max(0, depth + (1 if m.group() in "([{" else -1))
-            tokens.append((m.start(), m.group()))
+            if m.group() in "([{":
+                opened = m.start() if depth == 0 else opened
+                depth += 1
+            elif depth:
+                depth -= 1
+                if depth == 0:
+                    shut.append((opened, m.end()))
         elif m.group("name"):
             if depth == 0:
                 defs.append(m)
-        else:
-            tokens.append((m.start(), "x" if m.group("string") else "#"))
-    out = []
+        elif m.group("string") and depth == 0 and "\n" in m.group():
+            shut.append(m.span())
+    if depth:
+        shut.append((opened, len(text)))
+    heads: list[tuple[re.Match, int]] = []
     for k, m in enumerate(defs):
-        opens, colon = 0, -1
-        for t in re.compile(r"[()\[\]{}:]|#[^\n]*|'(?:\\.|[^'\\\n])*'|\"(?:\\.|[^\"\\\n])*\"").finditer(text, m.end()):
+        opens, stop = 0, defs[k + 1].start() if k + 1 < len(defs) else len(text)
+        for t in _SIGNATURE.finditer(text, m.end(), stop):
             c = t.group()[0]
             if c in "([{":
                 opens += 1
             elif c in ")]}":
                 opens -= 1
             elif c == ":" and opens == 0:
-                colon = t.end()
+                heads.append((m, t.end()))
                 break
-        if colon < 0:
+    ends = [len(text)] * len(heads)
+    open_: list[tuple[int, int]] = []
+    at = nth = 0
+    for line in _CODE_LINE.finditer(text):
+        begin, pos = line.span()
+        while at < len(shut) and shut[at][1] <= pos:
+            at += 1
+        if at < len(shut) and shut[at][0] < pos:
             continue
-        indent = len(m.group("def")) - len(m.group("def").lstrip())
-        end = len(text)
-        stop = re.compile(r"\n(?=[ \t]{0,%d}[^\s#])" % indent).search(text, colon)
-        if stop:
-            end = stop.start()
-        doc = ""
-        first = re.compile(r"(?:\s|#[^\n]*\n)*[rRuU]?(\"\"\"(.*?)(?:\"\"\"|\Z)|'''(.*?)(?:'''|\Z)|\"((?:\\.|[^\"\\\n])*)\"|'((?:\\.|[^'\\\n])*)')", re.S).match(text, colon, end)
-        if first:
-            doc = next((g for g in first.groups()[1:] if g is not None), "")
+        while open_ and pos - begin <= open_[-1][0]:
+            ends[open_.pop()[1]] = max(begin - 1, 0)
+        if nth < len(heads) and heads[nth][0].start() == begin:
+            open_.append((pos - begin, nth))
+            nth += 1
+    out = []
+    for (m, colon), end in zip(heads, ends):
+        end = max(end, colon)
+        first = _FIRST_STRING.match(text, colon, end)
+        doc = next((g for g in first.groups()[1:] if g is not None), "") if first else ""
         if not doc.strip():
-            above = text[: m.start()]
-            while (d := re.search(r"(?:\A|\n)([ \t]*@[^\n]*\n)\Z", above)) and d.group(1):
-                above = above[: d.start(1)]
-            c = re.search(r"(?:(?:\A|(?<=\n))[ \t]*#[^\n]*\n)+\Z", above)
-            if c:
-                doc = c.group()
+            doc = _above(text, m.start())
         out.append(Function(m.group("name"), text[m.start() : colon].strip(), text[colon:end], doc, m.start()))
     return out
 
@@ -223,10 +263,12 @@ def description(raw: str | None, name: str | None) -> str:
 def pair(docstring: str | None, content: str | None, path: str | None, fqn: str | None, signature: str | None) -> tuple[str, str, str] | None:
     """(signature, body, description) of a chunk, or None if its documentation says nothing.
 
-    The docstring column counts; where it is null or blank, the documentation found in the content by lexing it."""
+    The docstring column counts; where it is null or blank, the documentation found in the content by lexing it. The body
+    is that of the function named by ``fqn`` (of the first one where that is null); if the content holds none of that name
+    nothing of another function is taken, and the whole content stands for the body."""
     name = re.split(r"[.:]", fqn or "")[-1]
     found = functions_in(content, path)
-    own = next((f for f in found if re.split(r"[.:]", f.name)[-1] == name), found[0] if found else None)
+    own = next((f for f in found if re.split(r"[.:]", f.name)[-1] == name), None if name else next(iter(found), None))
     raw = docstring if docstring and docstring.strip() else (own.documentation if own else "")
     text = description(raw, name or (own.name if own else ""))
     if not text:

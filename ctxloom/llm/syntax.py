@@ -1093,7 +1093,8 @@ def first_error(content: bytes | None, family: str) -> Error | None:
     """(line, message) of the first unrecoverable error, None for a file that parses.
 
     A byte order mark and CRLF are no fault, bytes that are not UTF-8 read as replacement characters. Null and empty
-    files parse, but for JSON. Merge markers at the start of a line make any file an error."""
+    files parse, but for JSON. Merge markers at the start of a line make any file an error; of a marker and a syntax error
+    the earlier counts."""
     text = (content or b"").decode("utf-8", "replace")
     if text.startswith("\ufeff"):
         text = text[1:]
@@ -1104,13 +1105,14 @@ def first_error(content: bytes | None, family: str) -> Error | None:
     m = _MERGE.search(text)
     if m:
         found = (m.start(), "merge marker")
-    if check and not found:
+    if check:
         try:
             check(text)
         except Broken as b:
-            found = (b.at, b.why)
+            if not found or b.at < found[0]:
+                found = (b.at, b.why)
         except RecursionError:
-            found = (0, "nested too deeply")
+            found = found or (0, "nested too deeply")
     if found is None:
         return None
     return text.count("\n", 0, found[0]) + 1, found[1]

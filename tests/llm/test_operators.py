@@ -46,6 +46,30 @@ def test_documentation_is_found_in_the_source():
     assert docs.pair("Counts the open files of a run.", None, None, None, None) == ("", "", "Counts the open files of a run.")
 
 
+def test_no_body_of_another_function():
+    c = "int helper(int a) { return a; }\n"
+    assert docs.pair("Counts all rows of the table.", c, "a.c", "n::count", "int count()") == ("int count()", c, "Counts all rows of the table.")
+    assert docs.pair(None, "/* Adds one to the number. */\n" + c, "a.c", "n::count", None) is None and docs.pair(None, "/* Adds one to the number. */\n" + c, "a.c", None, None)[1] == "{ return a; }"
+
+
+def test_bodies_end_where_the_code_ends():
+    py = "def f(a):\n    x = \"\"\"\nleft of all\n\"\"\"\n    y = (\n1,\n)\n    return x\n\n# Gives the second number back.\n@dec\ndef g():\n    def inner():\n        return 1\n    return inner\nz = 1\n"
+    got = {f.name: f for f in docs.functions_in(py, "a.py")}
+    assert got["f"].body.strip().endswith("return x\n\n# Gives the second number back.") and got["g"].body.endswith("return inner") and got["inner"].body.strip() == "return 1"
+    assert got["g"].documentation == "# Gives the second number back.\n"
+
+
+def test_many_functions_are_lexed_in_linear_time():
+    import time
+
+    py = "".join(f"# Gives number {i} to the caller.\ndef f{i}(a, b):\n    return {i}\n\n" for i in range(16_000))
+    c = "".join(f"/* Gives number {i} to the caller. */\nint f{i}(int a) {{ return {i}; }}\n" for i in range(16_000))
+    for text, path in ((py, "a.py"), (c, "a.c")):
+        start = time.perf_counter()
+        found = docs.functions_in(text, path)
+        assert len(found) == 16_000 and all(f.documentation for f in found) and time.perf_counter() - start < 2
+
+
 # ------------------------------------------------------------------------------------------------ credentials
 
 R = "aB3dE5gH7jK9mN1pQ3sT5vX7zA2cD4fG6hJ8"

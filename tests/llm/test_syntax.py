@@ -187,3 +187,10 @@ def test_broken_files_table(spark):
     got = sorted((r.path, r.language, r.line) for r in broken_files(files, blobs).collect())
     assert got == [("a.py", "python", 1), ("c.txt", "python", 1)]
     assert broken_files(files.limit(0), blobs).count() == 0 and broken_files(files, blobs.limit(0)).count() == 0
+
+
+def test_the_earlier_of_marker_and_error_counts():
+    marks = b"<<<<<<< ours\nx = 1\n=======\nx = 2\n>>>>>>> theirs\n"
+    assert first_error(b"def f(:\n    pass\n" + marks, "python")[0] == 1
+    assert first_error(b"y = 1\n" + marks + b"def f(:\n", "python") == (2, "merge marker")
+    assert first_error(b"a: 1\n" + marks, "yaml")[0] == 2 and syntax.first_error(b"text\n" + marks, "")[0] == 2
