@@ -193,4 +193,4 @@ def test_the_earlier_of_marker_and_error_counts():
     marks = b"<<<<<<< ours\nx = 1\n=======\nx = 2\n>>>>>>> theirs\n"
     assert first_error(b"def f(:\n    pass\n" + marks, "python")[0] == 1
     assert first_error(b"y = 1\n" + marks + b"def f(:\n", "python") == (2, "merge marker")
-    assert first_error(b"a: 1\n" + marks, "yaml")[0] == 2 and syntax.first_error(b"text\n" + marks, "")[0] == 2
+    assert first_error(b"a: 1\n" + marks, "yaml")[0] == 2 and first_error(b"text\n" + marks, "")[0] == 2
