@@ -35,7 +35,8 @@ class ChangeFeed:
 
     ``pending(current)`` joins the current rows (``keys`` + ``hash``) with the state version in force; ``advance`` stages
     the state that includes what a run has handled and swaps it in by one atomic rename, after the run's own output is
-    safe. A run that fails before ``advance`` sees the same records again; one that fails after it sees none of them.
+    safe. A run that fails before ``advance`` sees the same records again; one that fails after it sees none of them. Of two
+    runs that advance from one version the second gets ``ConcurrentRun`` and changes nothing.
 
     Null keys compare equal to null. A null current hash counts as changed unless the state holds null too. Repeated
     current rows count once; of rows with one key and several hashes the greatest hash is used. Empty tables give no
@@ -65,13 +66,14 @@ class ChangeFeed:
     def advance(self, done: DataFrame, gone: DataFrame | None = None) -> DataFrame:
         """Puts ``done`` (keys + content_hash) into the state, takes ``gone`` (keys) out, and publishes the new version."""
         fresh = done.groupBy(*self.keys).agg(F.max("content_hash").alias("handled_hash"))
-        old = self.state.read()
+        base = self.state.current()
+        old = self.state.read(base)
         tagged = old.withColumn("_v", F.lit(0)).unionByName(fresh.withColumn("_v", F.lit(1)))
         if gone is not None:
             tagged = tagged.unionByName(gone.select(*self.keys).withColumn("handled_hash", F.lit(None).cast("string")).withColumn("_v", F.lit(2)))
         newest = F.max_by(F.struct("handled_hash", "_v"), F.col("_v"))
         merged = tagged.groupBy(*self.keys).agg(newest.alias("_m")).where(F.col("_m._v") < 2)
-        return self.state.commit(merged.select(*self.keys, F.col("_m.handled_hash").alias("handled_hash")))
+        return self.state.commit(merged.select(*self.keys, F.col("_m.handled_hash").alias("handled_hash")), base)
 
     def run(self, current: DataFrame, work: Callable[[DataFrame], None], hash_col: str = "content_hash") -> DataFrame:
         """One incremental run: select, let ``work`` write its output, then advance. ``work`` must be idempotent per key."""

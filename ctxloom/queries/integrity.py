@@ -79,31 +79,60 @@ def _references(spark: SparkSession, d: str) -> DataFrame:
     return named.select("project_id", "ref_table", "ref_key", F.concat(F.lit("n:"), "name").alias("key"), "file_path").unionByName(symbols)
 
 
+#: The time at which all rows of the tables are read, after everything that they record.
+NOW = "9998-12-31"
+
+
+def _parents(spark: SparkSession, d: str) -> DataFrame:
+    """Validity intervals of all keys: from when they were first seen (null: unknown) to when they went (open: still there).
+
+    Names and chunks that the tables hold are valid to this day, from the first time their file was indexed. Chunks that only
+    the runs' ledger knows were last valid when a run last wrote them."""
+    files = load(spark, d, "files").groupBy("project_id", F.col("path").alias("file_path")).agg(F.min("indexed_at").alias("first_at"))
+    held = _names(spark, d).join(files, ["project_id", "file_path"], "left").select("project_id", "key", "first_at", F.lit(None).cast("timestamp_ntz").alias("gone_at"))
+    wrote = load(spark, d, "processed_items").where("item_kind = 'chunk'").groupBy("project_id", F.concat(F.lit("c:"), "item_key").alias("key")).agg(F.min("processed_at").alias("first_at"), F.max("processed_at").alias("gone_at"))
+    return parent_intervals(held.unionByName(wrote.where("key is not null and gone_at is not null")), valid_from="first_at", valid_to="gone_at")
+
+
 def orphans(spark: SparkSession, d: str) -> DataFrame:
-    parents = parent_intervals(_names(spark, d))
-    return orphan_references(_references(spark, d), parents).select("ref_table", "ref_key").distinct()
+    """References whose target is gone or never was, as of now."""
+    refs = _references(spark, d).withColumn("ref_at", F.lit(NOW).cast("timestamp_ntz"))
+    return orphan_references(refs, _parents(spark, d), ref_time="ref_at").select("ref_table", "ref_key").distinct()
 
 
 def orphans_by_month(spark: SparkSession, d: str) -> DataFrame:
     """Orphans per table and month in which the referring file was last indexed; the month is null for unknown files."""
-    parents = parent_intervals(_names(spark, d))
-    bad = orphan_references(_references(spark, d), parents).select("project_id", "ref_table", "ref_key", "file_path").distinct()
+    refs = _references(spark, d).withColumn("ref_at", F.lit(NOW).cast("timestamp_ntz"))
+    bad = orphan_references(refs, _parents(spark, d), ref_time="ref_at").select("project_id", "ref_table", "ref_key", "file_path").distinct()
     files = current_files(load(spark, d, "files")).select("project_id", F.col("path").alias("file_path"), F.date_format("indexed_at", "yyyy-MM").alias("month"))
     return bad.join(files, ["project_id", "file_path"], "left").groupBy("ref_table", "month").agg(F.count(F.lit(1)).alias("orphans"))
 
 
 def reference_status(spark: SparkSession, d: str) -> DataFrame:
-    """References that were or are unresolved, by table and status: missing, deleted, or late (the parent's file was first
-    indexed after the referring file). A parent is deleted when its file has no current row."""
-    files = load(spark, d, "files").groupBy("project_id", F.col("path").alias("file_path")).agg(F.min("indexed_at").alias("first_at"), F.max("indexed_at").alias("last_at"))
-    names = _names(spark, d).join(files, ["project_id", "file_path"], "left")
-    ends = F.when(F.col("last_at").isNull(), F.lit("1970-01-01").cast("timestamp_ntz"))
-    parents = parent_intervals(names.withColumn("gone_at", ends), valid_from="first_at", valid_to="gone_at")
-    refs = _references(spark, d).join(files.select("project_id", "file_path", F.col("last_at").alias("ref_at")), ["project_id", "file_path"], "left")
-    bad = orphan_references(refs, parents, ref_time="ref_at").select("project_id", "ref_table", "ref_key", "status").distinct()
+    """References by table and status: missing, deleted (a run once wrote the chunk, which went before the referring file was
+    last indexed), or late (the target was first seen after that). References of unknown files count as made now."""
+    files = load(spark, d, "files").groupBy("project_id", F.col("path").alias("file_path")).agg(F.max("indexed_at").alias("ref_at"))
+    refs = _references(spark, d).join(files, ["project_id", "file_path"], "left").withColumn("ref_at", F.coalesce("ref_at", F.lit(NOW).cast("timestamp_ntz")))
+    bad = orphan_references(refs, _parents(spark, d), ref_time="ref_at").select("project_id", "ref_table", "ref_key", "status").distinct()
     return bad.groupBy("ref_table", "status").agg(F.count(F.lit(1)).alias("references_found"))
 
 
+P6_STATUS_SQL = """
+WITH f AS (SELECT project_id, path, min(indexed_at) AS first_at, max(indexed_at) AS last_at FROM files GROUP BY ALL),
+held AS (SELECT s.project_id, 'n:' || n AS key, first_at, NULL AS gone_at FROM (SELECT project_id, file_path, name AS n FROM symbols UNION SELECT project_id, file_path, fqn FROM symbols) s
+           LEFT JOIN f ON f.project_id = s.project_id AND f.path = s.file_path WHERE n IS NOT NULL
+         UNION ALL SELECT c.project_id, 'c:' || id, first_at, NULL FROM chunks c LEFT JOIN f ON f.project_id = c.project_id AND f.path = c.file_path WHERE id IS NOT NULL
+         UNION ALL SELECT project_id, 'c:' || item_key, min(processed_at), max(processed_at) FROM processed_items WHERE item_kind = 'chunk' AND item_key IS NOT NULL GROUP BY ALL HAVING max(processed_at) IS NOT NULL),
+par AS (SELECT project_id, key, min(first_at) AS valid_from, max(coalesce(gone_at, TIMESTAMP '9999-12-31')) AS valid_to FROM held GROUP BY ALL),
+r AS (SELECT DISTINCT project_id, 'edges' AS ref_table, CAST(edge_id AS VARCHAR) AS ref_key, 'n:' || trim(target_name) AS key, file_path FROM edges WHERE trim(target_name) NOT IN (SELECT name FROM known_names WHERE name IS NOT NULL)
+      UNION ALL SELECT DISTINCT project_id, 'unresolved_refs', CAST(id AS VARCHAR), 'n:' || trim(name), file_path FROM unresolved_refs WHERE trim(name) NOT IN (SELECT name FROM known_names WHERE name IS NOT NULL)
+      UNION ALL SELECT DISTINCT project_id, 'symbols', id, 'c:' || chunk_id, file_path FROM symbols WHERE chunk_id IS NOT NULL),
+st AS (SELECT DISTINCT r.project_id, ref_table, ref_key, CASE WHEN par.key IS NULL THEN 'missing' WHEN valid_to <= coalesce(last_at, TIMESTAMP '9998-12-31') THEN 'deleted' WHEN valid_from > coalesce(last_at, TIMESTAMP '9998-12-31') THEN 'late' END AS status
+       FROM r LEFT JOIN par ON par.project_id = r.project_id AND par.key = r.key LEFT JOIN f ON f.project_id = r.project_id AND f.path = r.file_path)
+SELECT ref_table, status, count(*) AS references_found FROM st WHERE status IS NOT NULL GROUP BY ALL
+"""
+
+
 def register(reg: Registry) -> None:
     reg.query("p3_found", P3_SQL.format(more=""))(changed_items)
     reg.query(
@@ -117,4 +146,4 @@ def register(reg: Registry) -> None:
         + """SELECT ref_table, strftime(indexed_at, '%Y-%m') AS month, count(*) AS orphans FROM (SELECT DISTINCT project_id, ref_table, ref_key, file_path FROM bad) b
         LEFT JOIN (SELECT project_id, path, max(indexed_at) AS indexed_at FROM files GROUP BY ALL) f ON f.project_id = b.project_id AND f.path = b.file_path GROUP BY ALL""",
     )(orphans_by_month)
-    reg.query("p6_reference_status")(reference_status)
+    reg.query("p6_reference_status", P6_STATUS_SQL)(reference_status)

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from ctxloom.operators.changes import ChangeFeed, content_hash, latest_handled
 from ctxloom.operators.orphans import orphan_references, parent_intervals
 from ctxloom.operators.skew import salted_join
-from ctxloom.operators.state import VersionedState
+from ctxloom.operators.state import ConcurrentRun, VersionedState
 from ctxloom.tables import current_files, scratch
 
 KEYS = {"k": T.StringType()}
@@ -116,3 +116,23 @@ def test_salted_join_equals_plain_join(spark, hot):
     got = rows(salted_join(left, right, ["k"], "left", salt_from=["i"], salts=4, hot_rows=hot).na.fill("-"), "i", "v")
     want = sorted([(i, "H") for i in range(50)] + [(1, "C"), (2, "N"), (3, "-")])
     assert got == want
+
+
+def test_only_one_run_follows_a_version(spark, tmp_path):
+    schema = T.StructType([T.StructField("a", T.IntegerType())])
+    state = VersionedState(spark, f"file://{tmp_path}/s", schema)
+    rows = lambda n: spark.createDataFrame([(n,)], schema)
+    state.commit(rows(1), None)
+    with pytest.raises(ConcurrentRun):
+        state.commit(rows(2), None)
+    base = state.current()
+    one, two = state.stage(rows(3)), state.stage(rows(4))
+    state.publish(one, base)
+    with pytest.raises(ConcurrentRun):
+        state.publish(two, base)
+    assert state.read().first().a == 3
+    base = state.current()  # a run that claims and dies before the swap is completed by the next
+    state._write(f"NEXT-{base}", two, False)
+    with pytest.raises(ConcurrentRun):
+        state.publish(state.stage(rows(5)), base)
+    assert state.read().first().a == 4
