@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ctxloom.functions.text import ESTIMATE_SQL, estimate_tokens
 from ctxloom.llm.mixing import Mixture
 from ctxloom.llm.tokens import Tokenizer, TokenLedger
-from ctxloom.tables import current_files, load, scratch
+from ctxloom.tables import current_files, cut, load, scratch
 
 CHUNK_TOKENS = f"(SELECT project_id, id, max(file_path) AS file_path, max({ESTIMATE_SQL.format(t='content')}) AS tokens FROM chunks GROUP BY project_id, id)"
 DOC_SOURCE = "replace(lower(trim(source)), '_', '-')"
@@ -22,9 +22,9 @@ def wrong_totals(spark: SparkSession, d: str) -> DataFrame:
     ledger = TokenLedger(spark, scratch(spark, "p5"), ["project_id", "id"], ["project_id"])
     done = load(spark, d, "index_runs").where("state = 'done'").select(F.col("id").alias("run_id")).distinct()
     written = load(spark, d, "processed_items").where("item_kind = 'chunk'").join(done, "run_id", "left_semi").select("project_id", F.col("item_key").alias("id"), "content_hash")
-    chunks = load(spark, d, "chunks").select("project_id", "id", "content", "content_hash")
-    ledger.update(chunks.join(written, ["project_id", "id", "content_hash"], "left_semi").drop("content_hash"), "content")
-    cube = ledger.update(chunks.drop("content_hash"), "content")
+    sized = cut(ledger.size(load(spark, d, "chunks").select("project_id", "id", "content"), "content"), "p5")
+    ledger.merge(sized.join(written, ["project_id", "id", "content_hash"], "left_semi"))
+    cube = ledger.merge(sized)
     recorded = load(spark, d, "index_manifest").where("tokens_bge_m3 is not null").select("project_id", "tokens_bge_m3")
     both = recorded.join(cube.select("project_id", "tokens"), "project_id", "left").withColumn("tokens", F.coalesce("tokens", F.lit(0)))
     return both.where((F.col("tokens_bge_m3") * 2 < F.col("tokens")) | (F.col("tokens_bge_m3") > F.col("tokens") * 2)).select("project_id").distinct()

@@ -120,22 +120,32 @@ class TokenLedger:
         return self._table("cube")
 
     def update(self, current: DataFrame, text: str = "text") -> DataFrame:
+        return self.merge(self.size(current, text))
+
+    def size(self, current: DataFrame, text: str = "text") -> DataFrame:
+        """``current`` with content hash and tokens in place of the text.
+
+        Only contents that the count table lacks are encoded, each once. The closed formula costs less than a look-up: it is
+        applied where the text is read, and no text is moved."""
         fp = self.tokenizer.fingerprint()
         docs = current.select(*self.key, *[d for d in self.dims if d not in self.key], F.col(text).alias("_text"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("content_hash"))
-        counts, members, cube = self._table("counts"), self._table("members"), self._table("cube")
+        if self.tokenizer.name == "estimate":
+            return count_tokens(docs, "_text", self.tokenizer)
+        counts = self._table("counts")
+        unseen, known = docs.select("content_hash", "_text"), None
+        if counts is not None:
+            known = counts.where(F.col("tokenizer_hash") == fp).select("content_hash", "tokens")
+            unseen = unseen.join(known, "content_hash", "left_anti")
+        fresh = count_tokens(unseen.dropDuplicates(["content_hash"]), "_text", self.tokenizer)
+        return docs.drop("_text").join(fresh if known is None else known.unionByName(fresh), "content_hash", "left")
+
+    def merge(self, sized: DataFrame) -> DataFrame:
+        """Brings members and cube to ``sized`` (rows of :meth:`size`, the whole present set) and publishes the version; of two
+        runs that start from one version the second gets ``ConcurrentRun``."""
+        fp = self.tokenizer.fingerprint()
+        before = self.pointer.current()
+        counts, members, cube = (self._table(t, before) if before else None for t in ("counts", "members", "cube"))
         columns = [*self.key, *[d for d in self.dims if d not in self.key], "content_hash"]
-        if counts is None and self.tokenizer.name == "estimate":  # a closed formula costs less than any look-up
-            sized = count_tokens(docs, "_text", self.tokenizer)
-        else:
-            unseen, known = docs.select("content_hash", "_text"), None
-            if counts is not None:
-                known = counts.where(F.col("tokenizer_hash") == fp).select("content_hash", "tokens")
-                unseen = unseen.join(known, "content_hash", "left_anti")
-            if self.tokenizer.name == "estimate":
-                fresh = count_tokens(unseen, "_text", self.tokenizer).groupBy("content_hash").agg(F.max("tokens").alias("tokens"))
-            else:
-                fresh = count_tokens(unseen.dropDuplicates(["content_hash"]), "_text", self.tokenizer)
-            sized = docs.drop("_text").join(fresh if known is None else known.unionByName(fresh), "content_hash", "left")
         top = F.max(F.struct("content_hash", "tokens", *[F.col(d).alias(f"_d_{d}") for d in self.dims if d not in self.key]))
         now = sized.select(*columns, "tokens").groupBy(*self.key).agg(top.alias("_m"))
         now = now.select(*self.key, *[F.col(f"_m._d_{d}").alias(d) for d in self.dims if d not in self.key], F.col("_m.content_hash").alias("content_hash"), F.col("_m.tokens").alias("tokens"), F.lit(fp).alias("tokenizer_hash"))
@@ -159,5 +169,5 @@ class TokenLedger:
         new_counts.write.parquet(f"{base}/counts")
         total = signed.groupBy(*self.dims).agg(F.sum("tokens").alias("tokens"), F.sum("documents").alias("documents"))
         total.where("documents <> 0").write.parquet(f"{base}/cube")
-        self.pointer.publish(name)
+        self.pointer.publish(name, before)
         return self.cube()

@@ -431,7 +431,7 @@ def test_distinct_texts_are_encoded_once(spark, monkeypatch):
 
 
 def test_unchanged_documents_are_not_encoded_again(spark):
-    led = tokens.TokenLedger(spark, scratch(spark, "l3"), ["doc"], ["src"])
+    led = tokens.TokenLedger(spark, scratch(spark, "l3"), ["doc"], ["src"], tokens.Tokenizer("piece_bpe_32k.model"))
     df = spark.createDataFrame([("a", "s", "x y z")], "doc string, src string, text string")
     led.update(df)
     held = led._table("counts").withColumn("tokens", F.lit(99).cast("long"))
