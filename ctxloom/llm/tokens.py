@@ -146,6 +146,9 @@ class TokenLedger:
         before = self.pointer.current()
         counts, members, cube = (self._table(t, before) if before else None for t in ("counts", "members", "cube"))
         columns = [*self.key, *[d for d in self.dims if d not in self.key], "content_hash"]
+        if counts is not None:  # what the count table holds stands
+            held = counts.where(F.col("tokenizer_hash") == fp).select("content_hash", F.col("tokens").alias("_held"))
+            sized = sized.join(held, "content_hash", "left").withColumn("tokens", F.coalesce("_held", "tokens")).drop("_held")
         top = F.max(F.struct("content_hash", "tokens", *[F.col(d).alias(f"_d_{d}") for d in self.dims if d not in self.key]))
         now = sized.select(*columns, "tokens").groupBy(*self.key).agg(top.alias("_m"))
         now = now.select(*self.key, *[F.col(f"_m._d_{d}").alias(d) for d in self.dims if d not in self.key], F.col("_m.content_hash").alias("content_hash"), F.col("_m.tokens").alias("tokens"), F.lit(fp).alias("tokenizer_hash"))

@@ -430,8 +430,9 @@ def test_distinct_texts_are_encoded_once(spark, monkeypatch):
     assert sorted(seen) == sorted([f"text number {i}" for i in range(5)] + ["another text"])
 
 
-def test_unchanged_documents_are_not_encoded_again(spark):
-    led = tokens.TokenLedger(spark, scratch(spark, "l3"), ["doc"], ["src"], tokens.Tokenizer("piece_bpe_32k.model"))
+@pytest.mark.parametrize("tokenizer", ["estimate", "piece_bpe_32k.model"])
+def test_unchanged_documents_are_not_encoded_again(spark, tokenizer):
+    led = tokens.TokenLedger(spark, scratch(spark, "l3"), ["doc"], ["src"], tokens.Tokenizer(tokenizer))
     df = spark.createDataFrame([("a", "s", "x y z")], "doc string, src string, text string")
     led.update(df)
     held = led._table("counts").withColumn("tokens", F.lit(99).cast("long"))
