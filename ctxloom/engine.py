@@ -73,7 +73,7 @@ class ContextEngine:
         report.skipped = [f"{r.path}:{r.skip_reason}" for r in seen.where("skip_reason is not null").select("path", "skip_reason").collect()]
         return report
 
-    def apply_changes(self, project: str, files: DataFrame, deleted: Sequence[str] = (), *, complete: bool = False, full: bool = False) -> IngestReport:
+    def apply_changes(self, project: str, files: DataFrame, deleted: Sequence[str] | DataFrame = (), *, complete: bool = False, full: bool = False) -> IngestReport:
         """Takes in ``files`` (project_id, path, content) and takes out ``deleted``.
 
         ``complete`` says that ``files`` is the whole project, so paths it lacks are deleted too. Files with an unchanged
@@ -85,7 +85,8 @@ class ContextEngine:
         before = old.select("project_id", "path", "content_hash") if old is not None and not full else self.spark.createDataFrame([], "project_id string, path string, content_hash string")
         plan = repo.plan_scan(hashed.select("project_id", "path", "content_hash"), before)
         if not complete:
-            plan = plan.where("change <> 'deleted'").unionByName(self.spark.createDataFrame([(project, p, "deleted") for p in deleted], "project_id string, path string, change string"))
+            gone = deleted if isinstance(deleted, DataFrame) else self.spark.createDataFrame([(p,) for p in deleted], "path string")
+            plan = plan.where("change <> 'deleted'").unionByName(gone.select(F.lit(project).alias("project_id"), "path", F.lit("deleted").alias("change")).distinct())
         plan = plan.cache()
         counts = {r.change: r["count"] for r in plan.groupBy("change").count().collect()}
         report = IngestReport(counts.get("added", 0), counts.get("modified", 0), counts.get("deleted", 0), mode=mode)
@@ -128,8 +129,17 @@ class ContextEngine:
         symbols = read(f"{base}/symbols")
         key = F.xxhash64("project_id", "file_path", "source_fqn", "target_name", "kind", F.coalesce("line", F.lit(-1)))
         edges = read(f"{base}/edges0").withColumn("edge_id", key)
-        refs = read(f"{base}/unresolved0").withColumn("status", F.lit("pending")).withColumn("id", F.xxhash64("project_id", "file_path", "from_fqn", "name", "kind", F.coalesce("line", F.lit(-1))))
+        edges = resolve.include_targets(edges, files)
+        refs = read(f"{base}/unresolved0").withColumn("id", F.xxhash64("project_id", "file_path", "from_fqn", "name", "kind", F.coalesce("line", F.lit(-1))))
+        # references of changed files are pending; those that failed before are tried again where a name has come that fits
+        changed = plan.select("project_id", F.col("path").alias("file_path"), F.lit("pending").alias("_new")).distinct()
+        refs = refs.join(changed, ["project_id", "file_path"], "left").withColumn("status", F.coalesce("_new", F.lit("failed"))).drop("_new")
         made, failed = resolve.resolve_pending(refs, symbols)
+        come = symbols.join(changed, ["project_id", "file_path"], "left_semi")
+        names = come.select("project_id", "name").unionByName(come.select("project_id", F.col("fqn").alias("name"))).where("name is not null").distinct()
+        made_again, _ = resolve.retry_failed(refs, names, symbols)
+        made = made.unionByName(made_again).dropDuplicates(["project_id", "ref_id", "target_name"])
+        failed = refs.join(made.select("project_id", F.col("ref_id").alias("id")).distinct(), ["project_id", "id"], "left_anti")
         made = made.join(refs.select("project_id", F.col("id").alias("ref_id"), "file_path"), ["project_id", "ref_id"])
         made = made.select("project_id", "file_path", "source_fqn", "target_name", "kind", "line", "provenance", F.col("ref_id").alias("edge_id"))
         whole = resolve.retarget_edges(edges.unionByName(made, allowMissingColumns=True), symbols)

@@ -42,18 +42,38 @@ def candidate_kind(path: Column, symbol_kind: Column) -> Column:
     return F.when(symbol_kind == "spec_block", "spec").when(symbol_kind == "fallback_block", "fallback").when(is_test_path(path), "test").otherwise("code")
 
 
+#: Kinds of documents in order: names, beginnings of names, and folders that tell them (fixed values).
+DOCTYPES = (
+    ("agent-instructions", AGENT_FILES, (), ()),
+    ("readme", (), ("readme",), ()),
+    ("design", (), ("architecture",), ("docs/design",)),
+    ("adr", (), (), ("docs/adr",)),
+    ("api", (), ("api", "protocol", "openapi"), ()),
+    ("changelog", (), ("changelog",), ()),
+)
+OTHER_DOCTYPE = "guide"
+
+
 def doctype(path: Column) -> Column:
     """The kind of document a Markdown path holds, by the first rule that fits."""
     name, slashed = F.lower(base_name(path)), F.concat(F.lit("/"), path)
-    return (
-        F.when(name.isin(*AGENT_FILES), "agent-instructions")
-        .when(name.startswith("readme"), "readme")
-        .when(name.startswith("architecture") | slashed.contains("/docs/design/"), "design")
-        .when(slashed.contains("/docs/adr/"), "adr")
-        .when(name.startswith("api") | name.startswith("protocol") | name.startswith("openapi"), "api")
-        .when(name.startswith("changelog"), "changelog")
-        .otherwise("guide")
-    )
+    out = None
+    for kind, names, beginnings, folders in DOCTYPES:
+        fits = name.isin(*names)
+        for b in beginnings:
+            fits = fits | name.startswith(b)
+        for f in folders:
+            fits = fits | slashed.contains(f"/{f}/")
+        out = F.when(fits, kind) if out is None else out.when(fits, kind)
+    return out.otherwise(OTHER_DOCTYPE)
+
+
+def doctype_of(path: str) -> str:
+    """:func:`doctype` of one path."""
+    slashed = "/" + path.replace("\\", "/")
+    name = slashed[slashed.rfind("/") + 1 :].lower()
+    fits = (kind for kind, names, beginnings, folders in DOCTYPES if name in names or name.startswith(beginnings) or any(f"/{f}/" in slashed for f in folders))
+    return next(fits, OTHER_DOCTYPE)
 
 
 def language_of(path: Column) -> Column:
@@ -78,7 +98,7 @@ def is_generated_path(path: Column) -> Column:
 
 
 def has_banner(text: Column) -> Column:
-    head = F.lower(F.array_join(F.slice(F.split(text, "\n"), 1, 10), "\n"))
+    head = F.lower(F.array_join(F.slice(F.split(text, "\n", 11), 1, 10), "\n"))
     found = F.lit(False)
     for b in BANNERS:
         found = found | head.contains(b)

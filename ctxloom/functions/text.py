@@ -158,9 +158,27 @@ def cut_bytes(text: Column, limit: int) -> Column:
     return F.when(F.octet_length(text) <= limit, text).otherwise(cut)
 
 
-def redact(text: Column) -> Column:
-    """Key-like words masked: a short lower-case prefix, a sign, and a long rest with letters and digits."""
-    return F.regexp_replace(text, r"\b(?:[a-z]{2,6}_|sk-)[A-Za-z0-9_\-]*[A-Z][A-Za-z0-9_\-]{6,}", "***")
+#: Names whose values are never kept in a log (fixed values).
+SECRET_NAMES = ("authorization", "proxy-authorization", "cookie", "set-cookie", "x-api-key", "api-key", "api_key", "apikey", "access-token", "access_token", "accesstoken", "token", "secret", "password", "passwd", "credential")
+#: Beginnings of bare keys; a service adds those of the keys it issues.
+KEY_PREFIXES = ("sk-",)
+
+
+def redact_patterns(prefixes: tuple[str, ...] = KEY_PREFIXES) -> list[tuple[str, str]]:
+    """Patterns and what replaces them, in order: bearer tokens, values behind secret names, bare keys of eight characters or more."""
+    bare = "|".join(p.replace("-", "\\-") for p in prefixes)
+    return [
+        (r"(?i)\bbearer\s+[A-Za-z0-9._~+/=-]+", "Bearer ***"),
+        (r"(?i)\b(" + "|".join(n.replace("-", "\\-") for n in SECRET_NAMES) + r")\b(\"?\s*[:=]\s*\"?)[^\s,;\"']+", "{1}{2}***"),
+        (rf"\b(?:{bare})[A-Za-z0-9_\-]{{8,}}", "***"),
+    ]
+
+
+def redact(text: Column, prefixes: tuple[str, ...] = KEY_PREFIXES) -> Column:
+    """Text fit for a log: bearer tokens, values of secret names and bare keys masked. Null stays null."""
+    for pattern, mask in redact_patterns(prefixes):
+        text = F.regexp_replace(text, pattern, mask.replace("{", "$").replace("}", ""))
+    return text
 
 
 def cut_answer(text: Column, limit: int = 20000, suffix: str = "… (truncated)") -> Column:

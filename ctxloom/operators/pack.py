@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ctxloom.functions.text import WIDE
-from ctxloom.operators.parse import doctype_for
+from ctxloom.functions.classify import doctype_of
+from ctxloom.tables import top_n
 
 _WIDE = re.compile(f"[{WIDE}]")
 #: Lines between two pieces of a file that are still shown as one; least budget that keeps room for backfill (fixed values).
@@ -163,8 +164,9 @@ class Packer:
     """Packs one query's pool. ``pool``: dicts with chunk_id, path, kind, tier, score, rrf_score, channel_ranks, reasons,
     symbol_fqn, start_line, end_line, signature, content."""
 
-    def __init__(self, pool: Sequence[dict], budget: Budget, *, flows: Sequence[dict] = (), backfill: Sequence[tuple[dict, str]] = (), reserve: bool = False, failed: Sequence[str] = ()):
+    def __init__(self, pool: Sequence[dict], budget: Budget, *, flows: Sequence[dict] = (), backfill: Sequence[tuple[dict, str]] = (), reserve: bool = False, failed: Sequence[str] = (), failures: int | None = None):
         self.budget, self.flows, self.backfill, self.failed = budget, list(flows), list(backfill), list(failed)
+        self.failures = len(self.failed) if failures is None else failures
         self.items: list[Item] = []
         self.placed: set[str] = set()
         self.by_symbol: dict[str, Item] = {}
@@ -332,13 +334,13 @@ class Packer:
             group = "Docs" if i.spec else "Tests" if c["kind"] == "test" else "Core" if top > 0 and c["score"] >= CORE_SHARE * top else "Related"
             evidence.append(
                 {"id": f"E{n}", "type": "spec" if i.spec else "test" if c["kind"] == "test" else "code", "group": group, "path": c["path"], "lines": list(i.lines), "symbol": c.get("symbol_fqn"), "score": float(c["score"]), "evidenceTier": int(c["tier"]), "reason": i.why(),
-                 "doctype": doctype_for(c["path"]) if i.spec else None, "elidedLines": i.elided(), "content": i.content(), "chunkId": c["chunk_id"]}
+                 "doctype": doctype_of(c["path"]) if i.spec else None, "elidedLines": i.elided(), "content": i.content(), "chunkId": c["chunk_id"]}
             )
         answerable, confidence = assess(self.pool, any(e["type"] == "spec" for e in evidence) and all(e["type"] == "spec" for e in evidence))
         missing = []
-        if self.failed:
-            named = [n for n in self.failed if re.fullmatch(r"[A-Za-z_][\w.:]*", n)]
-            missing.append({"code": "unresolved_reference", "message": f"{len(self.failed)} names could not be resolved: {', '.join(named[:3]) or 'expressions'}", "symbol": named[0] if named else None})
+        if self.failures:
+            named = [n for n in self.failed if re.fullmatch(NAME_SHAPE, n)]
+            missing.append({"code": "unresolved_reference", "message": f"{self.failures} names could not be resolved: {', '.join(named[:SHOWN_NAMES]) or 'expressions'}", "symbol": named[0] if named else None})
         for i in self.items:
             if i.spec and i.chunk.get("stale"):
                 missing.append({"code": "stale_doc_reference", "message": f"{i.chunk['path']} names symbols that are gone"})
@@ -384,6 +386,10 @@ def assess(pool: Sequence[dict], only_docs: bool) -> tuple[bool, str]:
 # ------------------------------------------------------------------------------------------------ gaps
 
 
+#: What a name looks like, and how many unresolved ones a pack shows.
+NAME_SHAPE, SHOWN_NAMES = r"[A-Za-z_][\w.:]*", 3
+
+
 def plan_backfill(pool: Sequence[dict], packed: Sequence[dict], asked: Sequence[str], callees: dict[str, Sequence[str]], refs: dict[str, Sequence[str]] | None = None, *, containers: int = 2, per_container: int = 24, per_callee: int = 6, specs: int = 2, per_spec: int = 6, total: int = 24) -> list[tuple[dict, str]]:
     """Pool chunks that close gaps of a pack, each with its reason, taken in turn from: package files that export a seed,
     members of named containers that are in the pack, functions that packed members call, code that packed documents refer
@@ -439,23 +445,31 @@ def pack(pool: DataFrame, chunks: DataFrame, queries: DataFrame, budget: Budget,
     cols = ["chunk_id", "path", "kind", "tier", "score", "rrf_score", "channel_ranks", "reasons", "symbol_fqn", "start_line", "end_line", "signature", "content"]
     rows = pool.join(texts, ["project_id", "chunk_id"]).withColumn("channel_ranks", F.to_json("channel_ranks"))
     if calls is not None:
-        out = calls.groupBy("project_id", F.col("source_fqn").alias("symbol_fqn")).agg(F.slice(F.array_sort(F.collect_set("target_name")), 1, 200).alias("callees"))
+        # only callees that are in a pool can close a gap, so what is gathered per symbol is bounded by the pools
+        held = rows.select("project_id", "symbol_fqn").where("symbol_fqn is not null").distinct()
+        aims = held.select("project_id", F.regexp_replace("symbol_fqn", "::", ".").alias("_aim")).distinct()
+        mine = calls.select("project_id", F.col("source_fqn").alias("symbol_fqn"), "target_name").join(held, ["project_id", "symbol_fqn"], "left_semi").withColumn("_aim", F.regexp_replace("target_name", "::", "."))
+        out = mine.join(aims, ["project_id", "_aim"], "left_semi").groupBy("project_id", "symbol_fqn").agg(F.array_sort(F.collect_set("target_name")).alias("callees"))
         rows = rows.join(out, ["project_id", "symbol_fqn"], "left")
     else:
         rows = rows.withColumn("callees", F.lit(None).cast("array<string>"))
     if spec_refs is not None:
-        named = spec_refs.groupBy("project_id", F.col("spec_block_id").alias("chunk_id")).agg(F.slice(F.array_sort(F.collect_set("symbol_id")), 1, 500).alias("refs"), F.max("stale").alias("_stale"))
+        ids = rows.select("project_id", "chunk_id").distinct()
+        mine = spec_refs.select("project_id", F.col("spec_block_id").alias("chunk_id"), "symbol_id", "stale").join(ids, ["project_id", "chunk_id"], "left_semi")
+        mine = mine.join(ids.select("project_id", F.col("chunk_id").alias("symbol_id"), F.lit(True).alias("_in")), ["project_id", "symbol_id"], "left")
+        named = mine.groupBy("project_id", "chunk_id").agg(F.array_sort(F.collect_set(F.when(F.col("_in"), F.col("symbol_id")))).alias("refs"), F.max("stale").alias("_stale"))
         rows = rows.join(named, ["project_id", "chunk_id"], "left").withColumn("stale", F.coalesce("_stale", F.lit(False)))
     else:
         rows = rows.withColumn("refs", F.lit(None).cast("array<string>")).withColumn("stale", F.lit(False))
     per = rows.groupBy("query_id").agg(F.collect_list(F.struct(*cols, "callees", "refs", "stale")).alias("rows"))
     wide = queries.select("query_id", "project_id", "symbols").join(per, "query_id", "left")
     if failed is not None:
-        # names of the failed references that come from packed files, per query and bounded by a slice
-        mine = rows.select("query_id", "project_id", F.col("path").alias("file_path")).distinct().join(failed.select("project_id", "file_path", "name"), ["project_id", "file_path"])
-        wide = wide.join(mine.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_set("name")), 1, 50).alias("failed")), "query_id", "left")
+        # failed references of the pool's files: how many names, and the first of those that are spelled as names
+        mine = rows.select("query_id", "project_id", F.col("path").alias("file_path")).distinct().join(failed.select("project_id", "file_path", "name"), ["project_id", "file_path"]).select("query_id", "name").distinct()
+        shown = top_n(mine.where(F.col("name").rlike(f"^{NAME_SHAPE}$")), ["query_id"], [F.asc("name")], SHOWN_NAMES).groupBy("query_id").agg(F.array_sort(F.collect_list("name")).alias("failed"))
+        wide = wide.join(mine.groupBy("query_id").agg(F.count(F.lit(1)).alias("failures")), "query_id", "left").join(shown, "query_id", "left")
     else:
-        wide = wide.withColumn("failed", F.lit(None).cast("array<string>"))
+        wide = wide.withColumns({"failures": F.lit(0).cast("long"), "failed": F.lit(None).cast("array<string>")})
     if flows is not None:
         chains = flows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("pos", "fqns", "truncated"))).alias("flows"))
         wide = wide.join(chains, "query_id", "left")
@@ -474,12 +488,13 @@ def pack(pool: DataFrame, chunks: DataFrame, queries: DataFrame, budget: Budget,
                     held.append(r)
                 chains = [{"fqns": list(x["fqns"]), "truncated": bool(x["truncated"])} for x in (q["flows"] if q["flows"] is not None else ())]
                 lost = list(q["failed"]) if q["failed"] is not None else []
-                first = Packer(held, budget, flows=chains, failed=lost).run()
+                failures = 0 if pd.isna(q["failures"]) else int(q["failures"])
+                first = Packer(held, budget, flows=chains, failed=lost, failures=failures).run()
                 asked = list(q["symbols"]) if q["symbols"] is not None else []
                 calls_of = {(r["symbol_fqn"] or "").replace("::", "."): list(r["callees"]) for r in held if r.get("callees") is not None}
                 refs_of = {r["chunk_id"]: list(r["refs"]) for r in held if r.get("refs") is not None}
                 gaps = plan_backfill(sorted(held, key=lambda c: (-c["score"], c["chunk_id"])), first["evidence"], asked, calls_of, refs_of)
-                done = Packer(held, budget, flows=chains, backfill=gaps, reserve=True, failed=lost).run() if gaps else first
+                done = Packer(held, budget, flows=chains, backfill=gaps, reserve=True, failed=lost, failures=failures).run() if gaps else first
                 docs = sum(e["type"] == "spec" for e in done["evidence"])
                 out.append((q["query_id"], q["project_id"], done["answerable"], done["confidence"], len(done["evidence"]) - docs, docs, done["budget"]["usedTokens"], done["budget"]["truncated"], done["budget"]["omittedCount"], json.dumps(done, ensure_ascii=False)))
             yield pd.DataFrame(out, columns=PACK.fieldNames())

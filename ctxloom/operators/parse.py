@@ -10,7 +10,7 @@ import ast
 import hashlib
 import re
 import warnings
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,11 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ctxloom.functions.classify import AGENT_FILES, BANNERS, GENERATED_ENDS, GENERATED_PARTS, LANGUAGES
+from ctxloom.functions.classify import LANGUAGES, doctype_of, is_generated
 
 #: Limits of fallback blocks and signatures (fixed values).
 BLOCK_LINES, BLOCK_CHARS, SIGNATURE_LINES = 800, 40_000, 40
 MODULE = "(module)"
+#: Most attempts to go on behind a syntax error before a file counts as text (fixed value).
+RECOVERIES = 40
 
 
 def language_for(path: str) -> str | None:
@@ -30,29 +32,6 @@ def language_for(path: str) -> str | None:
     return LANGUAGES.get(name.rsplit(".", 1)[-1]) if "." in name else None
 
 
-def doctype_for(path: str) -> str:
-    path = path.replace("\\", "/")
-    name = path.rsplit("/", 1)[-1].lower()
-    if name in AGENT_FILES:
-        return "agent-instructions"
-    for kind, test in (
-        ("readme", name.startswith("readme")),
-        ("design", name.startswith("architecture") or "/docs/design/" in f"/{path}"),
-        ("adr", "/docs/adr/" in f"/{path}"),
-        ("api", name.startswith(("api", "protocol", "openapi"))),
-        ("changelog", name.startswith("changelog")),
-    ):
-        if test:
-            return kind
-    return "guide"
-
-
-def generated_file(path: str, text: str) -> bool:
-    name = path.replace("\\", "/").rsplit("/", 1)[-1].lower()
-    head = "\n".join(text.split("\n", 10)[:10]).lower()
-    return any(p in name for p in GENERATED_PARTS) or name.endswith(GENERATED_ENDS) or any(b in head for b in BANNERS)
-
-
 # ------------------------------------------------------------------------------------------------ Python
 
 
@@ -67,14 +46,51 @@ def _dotted(node: ast.AST) -> str | None:
     return None
 
 
+def recovered(text: str) -> tuple[ast.Module | None, list[str]]:
+    """The tree of a Python text and its errors. A statement that does not parse gives way to ``pass``, with the block it
+    opens, and parsing goes on; line numbers stay. None if nothing is left or errors do not end."""
+    lines = text.split("\n")
+    errors: list[str] = []
+    gone: set[int] = set()
+
+    def indent(k: int) -> int:
+        return len(lines[k]) - len(lines[k].lstrip())
+
+    for _ in range(RECOVERIES):
+        try:
+            with warnings.catch_warnings():
+                warnings.simplefilter("ignore")
+                tree = ast.parse("\n".join(lines))
+            held = any(not isinstance(n, ast.Pass) for n in tree.body)
+            return (tree if held or not errors else None), errors
+        except SyntaxError as e:
+            bad = min(max((e.lineno or 1) - 1, 0), len(lines) - 1)
+            if not errors or bad + 1 not in gone:
+                errors.append(f"L{bad + 1}: {type(e).__name__}")
+            while bad > 0 and (bad in gone or not lines[bad].strip()):
+                bad -= 1  # the cause stands above what was taken out already
+            if bad in gone:
+                return None, errors
+            depth = indent(bad)
+            end = bad + 1
+            while end < len(lines) and (not lines[end].strip() or indent(end) > depth):
+                end += 1
+            lines[bad] = " " * depth + "pass"
+            gone.add(bad)
+            for k in range(bad + 1, end):
+                lines[k] = ""
+                gone.add(k)
+        except (ValueError, RecursionError, MemoryError) as e:
+            return None, [*errors, f"L0: {type(e).__name__}"]
+    return None, errors
+
+
 def python_facts(path: str, text: str) -> dict:
-    """Symbols, edges and unresolved references of a Python file; a syntax error makes it a fallback file."""
-    try:
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
-            tree = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
-        return {"fallback": True, "errors": [f"L{getattr(e, 'lineno', 0) or 0}: {type(e).__name__}"]}
+    """Symbols, edges and unresolved references of a Python file. What stands around syntax errors is kept; a file without
+    any part that parses is a fallback file."""
+    tree, errors = recovered(text)
+    if tree is None:
+        return {"fallback": True, "errors": errors}
     exported: set[str] | None = None
     for node in tree.body:
         if isinstance(node, ast.Assign) and any(isinstance(t, ast.Name) and t.id == "__all__" for t in node.targets) and isinstance(node.value, (ast.List, ast.Tuple)):
@@ -126,7 +142,7 @@ def python_facts(path: str, text: str) -> dict:
             visit(child, scope, False)
 
     visit(tree, [], False)
-    return {"symbols": symbols, "edges": edges, "unresolved": open_refs}
+    return {"symbols": symbols, "edges": edges, "unresolved": open_refs, "errors": errors}
 
 
 # ------------------------------------------------------------------------------------------------ C and C++
@@ -142,6 +158,49 @@ def _masked(text: str) -> str:
     return _NOISE.sub(lambda m: re.sub(r"[^\n]", " ", m.group()), text)
 
 
+_CONDITION = re.compile(r"[ \t]*#[ \t]*(if|ifdef|ifndef|elif|elifdef|elifndef|else|endif)\b[ \t]*(.*)")
+
+
+def _closed(lines: list[str]) -> bool:
+    depth = 0
+    for line in lines:
+        for c in line:
+            depth += (c == "{") - (c == "}")
+            if depth < 0:
+                return False
+    return depth == 0
+
+
+def one_branch(code: str) -> str:
+    """``code`` (without comments and strings) with its braces in step: of the branches of a conditional the first live one
+    stays, and of the others those whose braces close; the rest is blanked. ``#if 0`` is dead."""
+    lines = code.split("\n")
+    open_: list[dict] = []
+
+    def end_branch(group: dict, at: int) -> None:
+        own = range(group["from"] + 1, at)
+        if group["dead"] or group["taken"] and not _closed([lines[k] for k in own]):
+            for k in own:
+                lines[k] = ""
+        elif not group["dead"]:
+            group["taken"] = True
+
+    for k, line in enumerate(lines):
+        m = _CONDITION.match(line)
+        if not m:
+            continue
+        word, rest = m.group(1), m.group(2).strip()
+        if word.startswith("if"):
+            open_.append({"from": k, "taken": False, "dead": word == "if" and rest == "0"})
+        elif open_:
+            end_branch(open_[-1], k)
+            if word == "endif":
+                open_.pop()
+            else:
+                open_[-1].update({"from": k, "dead": word == "elif" and rest == "0"})
+    return "\n".join(lines)
+
+
 def c_facts(path: str, text: str, cpp: bool) -> dict:
     """Symbols and edges of a C or C++ file by scopes of braces: functions, types with bodies, typedefs, macros, includes.
 
@@ -165,7 +224,7 @@ def c_facts(path: str, text: str, cpp: bool) -> dict:
             edges.append((path, folder + m.group(1), "imports", line(m.start()), "parsed"))
         else:
             open_refs.append((path, m.group(2), "import", line(m.start())))
-    code = _masked(text)
+    code = one_branch(_masked(text))
     code = re.sub(r"(?m)^[ \t]*#(?:.*\\\n)*.*$", lambda m: re.sub(r"[^\n]", " ", m.group()), code)
     scope: list[tuple[str, str]] = []
     bases: dict[str, list[str]] = {}
@@ -269,11 +328,22 @@ def c_facts(path: str, text: str, cpp: bool) -> dict:
 
 # ------------------------------------------------------------------------------------------------ Markdown
 
-_FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})(.*)$")
 _ATX = re.compile(r"^ {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
 _MENTIONS = [re.compile(p) for p in (r"\b[a-z]+(?:[A-Z][a-z0-9]*)+\b|\b(?:[A-Z][a-z0-9]+){2,}\b", r"\b[A-Za-z]\w*(?:::\w+)+\b", r"\b[a-z][a-z0-9]*(?:_[a-z0-9]+)+\b", r"\b[\w.-]+(?:/[\w.-]+)+\.\w+\b")]
 
 
+def _fence(line: str) -> tuple[str, int, str] | None:
+    """The sign, length and info string of a code fence: up to three blanks, three or more equal signs; no backquote may
+    follow in the info string of a fence of backquotes."""
+    bare = line.lstrip(" ")
+    sign = bare[:1]
+    if len(line) - len(bare) > 3 or sign not in ("`", "~"):
+        return None
+    info = bare.lstrip(sign)
+    size = len(bare) - len(info)
+    return None if size < 3 or sign == "`" and "`" in info else (sign, size, info)
+
+
 def markdown_blocks(path: str, text: str) -> list[dict]:
     """Front matter, preamble, and one block per ATX heading outside fences, up to the next heading of its level or above."""
     lines = text.splitlines()
@@ -288,15 +358,15 @@ def markdown_blocks(path: str, text: str) -> list[dict]:
     fences: list[dict] = []
     i = body
     while i < len(lines):
-        f = _FENCE.match(lines[i])
-        if f and not (f.group(1)[0] == "`" and "`" in f.group(2)):
+        f = _fence(lines[i])
+        if f:
             j = i + 1
             while j < len(lines):
-                c = _FENCE.match(lines[j])
-                if c and c.group(1)[0] == f.group(1)[0] and len(c.group(1)) >= len(f.group(1)) and not c.group(2).strip():
+                c = _fence(lines[j])
+                if c and c[0] == f[0] and c[1] >= f[1] and not c[2].strip():
                     break
                 j += 1
-            info = f.group(2).split()
+            info = f[2].split()
             fences.append({"lang": info[0] if info else "", "content": "\n".join(lines[i + 1 : j]), "line": i + 1})
             i = j + 1
             continue
@@ -309,17 +379,25 @@ def markdown_blocks(path: str, text: str) -> list[dict]:
     if preamble.strip():
         blocks.append({"heading": "", "heading_path": "(preamble)", "level": 0, "start_line": body + 1, "end_line": first, "content": preamble})
     above: list[tuple[int, str]] = []
-    for k, (at, level, title) in enumerate(heads):
+    ends = [len(lines)] * len(heads)
+    waiting: list[int] = []
+    for k, (at, level, _) in enumerate(heads):
+        while waiting and heads[waiting[-1]][1] >= level:
+            ends[waiting.pop()] = at - 1
+        waiting.append(k)
+    for (at, level, title), end in zip(heads, ends):
         above = [a for a in above if a[0] < level] + [(level, title)]
-        end = next((n - 1 for n, lv, _ in heads[k + 1 :] if lv <= level), len(lines))
         blocks.append({"heading": title, "heading_path": " > ".join(t for _, t in above), "level": level, "start_line": at, "end_line": end, "content": "\n".join(lines[at - 1 : end])})
-    for b in blocks:
-        inner = [o for o in blocks if o["start_line"] > b["start_line"] and o["end_line"] <= b["end_line"]]
-        b["code_fences"] = [f for f in fences if b["start_line"] <= f["line"] <= b["end_line"] and not any(o["start_line"] <= f["line"] <= o["end_line"] for o in inner)]
+    firsts = [b["start_line"] for b in blocks]  # ascending, so the innermost block of a line is the last that starts before it
+    held: dict[int, list[dict]] = {}
+    for f in fences:
+        held.setdefault(bisect_right(firsts, f["line"]) - 1, []).append(f)
+    for k, b in enumerate(blocks):
+        b["code_fences"] = held.get(k, [])
         said = [(m.start(1), m.group(1).strip()) for m in re.finditer(r"`([^`\n]+)`", b["content"])]
         said += [(m.start(), m.group()) for p in _MENTIONS for m in p.finditer(b["content"])]
         b["mentioned"] = list(dict.fromkeys(v for _, v in sorted(said, key=lambda x: x[0]) if v))
-        b["doctype"] = doctype_for(path)
+        b["doctype"] = doctype_of(path)
         b["id"] = f"{path}:{b['heading_path']}:{b['start_line']}"
     return blocks
 
@@ -412,16 +490,22 @@ def chunks_of(path: str, text: str, language: str | None, facts: dict, blocks: l
             covered.append((b["start_line"], b["end_line"]))
     elif not facts.get("fallback"):
         symbols = [s for s in facts.get("symbols", ()) if s[2] not in ("namespace", "macro", "typedef", "variable") and 1 <= s[3] <= s[4]]
+        members: dict[str, list[int]] = {}
+        for s in sorted(symbols, key=lambda s: s[3]):
+            for m in re.finditer(r"\.|::", s[1]):
+                members.setdefault(s[1][: m.start()], []).append(s[3])
         for name, fqn, kind, start, end, _ in sorted(symbols, key=lambda s: (s[3], s[4], s[1])):
             end = min(end, len(lines))
             if start > end:
                 continue
             if kind in ("class", "struct"):
-                inner = [s[3] for s in symbols if s[1].startswith((fqn + ".", fqn + "::")) and start <= s[3] <= end]
-                if kind == "class" or inner:
+                mine = members.get(fqn, [])
+                at_first = bisect_left(mine, start)
+                first = mine[at_first] if at_first < len(mine) and mine[at_first] <= end else None
+                if kind == "class" or first is not None:
                     kind = "class_skeleton"
-                    if inner and min(inner) > start:
-                        end = min(inner) - 1
+                    if first is not None and first > start:
+                        end = first - 1
             signature, doc = _python_head(lines, start, end) if language == "python" else (_c_head(lines, start, end), "")
             add(fqn, kind, start, end, signature, doc)
             covered.append((start, end))
@@ -465,7 +549,6 @@ def parse_file(path: str, content: bytes | None) -> dict:
     ]
     return {
         "language": language or "fallback",
-        "generated": generated_file(path, text),
         "content_hash": hashlib.sha256(content or b"").hexdigest(),
         "parse_errors": facts.get("errors", []),
         "symbols": symbols,
@@ -499,17 +582,21 @@ PARSED = T.StructType(
 
 
 def parse_files(blobs: DataFrame) -> DataFrame:
-    """``blobs`` (project_id, path, content) parsed, one nested row per file; nothing is shuffled."""
+    """``blobs`` (project_id, path, content) parsed, one nested row per file; nothing is shuffled.
+
+    Whether a file was generated is told by its path and its head in the plan, before the parser sees it."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = [parse_file(p, bytes(c) if c is not None else None) for p, c in zip(f["path"], f["content"])]
-            out = pd.DataFrame(rows, columns=PARSED.fieldNames()[2:])
-            out.insert(0, "path", f["path"].to_numpy())
-            out.insert(0, "project_id", f["project_id"].to_numpy())
-            yield out
-
-    return blobs.where("path is not null").select("project_id", "path", "content").mapInPandas(run, PARSED)
+            out = pd.DataFrame(rows, columns=[n for n in PARSED.fieldNames() if n not in f.columns])
+            for name in ("project_id", "path", "generated"):
+                out[name] = f[name].to_numpy()
+            yield out[PARSED.fieldNames()]
+
+    text = F.make_valid_utf8(F.col("content").cast("string"))
+    told = F.coalesce(is_generated(F.col("path"), F.regexp_replace(text, "\r\n?", "\n")), F.lit(False))
+    return blobs.where("path is not null").select("project_id", "path", "content", told.alias("generated")).mapInPandas(run, PARSED)
 
 
 def explode(parsed: DataFrame, part: str) -> DataFrame:

@@ -102,6 +102,18 @@ def cascade_spec_refs(spec_refs: DataFrame, old: DataFrame, new: DataFrame) -> D
     return out.select("project_id", "spec_block_id", F.when(~F.coalesce("_gone", F.lit(False)), F.coalesce("_new", "symbol_id")).otherwise(F.col("symbol_id")).alias("symbol_id"), "provenance", (F.col("stale") | F.coalesce("_gone", F.lit(False))).alias("stale"))
 
 
+def include_targets(edges: DataFrame, files: DataFrame) -> DataFrame:
+    """Edges with the includes of C and C++ files, noted as folder and name, pointed at the files they mean."""
+    from ctxloom.functions.classify import language_of
+
+    asked = edges.where((F.col("kind") == "imports") & language_of(F.col("source_fqn")).isin("c", "cpp"))
+    folder = F.regexp_replace("file_path", "[^/]*$", "")
+    said = F.when(F.startswith("target_name", folder), F.substring("target_name", F.length(folder) + 1, F.lit(1 << 30))).otherwise(F.col("target_name"))
+    found = resolve_includes(asked.select("project_id", F.col("edge_id").alias("include_id"), "file_path", said.alias("name")), files)
+    there = found.groupBy("project_id", F.col("include_id").alias("edge_id")).agg(F.min("path").alias("_path"))
+    return edges.join(there, ["project_id", "edge_id"], "left").withColumn("target_name", F.coalesce("_path", "target_name")).drop("_path")
+
+
 def resolve_includes(includes: DataFrame, files: DataFrame) -> DataFrame:
     """(project_id, include_id, path): the file an include (project_id, include_id, file_path, name) means.
 

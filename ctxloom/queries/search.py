@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ctxloom.operators import graph, lexical, resolve, vector
 from ctxloom.operators.fusion import fuse
 from ctxloom.operators.pack import merged_spans, uncovered_spans
+from ctxloom.operators.parse import explode, parse_files
 from ctxloom.plans.search import Index, search, search_pool
 from ctxloom.queries import Registry
 from ctxloom.tables import current_files, cut, load
@@ -198,8 +199,8 @@ m1 AS (SELECT * FROM m0 WHERE id NOT IN (SELECT id FROM h) OR EXISTS (SELECT 1 F
 
 
 def call_matches(spark: SparkSession, d: str) -> DataFrame:
-    """Pending references that are no imports, with the number of symbols each may mean."""
-    refs = _refs(spark, d).where("status = 'pending' and kind <> 'import'").select("project_id", F.col("id").alias("ref_id"), F.trim("name").alias("name"), "kind", "file_path")
+    """Pending references with the number of symbols each may mean."""
+    refs = _refs(spark, d).where("status = 'pending'").select("project_id", F.col("id").alias("ref_id"), F.trim("name").alias("name"), "kind", "file_path")
     return resolve.match(refs, _symbols(spark, d)).groupBy("ref_id").agg(F.min("symbol_id").alias("symbol_id"), F.count(F.lit(1)).alias("found"))
 
 
@@ -207,6 +208,15 @@ def retargeted(spark: SparkSession, d: str) -> DataFrame:
     return resolve.retarget_edges(_edges(spark, d), _symbols(spark, d)).select("edge_id", "project_id", "source_fqn", "target_name", "kind")
 
 
+def _retarget_sql() -> str:
+    """Edges that name no fqn take the fqn of the one symbol that their name, file and module path leave."""
+    body = _resolve_sql().replace("FROM unresolved_refs)", "FROM x)").replace("WHERE status = 'pending' AND", "WHERE")
+    body = body.replace("WITH r AS (SELECT DISTINCT ON (id) id, project_id, from_fqn, trim(name) AS name, kind, line, file_path, status FROM x)", f"""WITH e AS {ED}, r AS (SELECT edge_id AS id, project_id, source_fqn AS from_fqn, trim(target_name) AS name, kind, line, file_path FROM e
+      WHERE NOT EXISTS (SELECT 1 FROM symbols s WHERE s.project_id = e.project_id AND s.fqn = e.target_name))""").replace("FROM r WHERE kind = 'import'", "FROM r WHERE kind IN ('import', 'imports')")
+    return body + """, o AS (SELECT id, fqn FROM f WHERE found = 1), n AS (SELECT e.edge_id, e.project_id, e.source_fqn, coalesce(o.fqn, e.target_name) AS target_name, e.kind, e.line FROM e LEFT JOIN o ON o.id = e.edge_id)
+SELECT edge_id, project_id, source_fqn, target_name, kind FROM (SELECT *, row_number() OVER (PARTITION BY project_id, source_fqn, target_name, kind, coalesce(line, -1) ORDER BY edge_id) AS r FROM n) WHERE r = 1"""
+
+
 def nearest(spark: SparkSession, d: str) -> DataFrame:
     """Ten nearest embeddings of every query row, itself left in."""
     e = load(spark, d, "embeddings")
@@ -253,7 +263,33 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_s
 
 
 def index_of(spark: SparkSession, d: str) -> Index:
-    return Index(_chunks(spark, d), _symbols(spark, d), _edges(spark, d), current_files(load(spark, d, "files"), "generated"))
+    """The tables as an index: names that stayed unresolved, and what the documents among the uploads mention."""
+    symbols = _symbols(spark, d)
+    documents = parse_files(load(spark, d, "blobs").where(F.lower("path").rlike(r"\.(md|markdown|mdx)$")))
+    blocks = explode(documents, "spec_blocks").select("project_id", F.col("id").alias("block_id"), "mentioned")
+    failed = _refs(spark, d).where("status = 'failed'").select("project_id", "file_path", F.trim("name").alias("name"))
+    return Index(_chunks(spark, d), symbols, _edges(spark, d), current_files(load(spark, d, "files"), "generated"), resolve.link_mentions(blocks, symbols), failed_refs=failed)
+
+
+#: The held-out questions, each asked of the project with the most chunks.
+EVAL_PROBE = f"""q AS (SELECT item_id AS query_id, (SELECT project_id FROM {CH} GROUP BY 1 ORDER BY count(*) DESC, project_id LIMIT 1) AS project_id, query AS text FROM eval_items)"""
+
+
+def questions(spark: SparkSession, d: str) -> DataFrame:
+    """The held-out questions, each asked of the project with the most chunks."""
+    largest = _chunks(spark, d).groupBy("project_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "project_id").limit(1).select("project_id", F.lit(1).alias("one"))
+    return load(spark, d, "eval_items").select(F.col("item_id").alias("query_id"), F.col("query").alias("text"), F.lit(1).alias("one")).join(largest, "one").select("query_id", "project_id", "text")
+
+
+def question_hits(spark: SparkSession, d: str) -> DataFrame:
+    """BM25 hits of the held-out questions."""
+    return lexical.bm25(_chunks(spark, d), questions(spark, d)).select("query_id", "chunk_id", F.round("score", 4).alias("score"))
+
+
+def question_packs(spark: SparkSession, d: str) -> DataFrame:
+    """The evidence packs of the held-out questions."""
+    asked = questions(spark, d).withColumn("query_id", F.col("query_id").cast("string"))
+    return search(index_of(spark, d), asked).select("query_id", "answerable", "confidence", "evidence_count", "docs_count", "used_tokens", "truncated", "omitted")
 
 
 def ranked_pool(spark: SparkSession, d: str) -> DataFrame:
@@ -308,6 +344,8 @@ SELECT project_id, file_path, min(n)::INT AS first, max(n)::INT AS last FROM g G
 def register(reg: Registry) -> None:
     reg.query("search_pool")(ranked_pool)
     reg.query("search_packs")(packs)
+    reg.query("question_packs")(question_packs)
+    reg.query("question_hits", _bm25_sql().replace(PROBE, EVAL_PROBE))(question_hits)
     reg.query("search_vector_pool")(vector_pool)
     reg.query("call_flows")(call_chains)
     reg.query("merged_spans", SPAN_SQL.format(gap=10))(joined_spans)
@@ -332,7 +370,7 @@ def register(reg: Registry) -> None:
         f"""SELECT DISTINCT s.project_id, {TAIL.format("s.fqn")} AS name, e.source_fqn AS path FROM {SY} s JOIN edges e ON e.project_id = s.project_id AND e.kind = 'imports' AND e.source_fqn LIKE '%\\_\\_init\\_\\_.py' ESCAPE '\\'
         AND {TAIL.format("e.target_name")} = {TAIL.format("s.fqn")} WHERE s.is_exported""",
     )(reexports)
-    reg.query("resolve_matches", f"WITH {MATCH_SQL} SELECT id AS ref_id, min(sid) AS symbol_id, count(*) AS found FROM m3 WHERE id IN (SELECT id FROM r WHERE kind <> 'import') GROUP BY 1")(call_matches)
+    reg.query("resolve_matches", _resolve_sql() + "SELECT id AS ref_id, min(sid) AS symbol_id, count(*) AS found FROM f GROUP BY 1")(call_matches)
     reg.query(
         "resolve_pending",
         _resolve_sql()
@@ -340,7 +378,7 @@ def register(reg: Registry) -> None:
         CASE WHEN found = 1 THEN 'resolved' ELSE 'synthesized' END AS provenance FROM f JOIN r ON r.id = f.id""",
     )(pending_edges)
     reg.query("resolve_failed", _resolve_sql() + f"SELECT id, 'failed' AS status, {TAIL.format('name')} AS name_tail FROM r WHERE status = 'pending' AND id NOT IN (SELECT id FROM f)")(pending_failed)
-    reg.query("retarget_edges")(retargeted)
+    reg.query("retarget_edges", _retarget_sql())(retargeted)
     reg.query("cosine_top_k", NEAREST_SQL)(nearest)
     reg.query(
         "l2_normalize",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ctxloom.operators import graph, store
 from ctxloom.queries import Registry
 from ctxloom.queries.search import CH, ED, SY
+from ctxloom.queries.usage import CUTOFF
 from ctxloom.sources import repo
 from ctxloom.tables import load
 
@@ -25,14 +26,15 @@ SELECT batch, CASE WHEN total > 20000 THEN 'batch_size' WHEN regexp_matches(path
 
 
 def vector_reuse(spark: SparkSession, d: str) -> DataFrame:
-    """How many chunks reuse a vector when chunks on odd lines have one."""
+    """How many chunks reuse a vector when every content that runs wrote before July has one (its embedding of four trigrams)."""
     c = load(spark, d, "chunks").dropDuplicates(["project_id", "id"])
-    vectors = c.where("start_line % 2 = 1").select("content_hash", F.array(F.lit(1.0).cast("float")).alias("vector"))
-    reused, left = store.reuse_vectors(c.where("start_line % 2 = 0"), vectors)
+    held = load(spark, d, "processed_items").where(F.col("item_kind") == "chunk").where(F.col("processed_at") < F.lit(CUTOFF).cast("timestamp_ntz"))
+    vectors = held.select("content_hash").distinct().select("content_hash", F.transform(F.sequence(F.lit(1), F.lit(4)), lambda k: F.ascii(F.substr("content_hash", k, F.lit(1))).cast("float")).alias("vector"))
+    reused, left = store.reuse_vectors(c, vectors)
     return reused.groupBy("project_id").agg(F.count(F.lit(1)).alias("chunks")).withColumn("state", F.lit("reused")).unionByName(left.groupBy("project_id").agg(F.count(F.lit(1)).alias("chunks")).withColumn("state", F.lit("embed")))
 
 
-REUSE_SQL = f"""WITH c AS (SELECT * FROM {CH}) SELECT project_id, count(*) AS chunks, CASE WHEN content_hash IN (SELECT content_hash FROM c WHERE start_line % 2 = 1) THEN 'reused' ELSE 'embed' END AS state FROM c WHERE start_line % 2 = 0 GROUP BY ALL"""
+REUSE_SQL = f"""WITH c AS (SELECT * FROM {CH}) SELECT project_id, count(*) AS chunks, CASE WHEN content_hash IN (SELECT content_hash FROM processed_items WHERE item_kind = 'chunk' AND processed_at < TIMESTAMP '{CUTOFF}' AND content_hash IS NOT NULL) THEN 'reused' ELSE 'embed' END AS state FROM c GROUP BY ALL"""
 
 
 def upserted(spark: SparkSession, d: str) -> DataFrame:
@@ -46,8 +48,8 @@ UPSERT_SQL = f"SELECT project_id, CASE WHEN is_exported THEN 'seen' ELSE kind EN
 
 
 def orphan_blobs(spark: SparkSession, d: str) -> DataFrame:
-    """Blobs whose content no current row of a Python file names."""
-    ledger = load(spark, d, "files").where("language = 'python'").select(F.col("content_hash").alias("blob_hash")).distinct()
+    """Blobs whose content no row of a file names that was indexed before July."""
+    ledger = load(spark, d, "files").where(F.col("indexed_at") < F.lit(CUTOFF).cast("timestamp_ntz")).select(F.col("content_hash").alias("blob_hash")).distinct()
     b = load(spark, d, "blobs").select("project_id", "path", F.sha2("content", 256).alias("blob_hash"))
     return repo.unreferenced(b, ledger).select("project_id", "path")
 
@@ -73,6 +75,6 @@ def register(reg: Registry) -> None:
     reg.query("upload_checks", UPLOAD_SQL)(uploads)
     reg.query("vector_reuse", REUSE_SQL)(vector_reuse)
     reg.query("upsert", UPSERT_SQL)(upserted)
-    reg.query("unreferenced_blobs", "SELECT project_id, path FROM blobs WHERE sha256(content) NOT IN (SELECT content_hash FROM files WHERE language = 'python' AND content_hash IS NOT NULL)")(orphan_blobs)
+    reg.query("unreferenced_blobs", f"SELECT project_id, path FROM blobs WHERE sha256(content) NOT IN (SELECT content_hash FROM files WHERE indexed_at < TIMESTAMP '{CUTOFF}' AND content_hash IS NOT NULL)")(orphan_blobs)
     reg.query("visible_symbols", f"SELECT s.project_id, s.id FROM {SY} s JOIN (SELECT project_id, min(path) AS p FROM files GROUP BY 1) f USING (project_id) WHERE coalesce(s.is_exported, false) OR s.file_path = f.p")(visible)
     reg.query("facts_outside_errors", CLEAR_SQL)(clear_edges)

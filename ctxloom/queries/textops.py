@@ -34,15 +34,15 @@ def chunk_texts(spark: SparkSession, d: str) -> DataFrame:
     c = _chunks(spark, d)
     return c.select(
         "project_id", "id", X.estimate_tokens(F.col("content")).alias("tokens"), X.answer_tokens(F.col("content")).alias("answer_tokens"), F.md5(X.numbered_lines(F.col("content"), F.col("start_line"))).alias("numbered"),
-        F.md5(X.segment(F.substring("content", 1, 400))).alias("segments"), F.size(X.terms(F.col("content"))).alias("terms"), F.length(X.embedding_text(F.col("signature"), F.col("docstring"), F.col("content"), 200)).alias("embedding_chars"),
+        F.md5(X.segment(F.col("content"))).alias("segments"), F.size(X.terms(F.col("content"))).alias("terms"), F.length(X.embedding_text(F.col("signature"), F.col("docstring"), F.col("content"))).alias("embedding_chars"),
         F.md5(X.cut_answer(F.col("content"), 100, "...")).alias("cut"), F.md5(X.visible(F.col("content"))).alias("visible"),
     )
 
 
 CHUNK_TEXT_SQL = f"""SELECT project_id, id, {X.ESTIMATE_SQL.format(t="content")} AS tokens, CASE WHEN length(content) = 0 THEN 0 ELSE greatest(1, (length(content) + 1) // 2) END AS answer_tokens,
 md5(array_to_string(list_transform(string_split(content, chr(10)), lambda x, i: CAST(start_line + i - 1 AS VARCHAR) || ' | ' || x), chr(10))) AS numbered,
-md5(array_to_string(regexp_extract_all(substr(content, 1, 400), '[A-Za-z0-9]+|\\S'), ' ')) AS segments, len(regexp_extract_all(content, '[A-Za-z0-9]+|[\\x{{4E00}}-\\x{{9FFF}}]')) AS terms,
-length(array_to_string(list_filter([coalesce(signature, ''), coalesce(docstring, ''), substr(CASE WHEN coalesce(signature, '') <> '' AND starts_with(content, signature) THEN substr(content, length(signature) + 1) ELSE content END, 1, 200)], lambda p: trim(regexp_replace(p, '\\s', ' ', 'g')) <> ''), chr(10) || chr(10))) AS embedding_chars,
+md5(array_to_string(regexp_extract_all(content, '[A-Za-z0-9]+|\\S'), ' ')) AS segments, len(regexp_extract_all(content, '[A-Za-z0-9]+|[\\x{{4E00}}-\\x{{9FFF}}]')) AS terms,
+length(array_to_string(list_filter([coalesce(signature, ''), coalesce(docstring, ''), substr(CASE WHEN coalesce(signature, '') <> '' AND starts_with(content, signature) THEN substr(content, length(signature) + 1) ELSE content END, 1, 8000)], lambda p: trim(regexp_replace(p, '\\s', ' ', 'g')) <> ''), chr(10) || chr(10))) AS embedding_chars,
 md5(CASE WHEN length(content) > 100 THEN substr(content, 1, 100) || '...' ELSE content END) AS cut, md5(regexp_replace(content, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g')) AS visible FROM {CH}"""
 
 
@@ -81,7 +81,7 @@ def ignored(spark: SparkSession, d: str) -> DataFrame:
     return f.select("project_id", "path", ignore_reason(F.col("path"), RULES).alias("reason")).where("reason is not null")
 
 
-IGNORE_SQL = """SELECT DISTINCT project_id, path, CASE WHEN regexp_matches(path, '(^|/)(\\.git|\\.hg|\\.svn|node_modules|__pycache__|\\.venv|venv|\\.mypy_cache|\\.pytest_cache|\\.tox|dist|build|target|\\.idea|\\.vscode)/') THEN 'builtin'
+IGNORE_SQL = """SELECT DISTINCT project_id, path, CASE WHEN regexp_matches(path, '(^|/)(\\.git|\\.hg|\\.svn|\\.venv|venv|env|node_modules|__pycache__|\\.mypy_cache|\\.pytest_cache|\\.ruff_cache|\\.tox|\\.eggs|dist|build|target|\\.idea|\\.vscode|cmake-build-[^/]*|build-[^/]*|out|htmlcov|\\.cache|\\.gradle|\\.next|\\.nuxt|\\.turbo|\\.parcel-cache|__pypackages__)/') THEN 'builtin'
  WHEN regexp_matches(path, '(^|/)deploy/[^/]*\\.json$') AND regexp_matches(path, '^deploy/') THEN 'custom' WHEN contains('/' || path, '/docs/') OR (regexp_matches(path, '^tests/.*\\.py$') AND NOT regexp_matches(path, '^tests/index/[^/]*\\.py$')) THEN 'ignore' END AS reason
  FROM files WHERE reason IS NOT NULL"""
 
@@ -171,4 +171,7 @@ def register(reg: Registry) -> None:
     reg.query("name_shapes", SHAPE_SQL)(shapes)
     reg.query("import_hints", HINT_SQL)(hints)
     reg.query("document_texts", BYTE_SQL)(byte_cuts)
-    reg.query("redacted_chunks", f"SELECT project_id, id, md5(regexp_replace(content, '\\b(?:[a-z]{{2,6}}_|sk-)[A-Za-z0-9_\\-]*[A-Z][A-Za-z0-9_\\-]{{6,}}', '***', 'g')) AS redacted FROM {CH}")(redactions)
+    masked = "content"
+    for pattern, mask in X.redact_patterns():
+        masked = f"regexp_replace({masked}, '{pattern.replace(chr(39), chr(39) * 2)}', '{mask.replace('{', chr(92)).replace('}', '')}', 'g')"
+    reg.query("redacted_chunks", f"SELECT project_id, id, md5({masked}) AS redacted FROM {CH}")(redactions)

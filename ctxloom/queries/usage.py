@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ctxloom.operators import store, usage
+from ctxloom.operators.changes import latest_handled
 from ctxloom.operators.lexical import inverted_index
 from ctxloom.operators.parse import explode, parse_files
 from ctxloom.operators.resolve import link_mentions, resolve_pending, retarget_edges
@@ -23,30 +24,44 @@ def _manifests(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def scan_plan(spark: SparkSession, d: str) -> DataFrame:
-    now, was = _manifests(spark, d)
-    return repo.plan_scan(now.where("path not like 'docs/%'"), was)
+    """What changed in the current files since the successful runs last wrote them; the ledger knows files that are gone."""
+    now, _ = _manifests(spark, d)
+    wrote = latest_handled(load(spark, d, "processed_items").where("item_kind = 'file'"), load(spark, d, "index_runs"), ["project_id", "item_key"])
+    return repo.plan_scan(now, wrote.select("project_id", F.col("item_key").alias("path"), F.col("handled_hash").alias("content_hash")))
+
+
+LEDGER_SQL = """led AS (SELECT project_id, item_key, content_hash, row_number() OVER (PARTITION BY project_id, item_key ORDER BY processed_at DESC, run_id DESC, content_hash DESC) AS rn
+FROM processed_items WHERE item_kind = '{kind}' AND run_id IN (SELECT id FROM index_runs WHERE state = 'done'))"""
+PLAN_SQL = f"""WITH {LEDGER_SQL.format(kind="file")}, n AS (SELECT project_id, path, max((indexed_at, content_hash))[2] AS h FROM files GROUP BY ALL), w AS (SELECT project_id, item_key AS path, content_hash AS h FROM led WHERE rn = 1)
+SELECT project_id, path, CASE WHEN w.h IS NULL THEN 'added' WHEN n.h IS NULL THEN 'deleted' ELSE 'modified' END AS change FROM n FULL JOIN w USING (project_id, path) WHERE n.h IS DISTINCT FROM w.h"""
 
 
-PLAN_SQL = f"""WITH n AS (SELECT project_id, path, max((indexed_at, content_hash)) AS m FROM files WHERE path NOT LIKE 'docs/%' GROUP BY ALL), w AS (SELECT project_id, path, max((indexed_at, content_hash)) AS m FROM files WHERE indexed_at < TIMESTAMP '{CUTOFF}' GROUP BY ALL)
-SELECT project_id, path, CASE WHEN w.m IS NULL THEN 'added' WHEN n.m IS NULL THEN 'deleted' ELSE 'modified' END AS change FROM n FULL JOIN w USING (project_id, path) WHERE w.m IS NULL OR n.m IS NULL OR w.m[2] <> n.m[2]"""
+def _ledger_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """project_id, id, file_path, content_hash of the chunks as successful runs last wrote them."""
+    wrote = latest_handled(load(spark, d, "processed_items").where("item_kind = 'chunk'"), load(spark, d, "index_runs"), ["project_id", "item_key"])
+    return wrote.select("project_id", F.col("item_key").alias("id"), F.regexp_extract("item_key", "^[^:]*", 0).alias("file_path"), F.col("handled_hash").alias("content_hash"))
 
 
 def replaced(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks after the files changed since the cutoff were replaced by their present chunks."""
-    now, was = _manifests(spark, d)
-    changed = repo.plan_scan(now, was).where("change <> 'deleted'")
-    chunks = load(spark, d, "chunks").dropDuplicates(["project_id", "id"]).select("project_id", "id", "file_path", "content_hash")
+    """The ledger's chunks after those of files that changed since were replaced by the present ones, row by row."""
+    changed = scan_plan(spark, d)
+    chunks = load(spark, d, "chunks").groupBy("project_id", "id").agg(F.max("file_path").alias("file_path"), F.max("content_hash").alias("content_hash"))
     fresh = chunks.join(changed.select("project_id", F.col("path").alias("file_path")), ["project_id", "file_path"], "left_semi")
-    return store.replace_files(chunks, fresh, changed).groupBy("project_id").agg(F.count(F.lit(1)).alias("chunks"))
+    return store.replace_files(_ledger_chunks(spark, d), fresh, changed).select("project_id", "id", "content_hash")
+
+
+REPLACED_SQL = f"""WITH l AS (WITH {LEDGER_SQL.format(kind="chunk")} SELECT project_id, item_key AS id, regexp_extract(item_key, '^[^:]*') AS file_path, content_hash FROM led WHERE rn = 1), ch AS ({PLAN_SQL})
+SELECT project_id, id, content_hash FROM l WHERE NOT EXISTS (SELECT 1 FROM ch WHERE ch.project_id = l.project_id AND ch.path = l.file_path)
+UNION ALL SELECT project_id, id, max(content_hash) FROM chunks c WHERE EXISTS (SELECT 1 FROM ch WHERE ch.project_id = c.project_id AND ch.path = c.file_path) GROUP BY project_id, id"""
 
 
 def deltas(spark: SparkSession, d: str) -> DataFrame:
-    """New, reused and removed contents when a file's even lines of chunks are taken as its past."""
-    c = load(spark, d, "chunks").dropDuplicates(["project_id", "id"]).select("project_id", "id", "file_path", "content_hash", "start_line")
-    return store.file_delta(c.where("start_line % 3 <> 0"), c.where("start_line % 2 = 0")).groupBy("project_id", "state").agg(F.count(F.lit(1)).alias("contents"))
+    """New, reused and removed contents of every file between the ledger's chunks and the present ones."""
+    c = load(spark, d, "chunks").dropDuplicates(["project_id", "id"]).select("project_id", "id", "file_path", "content_hash")
+    return store.file_delta(_ledger_chunks(spark, d), c).groupBy("project_id", "state").agg(F.count(F.lit(1)).alias("contents"))
 
 
-DELTA_SQL = """WITH c AS (SELECT DISTINCT ON (project_id, id) * FROM chunks), o AS (SELECT DISTINCT project_id, file_path, content_hash, 1 AS o FROM c WHERE start_line % 3 <> 0), n AS (SELECT DISTINCT project_id, file_path, content_hash, 1 AS n FROM c WHERE start_line % 2 = 0)
+DELTA_SQL = f"""WITH {LEDGER_SQL.format(kind="chunk")}, o AS (SELECT DISTINCT project_id, regexp_extract(item_key, '^[^:]*') AS file_path, content_hash, 1 AS o FROM led WHERE rn = 1), n AS (SELECT DISTINCT project_id, file_path, content_hash, 1 AS n FROM chunks)
 SELECT project_id, CASE WHEN o IS NULL THEN 'new' WHEN n IS NULL THEN 'removed' ELSE 'reused' END AS state, count(*) AS contents FROM o FULL JOIN n USING (project_id, file_path, content_hash) GROUP BY ALL"""
 
 
@@ -210,7 +225,7 @@ def index_build(spark: SparkSession, d: str) -> DataFrame:
 def register(reg: Registry) -> None:
     reg.query("index_build")(index_build)
     reg.query("plan_scan", PLAN_SQL)(scan_plan)
-    reg.query("replace_files", "SELECT project_id, count(*) AS chunks FROM (SELECT DISTINCT project_id, id FROM chunks) GROUP BY 1")(replaced)
+    reg.query("replace_files", REPLACED_SQL)(replaced)
     reg.query("file_delta", DELTA_SQL)(deltas)
     reg.query("delete_files", DELETED_SQL)(deleted)
     reg.query("checkpoints", "SELECT project_id, 'cp_' || substr(sha256(string_agg(DISTINCT blob_hash, chr(10) ORDER BY blob_hash)), 1, 16) AS checkpoint_id FROM blobs GROUP BY 1")(checkpoint_ids)

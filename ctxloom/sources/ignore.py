@@ -13,7 +13,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Folders that are never entered (fixed values).
-SKIPPED_DIRS = (".git", ".hg", ".svn", "node_modules", "__pycache__", ".venv", "venv", ".mypy_cache", ".pytest_cache", ".tox", "dist", "build", "target", ".idea", ".vscode")
+SKIPPED_DIRS = (
+    ".git", ".hg", ".svn", ".venv", "venv", "env", "node_modules", "__pycache__", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".tox", ".eggs", "dist", "build", "target", ".idea", ".vscode",
+    "cmake-build-*", "build-*", "out", "htmlcov", ".cache", ".gradle", ".next", ".nuxt", ".turbo", ".parcel-cache", "__pypackages__",
+)
+#: What is taken in although ignore files leave it out: a folder name with a slash, else file names (fixed values).
+ALLOWED = ("skills/", "agents.md", "claude.md", ".agent.md", ".cursorrules", "handoff.md")
+#: How many ignored folders in a row are looked through for allowed names (fixed value).
+LOOK_THROUGH = 4
 
 
 def glob_regex(pattern: str) -> str:
@@ -97,7 +104,7 @@ class IgnoreRules:
 
     ignore: Layer = field(default_factory=lambda: Layer([]))
     custom: Layer = field(default_factory=lambda: Layer([]))
-    allow: tuple[str, ...] = ()
+    allow: tuple[str, ...] = ALLOWED
     skipped: tuple[str, ...] = SKIPPED_DIRS
 
     def builtin(self, path: str, is_dir: bool = False) -> bool:
@@ -115,6 +122,10 @@ class IgnoreRules:
             held = (not off) if hit else held
         return held
 
+    def looks_allowed(self, name: str) -> bool:
+        """Whether a file or folder of this name may be allowed, wherever it is."""
+        return self.allows(name) or self.allows(name + "/x")
+
     def reason(self, path: str, is_dir: bool = False) -> str | None:
         """builtin, ignore or custom for ignored paths, None for others."""
         path = path.strip("/")

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ctxloom.functions.classify import MAX_FILE_BYTES, is_binary, is_safe_path
 from ctxloom.functions.text import blob_hash, file_hash, id_of_project, visible
-from ctxloom.sources.ignore import IgnoreRules
+from ctxloom.sources.ignore import LOOK_THROUGH, IgnoreRules
 
 GOLDEN = T.StructType(
     [T.StructField(n, T.StringType()) for n in ("id", "repo_hint", "commit", "query", "lang", "category")]
@@ -22,13 +22,34 @@ REQUEST = T.StructType([T.StructField(n, t) for n, t in (("ts", T.LongType()), (
 
 def list_paths(root: str, rules: IgnoreRules) -> list[tuple[str, int]]:
     """(path, size) of the files below a local root, sorted: ignored folders are not entered, folder links not followed,
-    file links are; unreadable folders are skipped. Metadata only, for the driver of a local ingest."""
+    file links are; unreadable folders are skipped. Metadata only, for the driver of a local ingest.
+
+    An ignored folder is entered after all if something directly in it bears an allowed name, at most ``LOOK_THROUGH`` such
+    folders in a row; built-in folders never are."""
     top = Path(root).resolve()
     out: list[tuple[str, int]] = []
+    left = {str(top): LOOK_THROUGH}
+
+    def enter(folder: str, lead: str, name: str) -> bool:
+        full = os.path.join(folder, name)
+        if os.path.islink(full):
+            return False
+        why = rules.reason(lead + name, True)
+        if why is None:
+            left[full] = LOOK_THROUGH
+            return True
+        budget = left[folder] - 1
+        try:
+            inside = why != "builtin" and budget >= 0 and any(rules.looks_allowed(e) for e in os.listdir(full))
+        except OSError:
+            return False
+        left[full] = budget
+        return inside
+
     for folder, names, files in os.walk(top, followlinks=False):
         here = os.path.relpath(folder, top).replace(os.sep, "/")
         lead = "" if here == "." else here + "/"
-        names[:] = sorted(n for n in names if not rules.reason(lead + n, True) and not os.path.islink(os.path.join(folder, n)))
+        names[:] = sorted(n for n in names if enter(folder, lead, n))
         for n in files:
             full = Path(folder, n)
             if rules.reason(lead + n) is None and full.is_file() and full.resolve().is_relative_to(top):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,12 +14,16 @@ from ctxloom.engine import ContextEngine
 from ctxloom.functions.classify import is_safe_path
 from ctxloom.functions.text import blob_hash
 
+#: Projects of one batch that are ingested at once.
+AT_ONCE = 8
 UPLOADS = T.StructType([T.StructField("project_id", T.StringType()), T.StructField("path", T.StringType()), T.StructField("content", T.BinaryType()), T.StructField("blob_hash", T.StringType()), T.StructField("deleted", T.BooleanType())])
+#: Uploads that tell their order; files without the column read as null.
+ORDERED = T.StructType([*UPLOADS.fields, T.StructField("seq", T.LongType())])
 
 
 def read_uploads(spark: SparkSession, folder: str, max_files: int = 100) -> DataFrame:
     """Parquet files of uploads as they appear in a folder."""
-    return spark.readStream.schema(UPLOADS).option("maxFilesPerTrigger", max_files).parquet(folder)
+    return spark.readStream.schema(ORDERED).option("maxFilesPerTrigger", max_files).parquet(folder)
 
 
 def valid_uploads(uploads: DataFrame) -> DataFrame:
@@ -28,20 +33,25 @@ def valid_uploads(uploads: DataFrame) -> DataFrame:
 
 
 def ingest_stream(engine: ContextEngine, uploads: DataFrame, checkpoint: str, *, on_batch: Callable[[int, str], None] | None = None) -> StreamingQuery:
-    """Runs until the present uploads are ingested. A batch holds per path its last upload; one that is run again after a
-    failure finds unchanged hashes and changes nothing."""
+    """Runs until the present uploads are ingested. Of the uploads of a path the one with the greatest ``seq`` counts (null
+    is least; equal ones: a deletion, then the greater hash). A batch that is run again after a failure finds unchanged hashes
+    and changes nothing. Projects of a batch are independent and are taken in side by side."""
 
     def take(batch: DataFrame, number: int) -> None:
-        batch = valid_uploads(batch).persist()
-        for (project,) in batch.select("project_id").distinct().collect():
-            mine = batch.where(F.col("project_id") == project)
-            last = mine.groupBy("project_id", "path").agg(F.max_by(F.struct("content", "deleted"), F.struct(F.coalesce("deleted", F.lit(False)), "blob_hash")).alias("m"))
-            files = last.where("not coalesce(m.deleted, false)").select("project_id", "path", "m.content")
-            gone = [r.path for r in last.where("m.deleted").select("path").collect()]
-            engine.apply_changes(project, files, gone)
+        order = F.struct(F.coalesce("seq", F.lit(-1)), F.coalesce("deleted", F.lit(False)), "blob_hash")
+        last = valid_uploads(batch).groupBy("project_id", "path").agg(F.max_by(F.struct("content", "deleted"), order).alias("m")).persist()
+
+        def one(project: str) -> None:
+            mine = last.where(F.col("project_id") == project)
+            files = mine.where("not coalesce(m.deleted, false)").select("project_id", "path", "m.content")
+            engine.apply_changes(project, files, mine.where("m.deleted").select("path"))
             if on_batch:
                 on_batch(number, project)
-        batch.unpersist()
+
+        projects = [r.project_id for r in last.select("project_id").distinct().collect()]
+        with ThreadPoolExecutor(AT_ONCE) as pool:
+            list(pool.map(one, projects))
+        last.unpersist()
 
     return uploads.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

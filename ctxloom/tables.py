@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -25,14 +27,32 @@ def shared_dir(spark: SparkSession) -> str:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = jdir.get() if jdir.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"set {SHARED_DIR_CONF} to a folder that all executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), f"ctxloom-{os.getpid()}")
+        atexit.register(shutil.rmtree, found.removeprefix("file://"), ignore_errors=True)
         spark.conf.set(SHARED_DIR_CONF, found)
     return found
 
 
+#: What this process has written below the shared folder and not yet removed.
+_WRITTEN: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Removes all that ``cut`` and ``scratch`` wrote in this process; call it when no result is read any more."""
+    n = 0
+    while _WRITTEN:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        n += bool(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True))
+    return n
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
 
 
 def cut(df: DataFrame, label: str = "cut") -> DataFrame:

@@ -113,3 +113,29 @@ def test_calls_through_pointers():
     code = "static int one(int a) { return a; }\nstatic int two(int a) { return a; }\nstruct ops { int (*run)(int); };\nint (*hook)(int) = one;\nstruct ops t = { .run = two, };\nint go(struct ops *o) { return hook(1) + o->run(2); }\n"
     e = {(a, b, p) for a, b, k, _, p in c_facts("x.c", code, False)["edges"] if k == "calls"}
     assert ("go", "one", "synthesized") in e and ("go", "two", "synthesized") in e and ("go", "hook", "parsed") in e
+
+
+def test_files_are_read_around_syntax_errors():
+    text = "import os\n\ndef good(a):\n    return os.path(a)\n\ndef bad(:\n    x = 1\n\nclass C:\n    def m(self):\n        return good(1\n\n    def n(self):\n        return 2\n"
+    r = parse_file("a.py", text.encode())
+    assert {"good", "C", "C.n"} <= {s["fqn"] for s in r["symbols"]} and "bad" not in {s["fqn"] for s in r["symbols"]}
+    assert r["parse_errors"][0] == "L6: SyntaxError" and {s["start_line"] for s in r["symbols"] if s["fqn"] == "C.n"} == {13}
+    assert not parse_file("a.py", b"((((\n")["symbols"] and parse_file("a.py", b"((((\n")["chunks"][0]["symbol_kind"] == "fallback_block"
+
+
+def test_branches_of_conditionals_do_not_upset_scopes():
+    c = "#ifdef A\nint f(int a) {\n#else\nint f(void) {\n#endif\n  return 1;\n}\n#if 0\nint dead(void) { return 2; }\n#else\nint live(void) { return 3; }\n#endif\n#ifdef B\nint b(void) { return 4; }\n#else\nint c(void) { return 5; }\n#endif\nint last(void) { return g(); }\n"
+    facts = c_facts("a.c", c, False)
+    assert [(s[1], s[3], s[4]) for s in facts["symbols"]] == [("f", 2, 7), ("live", 11, 11), ("b", 14, 14), ("c", 16, 16), ("last", 18, 18)]
+    assert ("last", "g", "calls", 18, "parsed") in facts["edges"]
+
+
+def test_many_headings_and_members_take_linear_time():
+    import time
+
+    start = time.perf_counter()
+    text = "".join(f"# h{i}\n\ntext `name_{i}`\n\n```py\nx = {i}\n```\n" for i in range(4_000))
+    blocks = markdown_blocks("a.md", text)
+    assert len(blocks) == 4_000 and all(len(b["code_fences"]) == 1 for b in blocks) and blocks[-1]["end_line"] == 28_000
+    r = parse_file("a.py", "".join(f"class C{i}:\n    def m(self):\n        return {i}\n" for i in range(3_000)).encode())
+    assert len(r["chunks"]) == 6_000 and time.perf_counter() - start < 20
