@@ -181,7 +181,7 @@ def one_branch(code: str) -> str:
         own = range(group["from"] + 1, at)
         if group["dead"] or group["taken"] and not _closed([lines[k] for k in own]):
             for k in own:
-                lines[k] = ""
+                lines[k] = " " * len(lines[k])  # places stay
         elif not group["dead"]:
             group["taken"] = True
 
