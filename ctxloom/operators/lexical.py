@@ -5,8 +5,12 @@ Queries are rows (query_id, project_id, text); an index is the set of rows of on
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator, Sequence
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ctxloom.functions.text import lexical_query, spellings, terms
 from ctxloom.operators.skew import salted_join
@@ -86,14 +90,65 @@ def _phrases_by_project(phrases: DataFrame) -> DataFrame:
     return phrases.groupBy("project_id").agg(F.collect_set(F.struct("query_id", "phrase")).alias("asked"))
 
 
+#: Most distinct phrases of a batch that are held by every executor.
+HELD_PHRASES = 100_000
+_FOUND = T.StructType([T.StructField("project_id", T.StringType()), T.StructField("_p", T.StringType()), T.StructField("chunk_id", T.StringType()), T.StructField("hits", T.IntegerType()), T.StructField("_named", T.BooleanType()), T.StructField("_span", T.IntegerType())])
+
+
+def _scan_literals(chunks: DataFrame, phrases: Sequence[Row]) -> DataFrame:
+    """Per chunk and phrase (project_id, p: lower case) of its project that it holds: how often, and whether its name does."""
+    held: dict[str, list[str]] = {}
+    for r in phrases:
+        held.setdefault(r.project_id, []).append(r.p)
+    shared = chunks.sparkSession.sparkContext.broadcast(held)
+    low = F.lower(F.concat_ws("\n", F.coalesce("symbol_fqn", F.lit("")), F.coalesce("signature", F.lit("")), "content"))
+    mine = chunks.where(F.col("project_id").isin(*held)) if len(held) <= 1000 else chunks
+    asked = mine.select("project_id", "id", F.lower("symbol_fqn"), low, (F.col("end_line") - F.col("start_line")).cast("int"))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automata: dict[str, object] = {}
+        for b in batches:
+            rows: list[tuple] = []
+            for project, chunk, name, text, span in zip(*(c.to_pylist() for c in b.columns)):
+                if project not in shared.value or not text:
+                    continue
+                find = automata.get(project)
+                if find is None:
+                    find = automata[project] = ahocorasick.Automaton()
+                    for p in shared.value[project]:
+                        find.add_word(p, (p, len(p)))
+                    find.make_automaton()
+                hits: dict[str, list[int]] = {}
+                for last, (p, n) in find.iter(text):
+                    seen = hits.setdefault(p, [0, -1])
+                    if last - n + 1 > seen[1]:
+                        seen[0] += 1
+                        seen[1] = last
+                rows += [(project, p, chunk, times, name is not None and p in name, span) for p, (times, _) in hits.items()]
+            columns = list(zip(*rows)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.int32()))], names=_FOUND.fieldNames())
+
+    return asked.mapInArrow(scan, _FOUND)
+
+
 def literal_search(chunks: DataFrame, phrases: DataFrame, limit: int = QUOTAS["literal"]) -> DataFrame:
     """(query_id, phrase, project_id, chunk_id, hits, rank) for substring matches without regard to case.
 
     ``phrases``: query_id, project_id, phrase. The text searched is name, signature and content; hits are counted without
     overlap, at least 1. Order: a match in the name first, then more hits, shorter spans, the id. Phrases shorter than 4
-    characters find nothing. A project's phrases travel as one row, chunks of very large projects are salted.
+    characters find nothing. Up to ``HELD_PHRASES`` distinct phrases go to the executors as one automaton per project, and
+    every text is read once whatever their number; beyond that a project's phrases travel as one row, and chunks of very
+    large projects are salted. Both ways give the same rows.
     """
     usable = phrases.where(F.length("phrase") >= MIN_LITERAL)
+    distinct = usable.select("project_id", F.lower("phrase").alias("p")).distinct().limit(HELD_PHRASES + 1).collect()
+    if len(distinct) <= HELD_PHRASES:
+        counted = _scan_literals(chunks, distinct)
+        asked = usable.select("query_id", "project_id", "phrase", F.lower("phrase").alias("_p")).distinct()
+        rows = counted.join(asked, ["project_id", "_p"]).select("query_id", "phrase", "project_id", "chunk_id", "hits", "_named", "_span")
+        return top_n(rows, ["query_id", "phrase"], [F.desc("_named"), F.desc("hits"), F.asc("_span"), F.asc("chunk_id")], limit).drop("_named", "_span")
     joined = salted_join(chunks, _phrases_by_project(usable), ["project_id"], "inner", salt_from=["id"])
     low = F.lower(F.concat_ws("\n", F.coalesce("symbol_fqn", F.lit("")), F.coalesce("signature", F.lit("")), "content"))
     each = joined.select("project_id", F.col("id").alias("chunk_id"), F.lower("symbol_fqn").alias("_f"), low.alias("_t"), (F.col("end_line") - F.col("start_line")).alias("_span"), F.explode("asked").alias("a"))

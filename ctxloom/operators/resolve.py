@@ -44,6 +44,31 @@ def match(refs: DataFrame, symbols: DataFrame) -> DataFrame:
     return rows.withColumn("found", F.count(F.lit(1)).over(w)).select("project_id", "ref_id", "name", "kind", "file_path", F.col("id").alias("symbol_id"), "fqn", "found")
 
 
+def single_match(refs: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(project_id, ref_id, fqn) of the references that :func:`match` gives exactly one symbol, without pairing any reference
+    with all symbols of its name: per key, and per key and file, symbols are counted first and one of them is kept.
+
+    For references that are no imports, whose module paths have to be held against every candidate."""
+    s = symbols.select("project_id", F.struct("id", "fqn").alias("s"), "name", "fqn", F.col("file_path").alias("_path"), F.coalesce("is_exported", F.lit(False)).alias("_exp"))
+    keyed = s.where("fqn is not null").select("project_id", F.lit(0).alias("_by"), F.col("fqn").alias("_key"), "s", "_path", "_exp")
+    keyed = keyed.unionByName(s.where("name is not null").select("project_id", F.lit(1).alias("_by"), F.col("name").alias("_key"), "s", "_path", "_exp"))
+    keyed = keyed.unionByName(s.where("name <> fqn").select("project_id", F.lit(1).alias("_by"), F.col("fqn").alias("_key"), "s", "_path", "_exp"))
+
+    def counted(keys: list[str], lead: str) -> DataFrame:
+        mine = F.when(F.col("_exp"), F.col("s"))
+        return keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"{lead}n"), F.max("s").alias(f"{lead}one"), F.count(mine).alias(f"{lead}exp"), F.max(mine).alias(f"{lead}exp_one"))
+
+    usable = refs.where(is_symbol_reference(F.col("name"))).select("project_id", "ref_id", "name", "file_path")
+    known = keyed.where("_by = 0").select("project_id", F.col("_key").alias("name"), F.lit(True).alias("_full")).distinct()
+    asked = usable.join(known, ["project_id", "name"], "left").select("project_id", "ref_id", F.col("file_path").alias("_path"), F.when(F.col("_full"), 0).otherwise(1).alias("_by"), F.when(F.col("_full"), F.col("name")).otherwise(name_tail(F.col("name"))).alias("_key"))
+    wide = asked.join(counted(["project_id", "_by", "_key"], "a_"), ["project_id", "_by", "_key"]).join(counted(["project_id", "_by", "_key", "_path"], "o_"), ["project_id", "_by", "_key", "_path"], "left")
+    own = F.coalesce("o_n", F.lit(0))
+    one = (
+        F.when(F.col("a_n") == 1, F.col("a_one")).when(own == 1, F.col("o_one")).when((own > 1) & (F.col("o_exp") == 1), F.col("o_exp_one")).when((own == 0) & (F.col("a_exp") == 1), F.col("a_exp_one"))
+    )
+    return wide.select("project_id", "ref_id", one["fqn"].alias("fqn")).where("fqn is not null")
+
+
 def resolve_pending(refs: DataFrame, symbols: DataFrame, status: str = "pending") -> tuple[DataFrame, DataFrame]:
     """New edges of references with ``status``, and the references that stay failed.
 
@@ -73,7 +98,9 @@ def retarget_edges(edges: DataFrame, symbols: DataFrame) -> DataFrame:
 
     bare = unresolved_edges(edges, symbols)
     asked = bare.select("project_id", F.col("edge_id").alias("ref_id"), F.trim("target_name").alias("name"), "kind", "file_path")
-    one = match(asked, symbols).where("found = 1").select("project_id", F.col("ref_id").alias("edge_id"), F.col("fqn").alias("_new"))
+    module = F.coalesce(F.col("kind").isin("import", "imports"), F.lit(False))
+    one = match(asked.where(module), symbols).where("found = 1").select("project_id", "ref_id", "fqn").unionByName(single_match(asked.where(~module), symbols))
+    one = one.select("project_id", F.col("ref_id").alias("edge_id"), F.col("fqn").alias("_new"))
     out = edges.join(one, ["project_id", "edge_id"], "left").withColumn("target_name", F.coalesce("_new", "target_name")).drop("_new")
     return unique_edges(out)
 

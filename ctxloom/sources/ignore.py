@@ -112,19 +112,20 @@ class IgnoreRules:
         folders = parts if is_dir else parts[:-1]
         return any(fnmatch.fnmatchcase(p, s) for p in folders for s in self.skipped)
 
-    def allows(self, path: str) -> bool:
+    def allows(self, path: str, is_dir: bool = False) -> bool:
         held = False
         parts = [p.lower() for p in path.split("/")]
+        folders = parts if is_dir else parts[:-1]
         for entry in self.allow:
             off = entry.startswith("!")
             name = entry.lstrip("!").rstrip("/").lower()
-            hit = name in parts[:-1] if entry.rstrip().endswith("/") else name == parts[-1]
+            hit = name in folders if entry.rstrip().endswith("/") else name == parts[-1]
             held = (not off) if hit else held
         return held
 
     def looks_allowed(self, name: str) -> bool:
         """Whether a file or folder of this name may be allowed, wherever it is."""
-        return self.allows(name) or self.allows(name + "/x")
+        return self.allows(name) or self.allows(name, True)
 
     def reason(self, path: str, is_dir: bool = False) -> str | None:
         """builtin, ignore or custom for ignored paths, None for others."""
@@ -133,7 +134,7 @@ class IgnoreRules:
             return None
         if self.builtin(path, is_dir):
             return "builtin"
-        if self.allows(path):
+        if self.allows(path, is_dir):
             return None
         first = self.ignore.decide(path, is_dir)
         if not self.custom.decide(path, is_dir, first):

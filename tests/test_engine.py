@@ -144,3 +144,44 @@ def test_quality(spark):
     assert m.recall_at_5 == pytest.approx(1 / 3) and m.recall_at_10 == pytest.approx(2 / 3) and m.mrr == pytest.approx((0.5 + 1 / 7) / 3)
     assert usage.negatives_passed(spark.createDataFrame([(1, False, 1), (2, True, 1)], "case_id int, answerable boolean, gaps int")).where("passed").count() == 1
     assert "| 3 |" in usage.report([m], "t")
+
+
+def test_includes_retries_and_golden_cases(spark, tmp_path):
+    from ctxloom.plans.evaluate import quality, run_golden
+    from ctxloom.streaming.ingest import ORDERED
+
+    e = ContextEngine(spark, f"file://{tmp_path}/idx")
+    files = {"src/a.c": '#include "../inc/x.h"\n#include "y.h"\nint run(void) { return late(); }\n', "inc/x.h": "int f(void);\n", "lib/y.h": "#define Y 1\n", "u.py": "def use(o):\n    return getattr(o, 'later')\n"}
+    table = lambda rows: spark.createDataFrame([("p", p, bytearray(t.encode())) for p, t in rows.items()], "project_id string, path string, content binary")
+    e.apply_changes("p", table(files))
+    edges = {(r.source_fqn, r.target_name) for r in e._read("p", "edges").collect()}
+    assert {("src/a.c", "inc/x.h"), ("src/a.c", "lib/y.h")} <= edges
+    assert [r.name for r in e._read("p", "unresolved").collect()] == ["later"]
+    e.apply_changes("p", table({"v.py": "def later(n):\n    return n\n"}))
+    assert e._read("p", "unresolved").count() == 0 and ("use", "later") in {(r.source_fqn, r.target_name) for r in e._read("p", "edges").collect()}
+    golden = "id string, query string, category string, expected array<struct<path:string,symbol:string>>"
+    cases = spark.createDataFrame([("1", "What does `later` do?", "symbol", [("v.py", "later")]), ("2", "Where is `later`?", "symbol", [("none.py", None)]), ("3", "zzzz qqqq", "none", [])], golden)
+    got = {r.case_id: r for r in run_golden(e.index(["p"]), cases, "p").collect()}
+    assert got["1"].rank == 1 and got["2"].rank is None and got["2"].passed is None and got["3"].passed is True
+    m = quality(run_golden(e.index(["p"]), cases, "p")).first()
+    assert (m.cases, m.recall_at_5, m.mrr) == (2, 0.5, 0.5)
+    assert ORDERED.fieldNames()[-1] == "seq"
+
+
+def test_last_upload_counts(spark, tmp_path):
+    from ctxloom.streaming.ingest import ORDERED
+
+    e, box = ContextEngine(spark, f"file://{tmp_path}/idx"), str(tmp_path / "box")
+    rows = [(*upload("a.py", f"def f{k}(): pass\n"), k) for k in (3, 1, 2)] + [(*upload("b.py", "x = 1\n"), 1), ("p", "b.py", None, None, True, 2), ("q", *upload("c.py", "y = 1\n")[1:], None)]
+    spark.createDataFrame(rows, ORDERED).coalesce(1).write.parquet(box)
+    ingest_stream(e, read_uploads(spark, box), str(tmp_path / "ckpt")).awaitTermination()
+    assert [r.fqn for r in e._read("p", "symbols").collect()] == ["f3"] and e.status("p")["files"] == 1 and e.status("q")["files"] == 1
+
+
+def test_ignored_folders_are_looked_through_for_allowed_names(tmp_path):
+    for p in ("a.py", ".claude/skills/x.md", ".claude/other.txt", "env/skills/y.md", "deep/1/2/agents.md", "cmake-build-x/z.c"):
+        f = tmp_path / p
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_text("x")
+    rules = IgnoreRules(Layer([".claude/", "deep/"]))
+    assert [p for p, _ in repo.list_paths(str(tmp_path), rules)] == [".claude/skills/x.md", "a.py"]

@@ -259,3 +259,29 @@ def test_documents_bring_the_code_they_name():
     plan = pack.plan_backfill(pool, first["evidence"], [], {}, {"s": ["t", "zz"]})
     assert [(c["chunk_id"], why) for c, why in plan] == [("t", "gap: named by d.md")]
     assert pack.query_coverage("what does x do zzz", first) < 1.0 and pack.query_coverage("", first) == 1.0
+
+
+def test_both_ways_of_literal_search_agree(spark, monkeypatch):
+    rnd = random.Random(3)
+    rows = [chunk(f"c{i}", " ".join(rnd.choices(["aaaa", "aaab", "Flush", "flush_all", "x"], k=9)), fqn=rnd.choice(["m.flush", "m.other", None]), project=rnd.choice("pq")) for i in range(60)]
+    phrases = [("1", "p", "FLUSH"), ("1", "p", "aaaa"), ("2", "q", "flush_all"), ("3", "p", "aaa"), ("4", "p", "aaaa aaaa"), ("5", "z", "flush")]
+    c, q = spark.createDataFrame(rows, CHUNKS), spark.createDataFrame(phrases, "query_id string, project_id string, phrase string")
+    one = sorted(map(str, lexical.literal_search(c, q).collect()))
+    monkeypatch.setattr(lexical, "HELD_PHRASES", 0)
+    assert one == sorted(map(str, lexical.literal_search(c, q).collect())) and one
+    assert lexical.literal_search(c, q.limit(0)).count() == 0
+
+
+def test_single_matches_equal_those_of_all_pairs(spark):
+    rnd = random.Random(8)
+    fqns = ["a", "b", "m.a", "m.b", "n.a", "C::a", "C::d", "d"]
+    syms = spark.createDataFrame([symbol(f"s{i}", rnd.choice(fqns), path=rnd.choice(["x.py", "y.py", "z.py"]), exported=rnd.choice([True, False, None])) for i in range(14)], SYMBOLS)
+    refs = spark.createDataFrame([("p", i, rnd.choice([*fqns, "q.a", "self.b", "C::C", "a[0]", "x.h"]), "call", rnd.choice(["x.py", "y.py", "w.py"])) for i in range(300)], "project_id string, ref_id int, name string, kind string, file_path string")
+    want = sorted((r.ref_id, r.fqn) for r in resolve.match(refs, syms).where("found = 1").collect())
+    assert sorted((r.ref_id, r.fqn) for r in resolve.single_match(refs, syms).collect()) == want and len(want) > 20
+
+
+def test_packs_count_all_failed_names():
+    pool = [{"chunk_id": "c", "path": "a.py", "kind": "code", "tier": 0, "score": 1.0, "rrf_score": 1.0, "channel_ranks": {"exact": 1}, "reasons": [], "symbol_fqn": "f", "start_line": 1, "end_line": 2, "signature": "", "content": "x"}]
+    done = pack.Packer(pool, pack.Budget.of("fast"), failed=["a", "b", "c"], failures=412).run()
+    assert any(m["message"].startswith("412 names could not be resolved: a, b, c") for m in done["missingEvidence"])
