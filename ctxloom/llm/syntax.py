@@ -1105,9 +1105,12 @@ def first_error(content: bytes | None, family: str) -> Error | None:
     m = _MERGE.search(text)
     if m:
         found = (m.start(), "merge marker")
-    if check:
+    # before a marker only what stands before it can be at fault, so the text is read up to there; formats of single lines
+    # have no structure that could break there
+    part = text[: found[0]] if found else text
+    if check and (not found or part.strip() and family not in ("ini", "env")):
         try:
-            check(text)
+            check(part)
         except Broken as b:
             if not found or b.at < found[0]:
                 found = (b.at, b.why)
