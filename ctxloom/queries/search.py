@@ -9,6 +9,7 @@ from ctxloom.operators import graph, lexical, resolve, vector
 from ctxloom.operators.fusion import fuse
 from ctxloom.operators.pack import merged_spans, uncovered_spans
 from ctxloom.operators.parse import explode, parse_files
+from ctxloom.operators.usage import metrics
 from ctxloom.plans.search import Index, search, search_pool
 from ctxloom.queries import Registry
 from ctxloom.tables import current_files, cut, load
@@ -286,6 +287,28 @@ def question_hits(spark: SparkSession, d: str) -> DataFrame:
     return lexical.bm25(_chunks(spark, d), questions(spark, d)).select("query_id", "chunk_id", F.round("score", 4).alias("score"))
 
 
+#: The two words a held-out question ends in, which a chunk that answers it is expected to hold.
+ASKED_WORDS = r"(\S+ \S+?)\W*$"
+
+
+def question_quality(spark: SparkSession, d: str) -> DataFrame:
+    """Recall and reciprocal rank by category: the first BM25 hit of a held-out question whose text holds the words it ends in."""
+    asked = load(spark, d, "eval_items").select("item_id", "category", F.lower(F.regexp_extract("query", ASKED_WORDS, 1)).alias("words"))
+    found = lexical.bm25(_chunks(spark, d), questions(spark, d)).select("query_id", "project_id", "chunk_id", "rank")
+    texts = _chunks(spark, d).select("project_id", F.col("id").alias("chunk_id"), F.lower("content").alias("text"))
+    held = found.join(texts, ["project_id", "chunk_id"]).join(asked.where("words <> ''").select(F.col("item_id").alias("query_id"), "words"), "query_id").where(F.col("text").contains(F.col("words")))
+    hits = held.groupBy(F.col("query_id").alias("case_id")).agg(F.min("rank").alias("rank"))
+    m = metrics(asked.select(F.col("item_id").alias("case_id"), "category"), hits, ["category"])
+    return m.select("category", "cases", *[F.round(c, 6).alias(c) for c in ("recall_at_5", "recall_at_10", "mrr")])
+
+
+def _quality_sql() -> str:
+    hits = _bm25_sql().replace(PROBE, EVAL_PROBE).replace("SELECT query_id, chunk_id, round(round(score, 9), 4) AS score FROM", "SELECT query_id, chunk_id, rank FROM")
+    return f"""WITH hits AS ({hits}), a AS (SELECT item_id, category, lower(regexp_extract(query, '{ASKED_WORDS}', 1)) AS words FROM eval_items),
+r AS (SELECT item_id, min(rank) AS rank FROM hits JOIN a ON a.item_id = query_id AND words <> '' JOIN (SELECT DISTINCT ON (project_id, id) * FROM chunks) c ON c.id = chunk_id AND contains(lower(c.content), words) GROUP BY 1)
+SELECT category, count(*) AS cases, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0 END), 6) AS recall_at_5, round(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0 END), 6) AS recall_at_10, round(avg(coalesce(1.0 / rank, 0)), 6) AS mrr FROM a LEFT JOIN r USING (item_id) GROUP BY 1"""
+
+
 def question_packs(spark: SparkSession, d: str) -> DataFrame:
     """The evidence packs of the held-out questions."""
     asked = questions(spark, d).withColumn("query_id", F.col("query_id").cast("string"))
@@ -345,6 +368,7 @@ def register(reg: Registry) -> None:
     reg.query("search_pool")(ranked_pool)
     reg.query("search_packs")(packs)
     reg.query("question_packs")(question_packs)
+    reg.query("quality_by_category", _quality_sql())(question_quality)
     reg.query("question_hits", _bm25_sql().replace(PROBE, EVAL_PROBE))(question_hits)
     reg.query("search_vector_pool")(vector_pool)
     reg.query("call_flows")(call_chains)

@@ -177,18 +177,6 @@ QUOTA_SQL = """WITH p AS (SELECT substr(project_id, 1, 1) AS user_id, project_id
 SELECT *, CASE WHEN greatest(bytes / 60000.0, user_bytes / 200000.0) > 1 THEN 'exceeded' WHEN greatest(bytes / 60000.0, user_bytes / 200000.0) >= 0.8 THEN 'warning' ELSE 'ok' END AS status FROM u"""
 
 
-def quality(spark: SparkSession, d: str) -> DataFrame:
-    """Ranks derived from the item ids, measured by category."""
-    cases = load(spark, d, "eval_items").select(F.col("item_id").alias("case_id"), "category")
-    hits = cases.where("case_id % 3 <> 0").select("case_id", (F.col("case_id") % 12 + 1).alias("rank"))
-    m = usage.metrics(cases, hits, ["category"])
-    return m.select("category", "cases", *[F.round(c, 6).alias(c) for c in ("recall_at_5", "recall_at_10", "mrr")])
-
-
-QUALITY_SQL = """SELECT category, count(*) AS cases, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0 END), 6) AS recall_at_5, round(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0 END), 6) AS recall_at_10, round(avg(coalesce(1.0 / rank, 0)), 6) AS mrr
-FROM (SELECT item_id, category, CASE WHEN item_id % 3 <> 0 THEN item_id % 12 + 1 END AS rank FROM eval_items) GROUP BY 1"""
-
-
 def parsed(spark: SparkSession, d: str) -> DataFrame:
     """What parsing the uploaded files yields, per language."""
     p = parse_files(load(spark, d, "blobs"))
@@ -240,7 +228,6 @@ def register(reg: Registry) -> None:
     reg.query("table_counts", COUNT_SQL)(counts)
     reg.query("freshness", "SELECT project_id, max(indexed_at) AS indexed_at FROM files GROUP BY 1")(freshness)
     reg.query("quota_status", QUOTA_SQL)(quotas)
-    reg.query("quality_by_category", QUALITY_SQL)(quality)
     reg.query("parse_files")(parsed)
     reg.query("parsed_chunks")(parsed_chunks)
     reg.query("link_mentions")(mentions)
